@@ -11,6 +11,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mendwell.functions.checks import HIDDEN_CHARACTERS
 
@@ -91,9 +92,13 @@ def percentage_to_fraction(value: Column) -> Column:
     return F.when(fraction.between(0, 1), fraction)
 
 
-@F.pandas_udf("string")
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda text: unicodedata.normalize("NFKC", text), na_action="ignore")
+def _nfkc(value: Column) -> Column:
+    # A local function travels by value, so workers need not have this package.
+    @F.pandas_udf(T.StringType())
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: unicodedata.normalize("NFKC", text), na_action="ignore")
+
+    return compose(value)
 
 
 def remove_hidden(value: Column) -> Column:
