@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendwell.plans import cases
+from mendwell.plans import cases, reports
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**cases.case_queries()}
+    return {**cases.case_queries(), **reports.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**cases.case_oracles()}
+    return {**cases.case_oracles(), **reports.ORACLES}
