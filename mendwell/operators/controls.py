@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def control_candidates(baseline: Dataset, scope: Sequence[ControlScope], journal
     """
     used = (
         journal.filter(F.col("operation") == "update_cell")
-        .groupBy("table", F.col("primary_key").alias("_token"))
+        .groupBy("table", "primary_key")
         .agg(
             F.collect_set("column").alias("_used"),  # bounded by the number of columns
             F.max(F.col("corrupted_primary_key").isNotNull()).alias("_locked"),
@@ -37,19 +38,16 @@ def control_candidates(baseline: Dataset, scope: Sequence[ControlScope], journal
             F.struct(F.lit(name).alias("column"), canonical_value(F.col(name), types[name]).alias("clean_value"))
             for name in item.columns
         ])
-        here = used.filter(F.col("table") == item.table).drop("table")
-        rows = df.select(key_token(baseline.specs[item.table].primary_key).alias("_token"), cells.alias("_cells"))
-        parts.append(
-            rows.join(small_side(here), "_token", "left")
-            .filter(~F.coalesce(F.col("_locked"), F.lit(False)))
-            .select(F.col("_token").alias("primary_key"), "_used", F.explode("_cells").alias("_cell"))
-            .filter(~F.coalesce(F.array_contains("_used", F.col("_cell.column")), F.lit(False)))
-            .select(F.lit(item.table).alias("table"), "primary_key", "_cell.column", "_cell.clean_value")
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        key = key_token(baseline.specs[item.table].primary_key).alias("primary_key")
+        parts.append(df.select(F.lit(item.table).alias("table"), key, cells.alias("_cells")))
+    free = F.filter("_cells", lambda cell: ~F.coalesce(F.array_contains(F.col("_used"), cell["column"]), F.lit(False)))
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .join(small_side(used), ["table", "primary_key"], "left")
+        .filter(~F.coalesce(F.col("_locked"), F.lit(False)))
+        .select("table", "primary_key", F.explode(free).alias("_cell"))
+        .select("table", "primary_key", "_cell.column", "_cell.clean_value")
+    )
 
 
 def controls_wanted(faults: int, target_quality: float) -> int:

@@ -12,7 +12,9 @@ earlier rule has used.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -293,35 +295,47 @@ def rule_statistics(journal: DataFrame, rules: Sequence[Rule], requested: Mappin
     return wanted.join(made, "rule_id", "left").fillna(0, ["generated_assertions"])
 
 
+def _apply_rules(
+    df: DataFrame, rules: Sequence[tuple[int, Rule]], spec: TableSpec, seed: int, cut_every: int
+) -> tuple[DataFrame, list[tuple[int, DataFrame, int]]]:
+    """The rules of one table, each applied to the result of the last."""
+    made = []
+    for step, (no, rule) in enumerate(rules, 1):
+        df, records, bound = apply_rule(df, rule, no, spec, seed)
+        made.append((no, cut_lineage(records), bound))
+        if step % cut_every == 0 and step < len(rules):
+            df = cut_lineage(df)
+    return df, made
+
+
 def inject(dataset: Dataset, scenario: Scenario, cut_every: int = 8) -> Injected:
     """Apply the rules of a scenario in order, each to the result of the last.
 
-    The lineage of a table is cut through the checkpoint folder after every
-    ``cut_every`` rules on it, and after a rule that joins.
+    A rule sees and changes one table only, so the tables go side by side: their
+    jobs share the cluster. The lineage of a table is cut through the shared
+    folder after every ``cut_every`` of its rules and at the end.
     """
-    tables = dict(dataset)
-    records: list[DataFrame] = []
-    bounds: list[int] = []
-    requested: dict[str, int] = {}
-    since: dict[str, int] = {}
+    by_table: dict[str, list[tuple[int, Rule]]] = {}
     for no, rule in enumerate(scenario.rules):
-        spec = dataset.specs[rule.table]
-        after, made, bound = apply_rule(tables[rule.table], rule, no, spec, scenario.seed)
-        records.append(cut_lineage(made))
-        bounds.append(bound)
-        cells = 1 if rule.transform == "duplicate_rows" else len(rule.columns)
-        requested[rule.rule_id] = rule.count if rule.count is not None else bound // cells
-        since[rule.table] = since.get(rule.table, 0) + 1
-        if since[rule.table] >= cut_every:
-            after = cut_lineage(after)
-            since[rule.table] = 0
-        tables[rule.table] = after
-    everything = records[0]
-    for part in records[1:]:
-        everything = everything.unionByName(part)
-    journal = cut_lineage(numbered_journal(everything, scenario.id, sum(bounds)))
+        by_table.setdefault(rule.table, []).append((no, rule))
+
+    def run(table: str) -> tuple[DataFrame, list[tuple[int, DataFrame, int]]]:
+        spec = dataset.specs[table]
+        df, made = _apply_rules(dataset[table], by_table[table], spec, scenario.seed, cut_every)
+        return cut_lineage(visible(df)), made
+
+    with ThreadPoolExecutor(max_workers=len(by_table)) as pool:
+        done = dict(zip(by_table, pool.map(run, by_table)))
+    made = sorted((one for _, parts in done.values() for one in parts), key=lambda part: part[0])
+    bounds = {no: bound for no, _, bound in made}
+    requested = {
+        rule.rule_id: bounds[no] // (1 if rule.transform == "duplicate_rows" else len(rule.columns))
+        for no, rule in enumerate(scenario.rules)
+    }
+    records = reduce(DataFrame.unionByName, [part for _, part, _ in made])
+    journal = cut_lineage(numbered_journal(records, scenario.id, sum(bounds.values())))
     return Injected(
-        dataset.with_tables({name: visible(df) for name, df in tables.items()}),
+        dataset.with_tables({table: df for table, (df, _) in done.items()}),
         journal,
         rule_statistics(journal, scenario.rules, requested),
         journal.count(),

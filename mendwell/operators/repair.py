@@ -59,10 +59,13 @@ def labels_by_row(labels: DataFrame) -> DataFrame:
     ).agg(F.map_from_entries(F.collect_list(F.struct("column", "clean_value"))).alias("_labels"))
 
 
-def with_labels(df: DataFrame, spec: TableSpec, labels: DataFrame) -> DataFrame:
-    """The table with a map ``_labels`` of clean values on the labelled rows."""
-    rows = labels_by_row(labels.filter(F.col("table") == spec.name))
-    return df.withColumn("_token", key_token(spec.primary_key)).join(small_side(rows), "_token", "left").drop("_token")
+def with_labels(df: DataFrame, spec: TableSpec, labels: DataFrame, records: int | None = None) -> DataFrame:
+    """The table with a map ``_labels`` of clean values on the labelled rows.
+
+    ``records`` is the number of labels, if it is known.
+    """
+    rows = small_side(labels_by_row(labels.filter(F.col("table") == spec.name)), records)
+    return df.withColumn("_token", key_token(spec.primary_key)).join(rows, "_token", "left").drop("_token")
 
 
 def _labelled(column: str) -> Column:
@@ -73,10 +76,12 @@ def _label(column: str) -> Column:
     return F.try_element_at("_labels", F.lit(column))
 
 
-def restore_labels(df: DataFrame, spec: TableSpec, labels: DataFrame, columns: Sequence[str]) -> DataFrame:
+def restore_labels(
+    df: DataFrame, spec: TableSpec, labels: DataFrame, columns: Sequence[str], records: int | None = None
+) -> DataFrame:
     """Set labelled cells to their labels; also cells of the key itself."""
     types = _types(df)
-    marked = with_labels(df, spec, labels)
+    marked = with_labels(df, spec, labels, records)
     return marked.withColumns({
         column: F.when(_labelled(column), _label(column).cast(types[column])).otherwise(F.col(column))
         for column in columns
@@ -122,7 +127,7 @@ def reverse_swap(df: DataFrame, spec: TableSpec, labels: DataFrame, first: str,
     }).drop("_labels")
 
 
-def delete_inserted(df: DataFrame, spec: TableSpec, labels: DataFrame) -> DataFrame:
+def delete_inserted(df: DataFrame, spec: TableSpec, labels: DataFrame, records: int | None = None) -> DataFrame:
     """Drop exactly the rows recorded as inserted, never look-alikes."""
     keys = (
         labels.filter((F.col("table") == spec.name) & (F.col("operation") == "insert_row"))
@@ -131,7 +136,7 @@ def delete_inserted(df: DataFrame, spec: TableSpec, labels: DataFrame) -> DataFr
     )
     return (
         df.withColumn("_token", key_token(spec.primary_key))
-        .join(small_side(keys), F.col("_token") == F.col("_gone"), "left_anti")
+        .join(small_side(keys, records), F.col("_token") == F.col("_gone"), "left_anti")
         .drop("_token")
     )
 
@@ -143,6 +148,26 @@ def canonical_by_vocabulary(df: DataFrame, column: str, vocabulary: DataFrame, w
     return joined.withColumn(column, F.coalesce(F.col("_spelling"), F.col(column))).drop("_folded", "_spelling")
 
 
+@dataclass(frozen=True)
+class _Shape:
+    rules: frozenset[str]
+    updates: int
+    inserts: int
+    moved: int
+
+
+def _shape(journal: DataFrame) -> dict[str, _Shape]:
+    """Rules of each table and how many records they have: a row per table."""
+    inserted = F.col("operation") == "insert_row"
+    rows = journal.groupBy("table").agg(
+        F.collect_set("rule_id").alias("rules"),
+        F.count_if(~inserted).alias("updates"),
+        F.count_if(inserted).alias("inserts"),
+        F.count("corrupted_primary_key").alias("moved"),
+    ).collect()
+    return {row["table"]: _Shape(frozenset(row["rules"]), row["updates"], row["inserts"], row["moved"]) for row in sorted(rows)}
+
+
 def wrong_match_counts(df: DataFrame, spec: TableSpec, labels: DataFrame) -> DataFrame:
     """Label locators that match no row, or more than one."""
     here = labels.filter((F.col("table") == spec.name) & (F.col("operation") == "update_cell"))
@@ -164,7 +189,6 @@ def undo_journal(dataset: Dataset, journal: DataFrame) -> Dataset:
     Of several records of one cell the earliest holds the clean value, so the
     journal needs no replay in reverse order.
     """
-    tables = [row["table"] for row in journal.select("table").distinct().collect()]  # one row per table
     earliest = (
         journal.filter(F.col("operation") == "update_cell")
         .groupBy("table", "primary_key", "column")
@@ -179,17 +203,27 @@ def undo_journal(dataset: Dataset, journal: DataFrame) -> Dataset:
         for row in earliest.groupBy("table").agg(F.collect_set("column").alias("columns")).collect()
     }
     out = {}
-    for table in tables:
+    for table, shape in _shape(journal).items():
         spec = dataset.specs[table]
-        df = delete_inserted(dataset[table], spec, journal)
+        df = dataset[table]
+        if shape.inserts:
+            df = delete_inserted(df, spec, journal, shape.inserts)
         here = earliest.filter(F.col("table") == table)
-        # A corrupted key moves all labels of its row to the corrupted locator.
-        moved = here.groupBy("primary_key").agg(F.max("corrupted_primary_key").alias("corrupted_primary_key"))
-        located = here.drop("corrupted_primary_key").join(moved, "primary_key")
-        out[table] = restore_labels(df, spec, located, sorted(touched.get(table, [])))
+        here = _relocated(here) if shape.moved else here
+        out[table] = restore_labels(df, spec, here, sorted(touched.get(table, [])), shape.updates)
     return dataset.with_tables(out)
 
 
+def _relocated(records: DataFrame) -> DataFrame:
+    """A corrupted key moves all labels of its row to the corrupted locator."""
+    moved = records.groupBy("primary_key").agg(F.max("corrupted_primary_key").alias("_moved")).na.drop("any")
+    return (
+        records.join(moved, "primary_key", "left")
+        .withColumn("corrupted_primary_key", F.coalesce("corrupted_primary_key", "_moved"))
+        .drop("_moved")
+    )
+
+
 def apply_step(df: DataFrame, spec: TableSpec, labels: DataFrame, step: Step) -> DataFrame:
     """The table after one step; ``labels`` are the records of its rule."""
     if step.kind == "delete":
@@ -252,22 +286,16 @@ def repair_all(dataset: Dataset, journal: DataFrame, steps: Sequence[Step]) -> D
     For large tables. Steps of a table must not touch the same cell twice,
     which holds for journals of this library. Check the result with ``score``.
     """
-    owners = {row["rule_id"]: row["table"] for row in journal.select("rule_id", "table").distinct().collect()}
     out: dict[str, DataFrame] = {}
-    for table in sorted(set(owners.values())):
+    for table, shape in _shape(journal).items():
         spec = dataset.specs[table]
-        here = journal.filter(F.col("table") == table)
-        mine = [step for step in steps if owners.get(step.rule_id) == table]
+        mine = [step for step in steps if step.rule_id in shape.rules]
+        here = journal.filter((F.col("table") == table) & F.col("rule_id").isin(*[step.rule_id for step in mine]))
         df = dataset[table]
         if any(step.kind == "delete" for step in mine):
-            df = delete_inserted(df, spec, here)
+            df = delete_inserted(df, spec, here, shape.inserts)
         types = _types(df)
-        # A corrupted key moves all labels of its row to the corrupted locator.
-        moved = here.groupBy("primary_key").agg(F.max("corrupted_primary_key").alias("_moved")).na.drop("any")
-        labels = here.join(moved, "primary_key", "left").withColumn(
-            "corrupted_primary_key", F.coalesce("corrupted_primary_key", "_moved")
-        )
-        df = with_labels(df, spec, labels)
+        df = with_labels(df, spec, _relocated(here) if shape.moved else here, shape.updates)
         new: dict[str, Column] = {}
         for step in mine:
             if step.kind == "delete":

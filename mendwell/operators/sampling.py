@@ -1,12 +1,14 @@
 """Reproducible samples of an exact size, and dense numbering.
 
 A row is drawn by the hash of its key: the ``k`` rows with the smallest hashes
-are the sample. Instead of sorting, the hash of the last drawn row is found
-from counts per hash prefix; drawing is then a comparison inside a projection.
+are the sample. Hashes are spread evenly, so the place of the k-th smallest is
+known but for a narrow band, and only the band is ranked. Drawing is then a
+comparison inside a projection.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,9 +18,6 @@ from pyspark.sql import functions as F
 from mendwell.functions.text import key_token
 from mendwell.session import cut_lineage, small_side
 
-PREFIX_STEP = 4  # hex digits, so at most 65,536 counts per step
-HASH_DIGITS = 32
-
 # Up to this many narrow rows are numbered by one window in one task.
 ONE_TASK_ROWS = 100_000
 
@@ -29,67 +28,57 @@ class NotEnoughRows(ValueError):
 
 @dataclass(frozen=True)
 class Cut:
-    """Where the drawn hashes end: all hashes up to ``prefix``, ``taken`` in all."""
+    """Where the drawn hashes end: ``last`` is the largest of the ``taken``."""
 
-    prefix: str
+    last: str
     taken: int
     eligible: int
 
     def contains(self, hashed: Column) -> Column:
-        if not self.taken:
-            return F.lit(False)
-        return F.coalesce(F.substring(hashed, 1, len(self.prefix)) <= self.prefix, F.lit(False))
+        return F.coalesce(hashed <= self.last, F.lit(False)) if self.taken else F.lit(False)
 
 
 def draw_hash(seed: int, name: str, token: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|{name}|"), token))
 
 
+def _hex(fraction: float) -> str:
+    """The hash that so much of all hashes lies below."""
+    if fraction >= 1:
+        return "g"  # beyond every hash
+    return f"{int(max(fraction, 0.0) * 2**52):013x}"
+
+
 def find_cut(hashes: DataFrame, count: int | None = None, one_in: int | None = None, what: str = "sample") -> Cut:
     """The cut that draws exactly ``count`` rows, or one row in ``one_in``.
 
-    ``hashes`` has one column ``h``. Each step counts rows per longer prefix
-    inside the prefix where the cut falls; with hashes spread evenly the first
-    step leaves 1/65,536 of the rows. Only one row per step reaches the driver.
+    ``hashes`` has one column ``h``. The first job counts the rows. The second
+    counts hashes below the band where the last one must lie and ranks the band:
+    of k drawn rows some 12 * sqrt(k), a few hundred thousand for a billion. If
+    the band should miss it, a wider one is tried.
     """
-    order = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy()
-    prefix, before, eligible, wanted = "", 0, None, count
-    while len(prefix) < HASH_DIGITS:
-        digits = len(prefix) + PREFIX_STEP
-        inside = hashes.filter(F.startswith("h", F.lit(prefix))) if prefix else hashes
-        counts = inside.groupBy(F.substring("h", 1, digits).alias("prefix")).agg(F.count("*").alias("n"))
-        totals = counts.select(
-            "prefix", "n", F.sum("n").over(order).alias("upto"), F.sum("n").over(everything).alias("all")
-        )
-        if wanted is None:
-            target = F.floor(F.col("all") / one_in)
-        else:
-            target = F.lit(wanted - before)
-        row = (
-            totals.withColumn("target", target)
-            .filter((F.col("upto") >= F.col("target")) | (F.col("upto") == F.col("all")))
-            .orderBy("prefix")
-            .first()
+    eligible = hashes.count()
+    wanted = count if count is not None else eligible // one_in
+    if eligible < wanted:
+        raise NotEnoughRows(f"{what}: {wanted} rows wanted, only {eligible} eligible")
+    if wanted in (0, eligible):
+        return Cut("g", wanted, eligible)
+    order = Window.orderBy(F.asc_nulls_first("h"))
+    reach = 6 * math.sqrt(wanted) + 16
+    while True:
+        low, high = _hex((wanted - reach) / eligible), _hex((wanted + reach) / eligible)
+        band = (
+            hashes.filter(F.col("h") <= high)
+            .groupBy(F.when(F.col("h") >= low, F.col("h")).alias("h"))
+            .agg(F.count("*").alias("n"))
+            .withColumn("upto", F.sum("n").over(order))
         )
-        if row is None:  # no row at all
-            if wanted:
-                raise NotEnoughRows(f"{what}: {wanted} rows wanted, none eligible")
-            return Cut("", 0, 0)
-        if eligible is None:
-            eligible = row["all"]
-            wanted = int(row["target"])
-            if eligible < wanted:
-                raise NotEnoughRows(f"{what}: {wanted} rows wanted, only {eligible} eligible")
-            if wanted == 0:
-                return Cut("", 0, eligible)
-        prefix = row["prefix"]
-        if before + row["upto"] == wanted:
-            break
-        before += row["upto"] - row["n"]
-    else:
-        raise ValueError(f"{what}: keys are not unique, so an exact sample does not exist")
-    return Cut(prefix, wanted, eligible)
+        hit = band.filter(F.col("upto") >= wanted).orderBy(F.asc_nulls_first("h")).first()
+        if hit is not None and hit["h"] is not None:
+            if hit["upto"] != wanted:
+                raise ValueError(f"{what}: keys are not unique, so an exact sample does not exist")
+            return Cut(hit["h"], wanted, eligible)
+        reach *= 8
 
 
 def with_index(df: DataFrame, order: Sequence[str], name: str, rows: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:

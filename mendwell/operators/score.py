@@ -12,7 +12,9 @@ from mendwell.session import small_side
 from mendwell.spec import Dataset, TableSpec
 
 
-def _current_rows(df: DataFrame, spec: TableSpec, wanted: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _current_rows(
+    df: DataFrame, spec: TableSpec, wanted: DataFrame, columns: Sequence[str], bound: int
+) -> DataFrame:
     """Rows of the table that the ``wanted`` keys point at, cells as a map of text.
 
     The table meets the keys in a semi join first, so of a large table only
@@ -22,16 +24,16 @@ def _current_rows(df: DataFrame, spec: TableSpec, wanted: DataFrame, columns: Se
     entries = [part for name in columns for part in (F.lit(name), canonical_value(F.col(name), types[name]))]
     cells = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
     rows = df.select(key_token(spec.primary_key).alias("_token"), *columns)
-    keys = wanted.select(F.col("key").alias("_wanted")).distinct()
-    return rows.join(small_side(keys), F.col("_token") == F.col("_wanted"), "left_semi").select(
+    keys = wanted.select(F.col("key").alias("_wanted"))
+    return rows.join(small_side(keys, bound), F.col("_token") == F.col("_wanted"), "left_semi").select(
         "_token", cells.alias("_cells")
     )
 
 
-def _columns_by_table(records: DataFrame) -> dict[str, list[str]]:
-    """Tables and columns that records name; a few names, bounded by the schema."""
-    found = records.groupBy("table").agg(F.collect_set("column").alias("columns")).collect()
-    return {row["table"]: sorted(row["columns"]) for row in sorted(found)}
+def _by_table(records: DataFrame) -> dict[str, tuple[list[str], int]]:
+    """Columns and number of records per table; a few names, bounded by the schema."""
+    found = records.groupBy("table").agg(F.collect_set("column").alias("columns"), F.count("*").alias("n")).collect()
+    return {row["table"]: (sorted(row["columns"]), row["n"]) for row in sorted(found)}
 
 
 def current_cells(dataset: Dataset, records: DataFrame) -> DataFrame:
@@ -42,17 +44,21 @@ def current_cells(dataset: Dataset, records: DataFrame) -> DataFrame:
     if "corrupted_primary_key" not in records.columns:
         records = records.withColumn("corrupted_primary_key", F.lit(None).cast("string"))
     parts = []
-    for table, columns in _columns_by_table(records).items():
+    for table, (columns, count) in _by_table(records).items():
         here = records.filter(F.col("table") == table)
         wanted = here.select(F.explode(F.array("primary_key", "corrupted_primary_key")).alias("key")).na.drop()
-        rows = _current_rows(dataset[table], dataset.specs[table], wanted, columns)
+        rows = _current_rows(dataset[table], dataset.specs[table], wanted, columns, 2 * count)
         by_key = rows.select(F.col("_token").alias("primary_key"), F.col("_cells").alias("_by_key"))
-        moved = here.filter(F.col("corrupted_primary_key").isNotNull())
         by_moved = rows.select(F.col("_token").alias("corrupted_primary_key"), F.col("_cells").alias("_by_moved"))
-        straight = here.filter(F.col("corrupted_primary_key").isNull()).join(by_key, "primary_key", "left").withColumn(
+        moved = here.filter(F.col("corrupted_primary_key").isNotNull())
+        straight = here.filter(F.col("corrupted_primary_key").isNull()).withColumn(
             "_by_moved", F.lit(None).cast("map<string,string>")
         )
-        detour = moved.join(by_key, "primary_key", "left").join(by_moved, "corrupted_primary_key", "left")
+        # Keys are unique, so no more rows come back than keys went out.
+        straight = straight.join(small_side(by_key, 2 * count), "primary_key", "left")
+        detour = moved.join(small_side(by_key, 2 * count), "primary_key", "left").join(
+            small_side(by_moved, 2 * count), "corrupted_primary_key", "left"
+        )
         parts.append(straight.unionByName(detour))
     if not parts:
         return records.withColumns({"row_exists": F.lit(False), "current_value": F.lit(None).cast("string")})

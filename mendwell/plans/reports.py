@@ -23,8 +23,8 @@ from mendwell.plans.sample_run import (
     steps,
 )
 from mendwell.plans.scenarios import KEY_STEP
-from mendwell.plans.sqlkit import ctes, token, trade_ctes
-from mendwell.session import shared_path
+from mendwell.plans.sqlkit import ctes, drawn_ctes, rotated_ctes, token, trade_ctes
+from mendwell.session import cut_all, shared_path
 from mendwell.sources import dataset as sources
 from mendwell.sources import files, manifest, publish
 from mendwell.spec import Dataset, Rule, TableSpec
@@ -435,8 +435,7 @@ def cell_changes(spark: SparkSession, folder: str) -> DataFrame:
 )))
 def expectations_after_repair(spark: SparkSession, folder: str) -> DataFrame:
     run = sample_run(spark, folder)
-    fixed = repair.repair_all(run.dirty, run.journal, steps())
-    return compare.meets_expectations(fixed, manifest.expectations_of(run.clean)).select("table", "left_rows", "match")
+    return compare.meets_expectations(_repaired(run), manifest.expectations_of(run.clean)).select("table", "left_rows", "match")
 
 
 # --- Samples and controls ---------------------------------------------------
@@ -779,12 +778,18 @@ def missing_rows(spark: SparkSession, folder: str) -> DataFrame:
     return score.quality(cut, run.journal, run.controls()).select("missing_rows", "remaining_faults")
 
 
-def _gate(spark: SparkSession, folder: str, run, candidate: Dataset) -> DataFrame:
+def _repaired(run) -> Dataset:
+    """All rules repaired; written once, as it is read by every check."""
+    fixed = repair.repair_all(run.dirty, run.journal, steps())
+    return fixed.with_tables(cut_all(fixed))
+
+
+def _gate(spark: SparkSession, folder: str, run, chosen: DataFrame, candidate: Dataset) -> DataFrame:
     broken = constraints.constraint_violations(candidate).unionByName(
         constraints.reference_violations(_whole(spark, folder, candidate))
     )
     return score.gate(
-        score.quality(candidate, run.journal, run.controls()), broken, compare.compare_datasets(run.clean, candidate)
+        score.quality(candidate, run.journal, chosen), broken, compare.compare_datasets(run.clean, candidate)
     )
 
 
@@ -797,10 +802,10 @@ _GATE = ("quality_score", "remaining_faults", "false_positives", "violations", "
            (SELECT count(*) FROM journal WHERE rule_id IN ('key', 'negative')), 0, 4, FALSE"""))
 def release_gate(spark: SparkSession, folder: str) -> DataFrame:
     run = sample_run(spark, folder)
-    fixed = repair.repair_all(run.dirty, run.journal, steps())
-    return _gate(spark, folder, run, fixed).select(F.lit("clean").alias("stage"), *_GATE).unionByName(
-        _gate(spark, folder, run, run.dirty).select(F.lit("raw").alias("stage"), *_GATE)
-    )
+    chosen = run.controls()
+    clean = _gate(spark, folder, run, chosen, _repaired(run))
+    raw = _gate(spark, folder, run, chosen, run.dirty)
+    return clean.select(F.lit("clean").alias("stage"), *_GATE).unionByName(raw.select(F.lit("raw").alias("stage"), *_GATE))
 
 
 @query(sample_sql("""SELECT 'quality_score' AS measure, 50.0::DOUBLE AS value UNION ALL SELECT 'matching_tables', 0
@@ -880,8 +885,10 @@ def recommendation_lists(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT 'raw', 50.0, FALSE, FALSE"""))
 def verification_summary(spark: SparkSession, folder: str) -> DataFrame:
     run = sample_run(spark, folder)
-    fixed = repair.repair_all(run.dirty, run.journal, steps())
-    return score.summary({"clean": _gate(spark, folder, run, fixed), "raw": _gate(spark, folder, run, run.dirty)})
+    chosen = run.controls()
+    return score.summary({
+        "clean": _gate(spark, folder, run, chosen, _repaired(run)), "raw": _gate(spark, folder, run, chosen, run.dirty)
+    })
 
 
 @query(sample_sql(_union_all(
@@ -894,7 +901,7 @@ def build_report(spark: SparkSession, folder: str) -> DataFrame:
     """Raw and clean score, comparison with the baseline, profile, rule counts."""
     run = sample_run(spark, folder)
     chosen = run.controls()
-    fixed = repair.repair_all(run.dirty, run.journal, steps())
+    fixed = _repaired(run)
 
     def part(df: DataFrame, name: str, item, value) -> DataFrame:
         return df.select(F.lit(name).alias("part"), item.alias("item"), value.cast("string").alias("value"))
@@ -923,6 +930,7 @@ def _scenario_quality(name: str) -> Query:
         made = inject.inject(clean, scenario)
         chosen = controls.draw_controls(clean, scenario, made.journal, made.faults)
         fixed = repair.repair_all(made.dataset, made.journal, scenarios.STEPS[name]())
+        fixed = fixed.with_tables(cut_all({table: fixed[table] for table in {rule.table for rule in scenario.rules}}))
         raw = score.quality(made.dataset, made.journal, chosen).select(F.lit("raw").alias("stage"), "*")
         done = score.quality(fixed, made.journal, chosen).select(F.lit("clean").alias("stage"), "*")
         return raw.unionByName(done)
@@ -930,45 +938,68 @@ def _scenario_quality(name: str) -> Query:
     return run
 
 
-_SQL_SOURCE = {"orders": "t_orders", "lineitem": "lineitem", "customer": "t_customer", "part": "t_part"}
+def _drawn_tokens(rule: Rule, seed: int) -> str:
+    """Key texts of the rows a rule draws, as a query."""
+    named = drawn_ctes(rule, seed, rule.table, {column: "NULL" for column in rule.columns})
+    return f"({ctes({name: named[name] for name in named if name not in ('changes', 'dirty')})} SELECT tok FROM drawn)"
 
 
-def _eligible(scenario, rule: Rule) -> str:
-    """Rows a rule may take. Rules of one table that follow a corrupted key
-    lose the rows of that key."""
-    where = rule.where.replace(f" AND l_partkey < {KEY_STEP}", "") or "TRUE"
-    source = _SQL_SOURCE[rule.table]
-    if rule.rule_id in {"RELATIONAL-NEGATIVE-QUANTITY"}:
-        return f"(SELECT count(*) - count(*) // 40 FROM {source} WHERE {where})"
-    return f"(SELECT count(*) FROM {source} WHERE {where})"
+def _generated_sql(name: str) -> str:
+    """Assertions per rule: cells of drawn rows, for rotations those that change.
 
-
-def _faults_sql(name: str) -> str:
+    Rules see each other through cells and keys that an earlier one has used.
+    """
     scenario = scenarios.SCENARIOS[name]
+    rules = {rule.rule_id: rule for rule in scenario.rules}
     parts = []
     for no, rule in enumerate(scenario.rules):
-        width = 1 if rule.transform == "duplicate_rows" else len(rule.columns)
-        parts.append(
-            f"""SELECT {no}::BIGINT AS rule_no, '{rule.rule_id}' AS rule_id,
-                {_eligible(scenario, rule)} // {rule.one_in} * {width} AS generated_assertions"""
-        )
+        where = rule.where.replace(f" AND l_partkey < {KEY_STEP}", "") or "TRUE"
+        if rule.rule_id in {"RELATIONAL-NEGATIVE-QUANTITY", "RELATIONAL-LARGE-DISCOUNT"}:
+            where += f" AND tok NOT IN {_drawn_tokens(rules['RELATIONAL-LOST-PART'], scenario.seed)}"
+        if rule.rule_id == "CONTEXT-SHIPPING-BLOCK":
+            where += f" AND tok NOT IN {_drawn_tokens(rules['CONTEXT-HIDDEN-CITY'], scenario.seed)}"
+        if rule.rule_id == "CONTEXT-GHOST-CUSTOMER":  # cells that the earlier rule changed are used
+            moved = rotated_ctes(rules["CONTEXT-MOVED-CUSTOMER"], scenario.seed, "orders")
+            where += f" AND tok NOT IN ({ctes(moved)} SELECT tok FROM changes WHERE new_o_custkey IS DISTINCT FROM o_custkey)"
+        placed = replace(rule, where=where)
+        table = "priced" if name == "context" and rule.table == "lineitem" else rule.table
+        if rule.transform == "rotate_values":
+            named = rotated_ctes(placed, scenario.seed, table)
+            changed = " + ".join(f"count(*) FILTER (new_{column} IS DISTINCT FROM {column})" for column in rule.columns)
+        else:
+            named = drawn_ctes(placed, scenario.seed, table, {column: "NULL" for column in rule.columns})
+            changed = f"count(*) * {1 if rule.transform == 'duplicate_rows' else len(rule.columns)}"
+        parts.append(f"""SELECT {no}::BIGINT AS rule_no, '{rule.rule_id}' AS rule_id, generated_assertions
+            FROM ({ctes(named)} SELECT ({changed})::BIGINT AS generated_assertions FROM changes)""")
     return _union_all(parts)
 
 
-_SCENARIO_CTES = {key: trade.SQL_TABLES[key] for key in ("t_orders", "t_customer", "t_part")}
+def _scenario_sql(name: str) -> str:
+    target = scenarios.SCENARIOS[name].target_quality_score
+    return ctes({
+        "f": _generated_sql(name),
+        "n": f"""SELECT faults, round(faults * {target} / {100 - target})::BIGINT AS kept
+                 FROM (SELECT sum(generated_assertions)::BIGINT AS faults FROM f)""",
+    }) + """
+SELECT 'raw' AS stage, round(100.0::DOUBLE * kept / (kept + faults), 4) AS quality_score, 0.0::DOUBLE AS repair_accuracy,
+       100.0::DOUBLE AS control_preservation, 0::BIGINT AS repaired_faults, faults AS remaining_faults,
+       kept AS preserved_controls, 0::BIGINT AS false_positives, 0::BIGINT AS missing_rows FROM n
+UNION ALL SELECT 'clean', 100.0, 100.0, 100.0, faults, 0, kept, 0, 0 FROM n"""
 
-QUERIES["surface_scenario"] = _scenario_quality("surface")
-ORACLES["surface_scenario"] = ctes({**_SCENARIO_CTES, "f": _faults_sql("surface")}) + """
-, n AS (SELECT sum(generated_assertions)::BIGINT AS faults FROM f)
-SELECT 'raw' AS stage, 50.0::DOUBLE AS quality_score, 0.0::DOUBLE AS repair_accuracy, 100.0::DOUBLE AS control_preservation,
-       0::BIGINT AS repaired_faults, faults AS remaining_faults, faults AS preserved_controls, 0::BIGINT AS false_positives, 0::BIGINT AS missing_rows FROM n
-UNION ALL SELECT 'clean', 100.0, 100.0, 100.0, faults, 0, faults, 0, 0 FROM n"""
-QUERIES["relational_scenario"] = _scenario_quality("relational")
-QUERIES["context_scenario"] = _scenario_quality("context")
+
+for _name in scenarios.SCENARIOS:
+    QUERIES[f"{_name}_scenario"] = _scenario_quality(_name)
+    ORACLES[f"{_name}_scenario"] = _scenario_sql(_name)
+
+
+def _scenario_statistics(name: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        made = inject.inject(trade.dataset(spark, folder, priced=name == "context"), scenarios.SCENARIOS[name])
+        return made.rule_statistics.select("rule_no", "rule_id", "generated_assertions")
+
+    return run
 
 
-@query(ctes({**_SCENARIO_CTES, "f": _faults_sql("surface")}) + "\nSELECT * FROM f")
-def surface_rule_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """A scenario of twelve rules, each applied to the result of the last."""
-    made = inject.inject(trade.dataset(spark, folder), scenarios.SURFACE)
-    return made.rule_statistics.select("rule_no", "rule_id", "generated_assertions")
+for _name in scenarios.SCENARIOS:
+    QUERIES[f"{_name}_rule_statistics"] = _scenario_statistics(_name)
+    ORACLES[f"{_name}_rule_statistics"] = _generated_sql(_name)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +36,27 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir() or folder
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table written in between, in a folder of this application."""
+    root = checkpoint_folder(spark).rstrip("/")
+    return f"{root}/mendwell-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read on from there.
 
+    Unlike a checkpointed RDD the written table is computed once, and later
+    plans still prune its columns and push their filters into its scan.
+    """
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, for tables written in between."""
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def cut_all(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """``cut_lineage`` of several tables side by side."""
+    with ThreadPoolExecutor(max_workers=max(len(tables), 1)) as pool:
+        return dict(zip(tables, pool.map(cut_lineage, tables.values())))
 
 
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
