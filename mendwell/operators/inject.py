@@ -11,6 +11,7 @@ earlier rule has used.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from mendwell.functions.faults import CYCLIC, TEXT_MAKING, faulty
 from mendwell.functions.text import canonical_value, key_token, row_json
-from mendwell.operators.sampling import Cut, draw_hash, find_cut, with_index
+from mendwell.operators.sampling import Cut, Draw, draw_hash, find_cuts, with_index
 from mendwell.session import cut_lineage, small_side
 from mendwell.spec import Dataset, Rule, Scenario, TableSpec
 
@@ -33,6 +34,7 @@ _RECORD = (
     "corrupted_primary_key string, error_type string, severity string, expected_action string, "
     "recoverability string"
 )
+_RECORD_COLUMNS = [part.split()[0] for part in _RECORD.split(", ")]
 
 
 @dataclass
@@ -82,48 +84,19 @@ def _open(df: DataFrame, rule: Rule, spec: TableSpec, columns: Sequence[str]) ->
     return F.coalesce(condition, F.lit(False))
 
 
-def _draw(df: DataFrame, rule: Rule, spec: TableSpec, seed: int, columns: Sequence[str]) -> tuple[Column, Cut]:
+def _wish(df: DataFrame, rule: Rule, spec: TableSpec, seed: int) -> Draw:
+    columns = () if rule.transform == "duplicate_rows" else rule.columns
     hashed = draw_hash(seed, rule.rule_id, key_token(spec.primary_key))
-    open_row = _open(df, rule, spec, columns)
-    cut = find_cut(df.filter(open_row).select(hashed.alias("h")), rule.count, rule.one_in, rule.rule_id)
-    return open_row & cut.contains(hashed), cut
+    return Draw(rule.rule_id, _open(df, rule, spec, columns), hashed, rule.count, rule.one_in)
 
 
-def _indexed(drawn: DataFrame, cut: Cut) -> DataFrame:
-    return with_index(drawn, ["_token"], "_index", cut.taken)
+def _drawn(df: DataFrame, rule: Rule, spec: TableSpec, seed: int, cut: Cut) -> Column:
+    wish = _wish(df, rule, spec, seed)
+    return wish.eligible & cut.contains(wish.hashed)
 
 
-def _records(changes: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, types: Mapping[str, T.DataType]) -> DataFrame:
-    """Journal rows of updates from ``_token`` and ``_old_c`` / ``_new_c`` pairs."""
-    pairs = [
-        F.struct(
-            F.lit(no).alias("column_no"),
-            F.lit(column).alias("column"),
-            canonical_value(F.col(f"_old_{column}"), types[column]).alias("clean_value"),
-            canonical_value(F.col(f"_new_{column}"), types[column]).alias("corrupted_value"),
-            F.lit(types[column].simpleString()).alias("value_type"),
-            (
-                key_token(
-                    spec.primary_key,
-                    [F.col(f"_new_{key}" if key in rule.columns else key) for key in spec.primary_key],
-                )
-                if column in spec.primary_key
-                else F.lit(None).cast("string")
-            ).alias("corrupted_primary_key"),
-            F.col(f"_old_{column}").eqNullSafe(F.col(f"_new_{column}")).alias("same"),
-        )
-        for no, column in enumerate(rule.columns)
-    ]
-    cells = changes.select(F.col("_token").alias("primary_key"), F.explode(F.array(*pairs)).alias("c"))
-    return cells.filter(~F.col("c.same")).select(
-        F.lit(rule_no).cast("bigint").alias("rule_no"),
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit("update_cell").alias("operation"),
-        F.lit(rule.table).alias("table"),
-        "primary_key", "c.column_no", "c.column", "c.clean_value", "c.corrupted_value", "c.value_type",
-        "c.corrupted_primary_key",
-        *_labels(rule),
-    )
+def _indexed(drawn: DataFrame, cut: Cut) -> DataFrame:
+    return with_index(drawn, ["_token"], "_index", cut.taken)
 
 
 def _labels(rule: Rule) -> list[Column]:
@@ -135,77 +108,114 @@ def _labels(rule: Rule) -> list[Column]:
     ]
 
 
-def _write_changes(df: DataFrame, rule: Rule, drawn: Column) -> DataFrame:
-    """Replace the drawn cells by ``_new_c`` and remember them as used."""
-    updates: dict[str, Column] = {}
+def _cell_records(
+    rule: Rule, rule_no: int, spec: TableSpec, types: Mapping[str, T.DataType],
+    old: Mapping[str, Column], new: Mapping[str, Column], drawn: Column,
+) -> list[Column]:
+    """A journal record per column of the rule; NULL where the cell stays."""
+    nothing = F.lit(None).cast("string")
+    moved = key_token(spec.primary_key, [new.get(key, F.col(key)) for key in spec.primary_key])
+    return [
+        F.when(
+            drawn & ~old[column].eqNullSafe(new[column]),
+            F.struct(
+                F.lit(rule_no).cast("bigint").alias("rule_no"),
+                F.lit(rule.rule_id).alias("rule_id"),
+                F.lit("update_cell").alias("operation"),
+                F.lit(rule.table).alias("table"),
+                F.lit(no).alias("column_no"),
+                F.lit(column).alias("column"),
+                canonical_value(old[column], types[column]).alias("clean_value"),
+                canonical_value(new[column], types[column]).alias("corrupted_value"),
+                F.lit(types[column].simpleString()).alias("value_type"),
+                (moved if column in spec.primary_key else nothing).alias("corrupted_primary_key"),
+                *_labels(rule),
+            ),
+        )
+        for no, column in enumerate(rule.columns)
+    ]
+
+
+def _journal_rows(df: DataFrame, token: Column, records: Sequence[Column]) -> DataFrame:
+    rows = df.select(token.alias("primary_key"), F.inline(F.array_compact(F.array(*records))))
+    return rows.select(*_RECORD_COLUMNS)
+
+
+def _new_values(rule: Rule, types: Mapping[str, T.DataType], index: Column) -> dict[str, Column]:
+    if rule.transform == "swap_columns":
+        left, right = rule.columns
+        return {left: F.col(right).cast(types[left]), right: F.col(left).cast(types[right])}
+    return {column: faulty(rule.transform, F.col(column), types[column], index, rule.params) for column in rule.columns}
+
+
+def apply_plain(
+    df: DataFrame, rules: Sequence[tuple[int, Rule]], spec: TableSpec, seed: int, cuts: Mapping[int, Cut]
+) -> tuple[DataFrame, DataFrame]:
+    """Rules that look at nothing but their own row and do not touch each
+    other's columns: together one projection, and one pass for the journal."""
+    marked = df.withColumns({f"_drawn_{no}": _drawn(df, rule, spec, seed, cuts[no]) for no, rule in rules})
+    for _, rule in rules:
+        if rule.transform in TEXT_MAKING:
+            marked = _as_text(marked, rule.columns)
+    types = _types(marked)
+    new = {no: _new_values(rule, types, F.lit(0)) for no, rule in rules}
+    marked = marked.withColumns({f"_new_{no}_{c}": value for no, values in new.items() for c, value in values.items()})
+    records, updates = [], {}
+    for no, rule in rules:
+        drawn = F.col(f"_drawn_{no}")
+        old = {column: F.col(column) for column in rule.columns}
+        fresh = {column: F.col(f"_new_{no}_{column}") for column in rule.columns}
+        records += _cell_records(rule, no, spec, types, old, fresh, drawn)
+        updates.update(_updates(df, rule, drawn, fresh))
+    journal = _journal_rows(marked, key_token(spec.primary_key), records)
+    return marked.withColumns(updates).select(*dict.fromkeys([*df.columns, *updates])), journal
+
+
+def _updates(df: DataFrame, rule: Rule, drawn: Column, new: Mapping[str, Column]) -> dict[str, Column]:
+    """Cells of the rule with their faults, and what is used by now."""
+    updates = {}
     for column in rule.columns:
         earlier = F.col(_USED + column) if _USED + column in df.columns else F.lit(False)
-        changed = drawn & ~F.col(column).eqNullSafe(F.col(f"_new_{column}"))
-        updates[column] = F.when(drawn, F.col(f"_new_{column}")).otherwise(F.col(column))
+        changed = drawn & ~F.col(column).eqNullSafe(new[column])
+        updates[column] = F.when(drawn, new[column]).otherwise(F.col(column))
         updates[_USED + column] = earlier | changed
-    scratch = {"_drawn", "_index", "_token", *[f"_new_{column}" for column in rule.columns]}
-    kept = [name for name in df.columns if name not in scratch]
-    return df.select(
-        *[updates.get(name, F.col(name)).alias(name) for name in kept],
-        *[expression.alias(name) for name, expression in updates.items() if name not in kept],
-    )
-
+    return updates
 
-def apply_cells(df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int) -> tuple[DataFrame, DataFrame, int]:
-    """A transform of single cells, and the swap of two columns.
 
-    Rows are drawn by the values as they are; a column that the rule fills with
-    text is text from then on, as raw data holds it.
-    """
-    drawn, cut = _draw(df, rule, spec, seed, rule.columns)
-    marked = df.withColumn("_drawn", drawn)
-    if rule.transform in TEXT_MAKING:
-        marked = _as_text(marked, rule.columns)
+def apply_cyclic(
+    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut
+) -> tuple[DataFrame, DataFrame]:
+    """A transform that takes turns among variants along the drawn rows."""
+    drawn = _drawn(df, rule, spec, seed, cut)
+    token = key_token(spec.primary_key)
+    sample = cut_lineage(_indexed(df.filter(drawn).select(token.alias("_token")), cut))
+    marked = _as_text(df.withColumn("_token", token).join(small_side(sample, cut.taken), "_token", "left"), rule.columns)
     types = _types(marked)
-    index = F.lit(0)
-    if rule.transform in CYCLIC:
-        sample = _indexed(df.filter(drawn).select(key_token(spec.primary_key).alias("_token")), cut)
-        marked = marked.withColumn("_token", key_token(spec.primary_key)).join(
-            small_side(sample, cut.taken), "_token", "left"
-        )
-        index = F.col("_index")
-    if rule.transform == "swap_columns":
-        left, right = rule.columns
-        new = {left: F.col(right).cast(types[left]), right: F.col(left).cast(types[right])}
-    else:
-        new = {
-            column: faulty(rule.transform, F.col(column), types[column], index, rule.params)
-            for column in rule.columns
-        }
-    marked = marked.withColumns({f"_new_{column}": expression for column, expression in new.items()})
-    changes = marked.filter("_drawn").select(
-        key_token(spec.primary_key).alias("_token"),
-        *spec.primary_key,
-        *[F.col(column).alias(f"_old_{column}") for column in rule.columns],
-        *[f"_new_{column}" for column in rule.columns],
-    )
-    return (
-        _write_changes(marked, rule, F.col("_drawn")),
-        _records(changes, rule, rule_no, spec, types),
-        cut.taken * len(rule.columns),
-    )
+    hit = F.col("_index").isNotNull()
+    new = _new_values(rule, types, F.col("_index"))
+    old = {column: F.col(column) for column in rule.columns}
+    journal = _journal_rows(marked.filter(hit), F.col("_token"), _cell_records(rule, rule_no, spec, types, old, new, hit))
+    updates = _updates(df, rule, hit, new)
+    return marked.withColumns(updates).select(*dict.fromkeys([*df.columns, *updates])), journal
 
 
-def apply_rotation(df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int) -> tuple[DataFrame, DataFrame, int]:
+def apply_rotation(
+    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut
+) -> tuple[DataFrame, DataFrame]:
     """Each drawn row takes the values of the drawn row ``shift`` places on.
 
     Where a value would not change, the row turns to the next donor and stays
     with it for its remaining columns.
     """
     types = _types(df)
-    drawn, cut = _draw(df, rule, spec, seed, rule.columns)
     if cut.taken < 2:
-        return df, df.sparkSession.createDataFrame([], _RECORD), 0
+        return df, df.sparkSession.createDataFrame([], _RECORD)
     shift = int(rule.params.get("shift", 1)) % cut.taken or 1
     token = key_token(spec.primary_key)
-    sample = cut_lineage(_indexed(df.filter(drawn).select(token.alias("_token"), *spec.primary_key, *[
-        F.col(column).alias(f"_old_{column}") for column in rule.columns
-    ]), cut))
+    drawn = df.filter(_drawn(df, rule, spec, seed, cut)).select(
+        token.alias("_token"), *spec.primary_key, *[F.col(column).alias(f"_old_{column}") for column in rule.columns]
+    )
+    sample = cut_lineage(_indexed(drawn, cut))
 
     def donors(step: int, name: str) -> DataFrame:
         place = F.pmod(F.col("_index") - F.lit(shift + step), F.lit(cut.taken))
@@ -215,27 +225,27 @@ def apply_rotation(df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, see
 
     paired = sample.join(donors(0, "_one_"), "_index").join(donors(1, "_two_"), "_index")
     turned: Column = F.lit(False)
-    new: dict[str, Column] = {}
+    values: dict[str, Column] = {}
     for column in rule.columns:
         turned = turned | F.col(f"_one_{column}").eqNullSafe(F.col(f"_old_{column}"))
-        new[f"_new_{column}"] = F.when(turned, F.col(f"_two_{column}")).otherwise(F.col(f"_one_{column}"))
-    changes = paired.withColumns(new)
-    back = changes.select("_token", F.lit(True).alias("_drawn"), *new)
+        values[f"_new_{column}"] = F.when(turned, F.col(f"_two_{column}")).otherwise(F.col(f"_one_{column}"))
+    changes = cut_lineage(paired.withColumns(values))
+    old = {column: F.col(f"_old_{column}") for column in rule.columns}
+    new = {column: F.col(f"_new_{column}") for column in rule.columns}
+    journal = _journal_rows(changes, F.col("_token"), _cell_records(rule, rule_no, spec, types, old, new, F.lit(True)))
+    back = changes.select("_token", F.lit(True).alias("_drawn"), *new.values())
     marked = df.withColumn("_token", token).join(small_side(back, cut.taken), "_token", "left")
-    return (
-        _write_changes(marked, rule, F.coalesce(F.col("_drawn"), F.lit(False))),
-        _records(changes, rule, rule_no, spec, types),
-        cut.taken * len(rule.columns),
-    )
+    updates = _updates(df, rule, F.coalesce(F.col("_drawn"), F.lit(False)), new)
+    return marked.withColumns(updates).select(*dict.fromkeys([*df.columns, *updates])), journal
 
 
-def apply_duplication(df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int) -> tuple[DataFrame, DataFrame, int]:
+def apply_duplication(
+    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut
+) -> tuple[DataFrame, DataFrame]:
     """Clone drawn rows, as they are now, under new keys."""
-    if len(spec.primary_key) != 1:
-        raise ValueError(f"{rule.rule_id}: duplicate_rows needs a single-column primary key")
     key = spec.primary_key[0]
-    drawn, cut = _draw(df, rule, spec, seed, ())
-    sample = _indexed(df.filter(drawn).withColumn("_token", key_token([key])), cut)
+    drawn = df.filter(_drawn(df, rule, spec, seed, cut)).withColumn("_token", key_token([key]))
+    sample = _indexed(drawn, cut)
     number = F.col("_index") + 1
     dtype = _types(df)[key]
     if isinstance(dtype, T.StringType):
@@ -244,6 +254,7 @@ def apply_duplication(df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec,
         new_key = (number + int(rule.params.get("new_pk_base", 900_000))).cast(dtype)
     clones = cut_lineage(sample.withColumn(key, new_key).drop("_index", "_token"))
     plain = visible(clones)
+    nothing = F.lit(None).cast("string")
     records = plain.select(
         F.lit(rule_no).cast("bigint").alias("rule_no"),
         F.lit(rule.rule_id).alias("rule_id"),
@@ -251,23 +262,86 @@ def apply_duplication(df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec,
         F.lit(rule.table).alias("table"),
         key_token([key]).alias("primary_key"),
         F.lit(0).alias("column_no"),
-        F.lit(None).cast("string").alias("column"),
-        F.lit(None).cast("string").alias("clean_value"),
+        nothing.alias("column"),
+        nothing.alias("clean_value"),
         row_json(plain).alias("corrupted_value"),
-        F.lit(None).cast("string").alias("value_type"),
-        F.lit(None).cast("string").alias("corrupted_primary_key"),
+        nothing.alias("value_type"),
+        nothing.alias("corrupted_primary_key"),
         *_labels(rule),
     )
-    return df.unionByName(clones), records, cut.taken
+    return df.unionByName(clones), records
+
+
+def _is_plain(rule: Rule) -> bool:
+    return rule.transform not in CYCLIC and rule.transform not in {"rotate_values", "duplicate_rows"}
 
 
-def apply_rule(df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int) -> tuple[DataFrame, DataFrame, int]:
-    """The table after the rule, its journal rows, and a bound on their number."""
-    if rule.transform == "rotate_values":
-        return apply_rotation(df, rule, rule_no, spec, seed)
-    if rule.transform == "duplicate_rows":
-        return apply_duplication(df, rule, rule_no, spec, seed)
-    return apply_cells(df, rule, rule_no, spec, seed)
+def _reads(rule: Rule, column: str) -> bool:
+    named = {*rule.columns, *rule.extra_columns, rule.params.get("source_column")}
+    return column in named or re.search(rf"\b{re.escape(column)}\b", rule.where, re.IGNORECASE) is not None
+
+
+def _writes(rule: Rule) -> set[str]:
+    return set() if rule.transform == "duplicate_rows" else set(rule.columns)
+
+
+def independent_runs(rules: Sequence[tuple[int, Rule]], spec: TableSpec) -> list[list[tuple[int, Rule]]]:
+    """Stretches of rules of which none reads what another one writes.
+
+    A corrupted key concerns every later rule, and so do cloned rows.
+    """
+    runs: list[list[tuple[int, Rule]]] = []
+
+    def clash(earlier: Rule, later: Rule) -> bool:
+        return (
+            earlier.transform == "duplicate_rows"
+            or bool(_writes(earlier) & set(spec.primary_key))
+            or any(_reads(later, column) for column in _writes(earlier))
+            or any(_reads(earlier, column) for column in _writes(later))
+        )
+
+    for no, rule in rules:
+        if not runs or any(clash(earlier, rule) for _, earlier in runs[-1]):
+            runs.append([])
+        runs[-1].append((no, rule))
+    return runs
+
+
+def apply_rules(
+    df: DataFrame, rules: Sequence[tuple[int, Rule]], spec: TableSpec, seed: int
+) -> tuple[DataFrame, list[DataFrame], dict[int, Cut]]:
+    """The table after numbered rules, their journal rows, and what they drew.
+
+    Rules that do not depend on each other draw together, in two passes over
+    the table. Plain ones are written by one projection and journalled in one
+    more pass.
+    """
+    for _, rule in rules:
+        if rule.transform == "duplicate_rows" and len(spec.primary_key) != 1:
+            raise ValueError(f"{rule.rule_id}: duplicate_rows needs a single-column primary key")
+    journal: list[DataFrame] = []
+    drawn: dict[int, Cut] = {}
+    special = {"rotate_values": apply_rotation, "duplicate_rows": apply_duplication}
+    for run in independent_runs(rules, spec):
+        wishes = [_wish(df, rule, spec, seed) for _, rule in run]
+        cuts = dict(zip([no for no, _ in run], find_cuts(df, wishes), strict=True))
+        drawn.update(cuts)
+        plain = [(no, rule) for no, rule in run if _is_plain(rule)]
+        if plain:
+            df, records = apply_plain(df, plain, spec, seed, cuts)
+            journal.append(records)
+        for no, rule in run:
+            if not _is_plain(rule):
+                apply = special.get(rule.transform, apply_cyclic)
+                df, records = apply(df, rule, no, spec, seed, cuts[no])
+                journal.append(records)
+    return df, journal, drawn
+
+
+def apply_rule(df: DataFrame, rule: Rule, spec: TableSpec, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The table after one rule, and its journal rows."""
+    after, journal, _ = apply_rules(df, [(0, rule)], spec, seed)
+    return visible(after), journal[0]
 
 
 def numbered_journal(records: DataFrame, scenario_id: str, bound: int) -> DataFrame:
@@ -295,47 +369,29 @@ def rule_statistics(journal: DataFrame, rules: Sequence[Rule], requested: Mappin
     return wanted.join(made, "rule_id", "left").fillna(0, ["generated_assertions"])
 
 
-def _apply_rules(
-    df: DataFrame, rules: Sequence[tuple[int, Rule]], spec: TableSpec, seed: int, cut_every: int
-) -> tuple[DataFrame, list[tuple[int, DataFrame, int]]]:
-    """The rules of one table, each applied to the result of the last."""
-    made = []
-    for step, (no, rule) in enumerate(rules, 1):
-        df, records, bound = apply_rule(df, rule, no, spec, seed)
-        made.append((no, cut_lineage(records), bound))
-        if step % cut_every == 0 and step < len(rules):
-            df = cut_lineage(df)
-    return df, made
-
-
-def inject(dataset: Dataset, scenario: Scenario, cut_every: int = 8) -> Injected:
+def inject(dataset: Dataset, scenario: Scenario) -> Injected:
     """Apply the rules of a scenario in order, each to the result of the last.
 
     A rule sees and changes one table only, so the tables go side by side: their
-    jobs share the cluster. The lineage of a table is cut through the shared
-    folder after every ``cut_every`` of its rules and at the end.
+    jobs share the cluster. The lineage of a table ends in the shared folder.
     """
     by_table: dict[str, list[tuple[int, Rule]]] = {}
     for no, rule in enumerate(scenario.rules):
         by_table.setdefault(rule.table, []).append((no, rule))
 
-    def run(table: str) -> tuple[DataFrame, list[tuple[int, DataFrame, int]]]:
-        spec = dataset.specs[table]
-        df, made = _apply_rules(dataset[table], by_table[table], spec, scenario.seed, cut_every)
-        return cut_lineage(visible(df)), made
+    def run(table: str) -> tuple[DataFrame, DataFrame, dict[int, Cut]]:
+        df, made, drawn = apply_rules(dataset[table], by_table[table], dataset.specs[table], scenario.seed)
+        return cut_lineage(visible(df)), cut_lineage(reduce(DataFrame.unionByName, made)), drawn
 
     with ThreadPoolExecutor(max_workers=len(by_table)) as pool:
         done = dict(zip(by_table, pool.map(run, by_table)))
-    made = sorted((one for _, parts in done.values() for one in parts), key=lambda part: part[0])
-    bounds = {no: bound for no, _, bound in made}
-    requested = {
-        rule.rule_id: bounds[no] // (1 if rule.transform == "duplicate_rows" else len(rule.columns))
-        for no, rule in enumerate(scenario.rules)
-    }
-    records = reduce(DataFrame.unionByName, [part for _, part, _ in made])
-    journal = cut_lineage(numbered_journal(records, scenario.id, sum(bounds.values())))
+    drawn = {no: cut.taken for _, _, cuts in done.values() for no, cut in cuts.items()}
+    requested = {rule.rule_id: drawn[no] for no, rule in enumerate(scenario.rules)}
+    bound = sum(drawn[no] * len(rule.columns) for no, rule in enumerate(scenario.rules))
+    records = reduce(DataFrame.unionByName, [made for _, made, _ in done.values()])
+    journal = cut_lineage(numbered_journal(records, scenario.id, bound))
     return Injected(
-        dataset.with_tables({table: df for table, (df, _) in done.items()}),
+        dataset.with_tables({table: df for table, (df, _, _) in done.items()}),
         journal,
         rule_statistics(journal, scenario.rules, requested),
         journal.count(),

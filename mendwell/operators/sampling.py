@@ -49,36 +49,64 @@ def _hex(fraction: float) -> str:
     return f"{int(max(fraction, 0.0) * 2**52):013x}"
 
 
-def find_cut(hashes: DataFrame, count: int | None = None, one_in: int | None = None, what: str = "sample") -> Cut:
-    """The cut that draws exactly ``count`` rows, or one row in ``one_in``.
+@dataclass(frozen=True)
+class Draw:
+    """A wish for rows: which are eligible, their hashes, and how many."""
+
+    name: str
+    eligible: Column
+    hashed: Column
+    count: int | None = None
+    one_in: int | None = None
+
 
-    ``hashes`` has one column ``h``. The first job counts the rows. The second
-    counts hashes below the band where the last one must lie and ranks the band:
-    of k drawn rows some 12 * sqrt(k), a few hundred thousand for a billion. If
-    the band should miss it, a wider one is tried.
+def find_cuts(df: DataFrame, draws: Sequence[Draw]) -> list[Cut]:
+    """A cut per draw; together they read the table twice, however many there are.
+
+    The first job counts eligible rows. The second counts hashes below the band
+    where the last drawn one must lie and ranks the band: of k drawn rows some
+    12 * sqrt(k), a few hundred thousand for a billion. Should a band miss, a
+    wider one is tried.
     """
-    eligible = hashes.count()
-    wanted = count if count is not None else eligible // one_in
-    if eligible < wanted:
-        raise NotEnoughRows(f"{what}: {wanted} rows wanted, only {eligible} eligible")
-    if wanted in (0, eligible):
-        return Cut("g", wanted, eligible)
-    order = Window.orderBy(F.asc_nulls_first("h"))
-    reach = 6 * math.sqrt(wanted) + 16
-    while True:
-        low, high = _hex((wanted - reach) / eligible), _hex((wanted + reach) / eligible)
-        band = (
-            hashes.filter(F.col("h") <= high)
-            .groupBy(F.when(F.col("h") >= low, F.col("h")).alias("h"))
+    counts = df.agg(*[F.count_if(draw.eligible).alias(f"n{no}") for no, draw in enumerate(draws)]).first()
+    cuts: dict[int, Cut] = {}
+    for no, draw in enumerate(draws):
+        wanted = draw.count if draw.count is not None else counts[no] // draw.one_in
+        if counts[no] < wanted:
+            raise NotEnoughRows(f"{draw.name}: {wanted} rows wanted, only {counts[no]} eligible")
+        cuts[no] = Cut("g" if wanted in (0, counts[no]) else "", wanted, counts[no])
+    widen = 1
+    while open_draws := [no for no, cut in cuts.items() if not cut.last]:
+        ends = []
+        for no in open_draws:
+            cut = cuts[no]
+            reach = widen * (6 * math.sqrt(cut.taken) + 16)
+            low, high = _hex((cut.taken - reach) / cut.eligible), _hex((cut.taken + reach) / cut.eligible)
+            hashed = draws[no].hashed
+            near = F.struct(F.lit(no).alias("no"), F.when(hashed >= low, hashed).alias("h"))
+            ends.append(F.when(draws[no].eligible & (hashed <= high), near))
+        order = Window.partitionBy("no").orderBy(F.asc_nulls_first("h"))
+        wanted = F.element_at(F.array(*[F.lit(cuts[no].taken) for no in range(len(draws))]), F.col("no") + 1)
+        hits = (
+            df.select(F.inline(F.array_compact(F.array(*ends))))
+            .groupBy("no", "h")
             .agg(F.count("*").alias("n"))
             .withColumn("upto", F.sum("n").over(order))
+            .filter((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted) & F.col("h").isNotNull())
+            .collect()  # at most one row per draw
         )
-        hit = band.filter(F.col("upto") >= wanted).orderBy(F.asc_nulls_first("h")).first()
-        if hit is not None and hit["h"] is not None:
-            if hit["upto"] != wanted:
-                raise ValueError(f"{what}: keys are not unique, so an exact sample does not exist")
-            return Cut(hit["h"], wanted, eligible)
-        reach *= 8
+        for hit in hits:
+            cut = cuts[hit["no"]]
+            if hit["upto"] != cut.taken:
+                raise ValueError(f"{draws[hit['no']].name}: keys are not unique, so an exact sample does not exist")
+            cuts[hit["no"]] = Cut(hit["h"], cut.taken, cut.eligible)
+        widen *= 8
+    return [cuts[no] for no in range(len(draws))]
+
+
+def find_cut(hashes: DataFrame, count: int | None = None, one_in: int | None = None, what: str = "sample") -> Cut:
+    """The cut through the column ``h``."""
+    return find_cuts(hashes, [Draw(what, F.lit(True), F.col("h"), count, one_in)])[0]
 
 
 def with_index(df: DataFrame, order: Sequence[str], name: str, rows: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ from mendwell.functions import checks, fixes
 from mendwell.functions.text import key_token
 from mendwell.operators import context, detect
 from mendwell.operators import repair as repairs
-from mendwell.operators.inject import apply_rule, visible
+from mendwell.operators.inject import apply_rule
 from mendwell.plans import trade
 from mendwell.plans.scenarios import KEY_STEP, MISSING_CUSTOMER, TYPE_ALIASES, TYPE_NAMES
 from mendwell.plans.sqlkit import ctes, drawn_ctes, rotated_ctes, trade_ctes
@@ -49,8 +49,7 @@ class Case:
 
     def inject(self, spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         df = trade.table(spark, folder, self.table)
-        dirty, records, _ = apply_rule(df, self.rule, 0, self.spec, SEED)
-        return visible(dirty), records
+        return apply_rule(df, self.rule, self.spec, SEED)
 
     def sql_ctes(self) -> dict[str, str]:
         text = list(self.new_sql) if self.text else []

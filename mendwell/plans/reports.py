@@ -591,7 +591,7 @@ WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def detect_duplicate_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders alike in all identity fields that have no line."""
     spec = trade.SPECS["orders"]
-    dirty = inject.visible(inject.apply_rule(trade.orders(spark, folder), _CLONED_ORDERS, 0, spec, SEED)[0])
+    dirty = inject.apply_rule(trade.orders(spark, folder), _CLONED_ORDERS, spec, SEED)[0]
     lines = trade.source(spark, folder, "lineitem")
     return detect.childless_duplicates(dirty, ["o_orderkey"], list(_ORDER_IDENTITY), lines, ["l_orderkey"])
 

@@ -85,7 +85,7 @@ def test_clones_get_new_keys_of_the_keys_type(spark):
     assert made.dataset["named"].count() == 23
     with pytest.raises(ValueError):
         spec = TableSpec("t", ("id", "a"))
-        inject.apply_duplication(_dataset(spark)["t"], rules[1], 0, spec, 1)
+        inject.apply_rule(_dataset(spark)["t"], rules[1], spec, 1)
 
 
 def test_ids_are_dense_and_examples_come_first(spark):
@@ -134,3 +134,19 @@ def test_controls_bring_the_raw_quality_to_its_target(spark):
     greedy = Scenario("S", "s", 3, 99.0, scenario.rules, scenario.control_scope)
     with pytest.raises(sampling.NotEnoughRows):
         controls.draw_controls(data, greedy, made.journal, made.faults)
+
+
+def test_rules_that_depend_on_each_other_do_not_draw_together():
+    def rule(name, columns, transform="null", where="", **params):
+        return Rule(name, "t", tuple(columns.split()), transform, count=1, where=where, params=params)
+
+    rules = [
+        rule("1", "a"), rule("2", "b"),                      # together
+        rule("3", "c", where="A IS NOT NULL"),               # reads a
+        rule("4", "d", "date_before", source_column="c"),    # reads c
+        rule("5", "e", where="x > 0"), rule("6", "x"),       # 6 writes what 5 reads
+        rule("7", "id", "add"), rule("8", "f"),              # a corrupted key
+        rule("9", "id", "duplicate_rows"), rule("10", "g"),  # more rows
+    ]
+    runs = inject.independent_runs(list(enumerate(rules)), SPECS["t"])
+    assert [[r.rule_id for _, r in run] for run in runs] == [["1", "2"], ["3"], ["4", "5"], ["6", "7"], ["8", "9"], ["10"]]
