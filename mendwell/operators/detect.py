@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendwell.functions.text import key_token
+from mendwell.functions.text import key_token, row_text
 from mendwell.operators.groups import found_in, lookup, with_group_stats
 
 
@@ -40,6 +40,18 @@ def duplicate_entities(
     return found.filter(F.col("n") > 1).withColumnRenamed("n", "rows_alike")
 
 
+def repeated_texts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows whose fields another row has as well, for long fields.
+
+    Fields are told apart by their SHA-256, so no text is shuffled.
+    """
+    known = df.na.drop("any", subset=list(columns))
+    rows = known.select(*keys, F.sha2(row_text(known.select(*columns)), 256).alias("digest"))
+    counts = rows.groupBy("digest").agg(F.count("*").alias("rows_alike")).filter("rows_alike > 1")
+    found = with_group_stats(rows, counts, ["digest"], ["rows_alike"], "rows_alike")
+    return found.filter(F.col("rows_alike").isNotNull())
+
+
 def childless_duplicates(
     df: DataFrame,
     keys: Sequence[str],

@@ -35,7 +35,8 @@ def with_group_stats(
     partitions in the join that serves all other groups, so the rows are read
     once and no task takes a whole hot group. Join keys are matched by ``=``:
     rows with a NULL in their key get NULL statistics. ``stats`` must list every
-    hot group, also those without a finding: see ``found_in``.
+    hot group, also those without a finding: see ``found_in``. Rows are spread
+    by a hash of all their columns, so they should be distinct (hold a key).
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     hot_keys = [F.col(key).alias(f"_hot_{key}") for key in keys]
@@ -96,9 +97,9 @@ def group_quantiles(
     ``quantiles`` maps an output name to a fraction ``(numerator, denominator)``;
     the result is the value at rank ``ceil(fraction * n)``. A mergeable sketch
     brackets each rank from both sides, twice as wide as its error bound.
-    Values below a bracket are only counted; equal values inside it are counted
-    together, and what is left to rank is some 4/accuracy of the group. Also
-    returns ``n``, the number of values in the group.
+    Equal values are counted together before they meet the brackets; values
+    below a bracket are only summed up, and what is left to rank is some
+    4/accuracy of the group. Also returns ``n``, the number of values in it.
     """
     keys = list(keys)
     known = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -109,6 +110,7 @@ def group_quantiles(
     brackets = known.groupBy(*keys).agg(
         F.percentile_approx("_v", F.array(*ends), accuracy).alias("_ends"), F.count("*").alias("n")
     )
+    counted = known.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
     wanted = F.array(*[
         F.struct(
             F.lit(name).alias("name"),
@@ -119,11 +121,11 @@ def group_quantiles(
         for place, (name, (top, bottom)) in enumerate(quantiles.items())
     ])
     slots = (
-        with_group_stats(known, brackets, keys, ["_ends", "n"])
+        with_group_stats(counted, brackets, keys, ["_ends", "n"])
         .withColumn("_q", F.explode(wanted))
         .filter(F.col("_v") <= F.col("_q.hi"))
         .groupBy(*keys, F.col("_q.name").alias("_name"), F.when(F.col("_v") >= F.col("_q.lo"), F.col("_v")).alias("_v"))
-        .agg(F.count("*").alias("_n"), F.max("n").alias("n"), F.max("_q.rank").alias("_rank"))
+        .agg(F.sum("_n").alias("_n"), F.max("n").alias("n"), F.max("_q.rank").alias("_rank"))
     )
     order = Window.partitionBy(*keys, "_name").orderBy(F.asc_nulls_first("_v"))
     hit = slots.withColumn("_upto", F.sum("_n").over(order)).filter(

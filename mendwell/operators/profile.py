@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendwell.functions.text import canonical_columns, storage_class
+from mendwell.functions.text import canonical_value, storage_class
 from mendwell.operators.compare import fingerprint
 from mendwell.operators.constraints import constraint_violations, reference_violations
 from mendwell.spec import Dataset, Rule, TableSpec
@@ -36,14 +36,28 @@ def null_counts(df: DataFrame) -> DataFrame:
     ])))
 
 
+_LONG = 64
+
+
 def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How often each value of each column occurs: one shuffle for all columns,
-    in which equal values are counted before they move."""
-    cells = F.array(*[
-        F.struct(F.lit(name).alias("column"), value.alias("value"))
-        for name, value in zip(columns, canonical_columns(df, columns), strict=True)
-    ])
-    return df.select(F.inline(cells)).groupBy("column", "value").agg(F.count("*").alias("n"))
+    in which equal values are counted before they move.
+
+    A long text is known by its hash from here on, which says as well whether
+    two texts are equal and is all that travels.
+    """
+
+    def cell(name: str, value: Column) -> Column:
+        short = F.when(F.length(value) > _LONG, F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
+        return F.struct(F.lit(name).alias("column"), storage_class(value).alias("kind"), short.alias("value"))
+
+    cells = [cell(name, value) for name, value in zip(columns, _plain_columns(df, columns), strict=True)]
+    return df.select(F.inline(F.array(*cells))).groupBy("column", "kind", "value").agg(F.count("*").alias("n"))
+
+
+def _plain_columns(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    types = {field.name: field.dataType for field in df.schema.fields}
+    return [canonical_value(F.col(name), types[name]) for name in columns]
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
@@ -60,7 +74,7 @@ def storage_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Histogram of what the cells of each column hold."""
     return (
         _value_counts(df, columns)
-        .groupBy("column", storage_class(F.col("value")).alias("storage_type"))
+        .groupBy("column", F.col("kind").alias("storage_type"))
         .agg(F.sum("n").alias("cells"))
     )
 
@@ -113,7 +127,7 @@ def profile(dataset: Dataset, targets: Mapping[str, Sequence[str]] | None = None
         columns = list((targets or {}).get(name, ()))
         if columns:
             values = _value_counts(df, columns)
-            kinds = values.groupBy("column", storage_class(F.col("value")).alias("kind")).agg(F.sum("n").alias("n"))
+            kinds = values.groupBy("column", "kind").agg(F.sum("n").alias("n"))
             distinct = values.groupBy("column").agg(F.count("value").alias("n"))
             parts.append(long(distinct, name, F.lit("distinct_count"), F.col("column"), F.col("n")))
             parts.append(long(kinds, name, F.concat(F.lit("storage_type:"), F.col("kind")), F.col("column"), F.col("n")))

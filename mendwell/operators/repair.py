@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mendwell.functions.text import canonical_value, key_token
+from mendwell.operators.groups import lookup
 from mendwell.operators.score import count_unresolved
 from mendwell.session import cut_lineage, small_side
 from mendwell.spec import Dataset, TableSpec
@@ -143,8 +144,9 @@ def delete_inserted(df: DataFrame, spec: TableSpec, labels: DataFrame, records:
 
 def canonical_by_vocabulary(df: DataFrame, column: str, vocabulary: DataFrame, word: str) -> DataFrame:
     """Give each value the spelling its vocabulary uses, case aside."""
-    spelled = vocabulary.groupBy(F.lower(F.col(word)).alias("_folded")).agg(F.min(word).alias("_spelling"))
-    joined = df.join(small_side(spelled), F.lower(F.col(column)) == F.col("_folded"), "left")
+    spelled = vocabulary.groupBy(F.lower(F.col(word)).alias("folded")).agg(F.min(word).alias("spelling"))
+    folded = df.withColumn("_folded", F.lower(F.col(column)))
+    joined = lookup(folded, spelled, {"_folded": "folded"}, {"_spelling": "spelling"})
     return joined.withColumn(column, F.coalesce(F.col("_spelling"), F.col(column))).drop("_folded", "_spelling")
 
 

@@ -553,10 +553,10 @@ def negative_balances(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("""SELECT doc_id, text, count(*) OVER (PARTITION BY text) AS rows_alike FROM documents
+@query("""SELECT doc_id, sha256(to_json([text])) AS digest, count(*) OVER (PARTITION BY text) AS rows_alike FROM documents
     QUALIFY count(*) OVER (PARTITION BY text) > 1""")
 def repeated_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return detect.duplicate_entities(trade.source(spark, folder, "documents"), ["doc_id"], ["text"])
+    return detect.repeated_texts(trade.source(spark, folder, "documents"), ["doc_id"], ["text"])
 
 
 @query(ctes(BY_NAME["outlier"].sql_ctes()) + """

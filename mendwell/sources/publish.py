@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
@@ -67,8 +68,8 @@ def publish(
     staged = f"{out.rstrip('/')}.staging-{uuid.uuid4().hex}"
     files, make = _filesystem(spark, staged)
     try:
-        for name, df in tables.items():
-            df.write.parquet(f"{staged}/{name}")
+        with ThreadPoolExecutor(max_workers=max(len(tables), 1)) as pool:
+            list(pool.map(lambda name: tables[name].write.parquet(f"{staged}/{name}"), tables))
         written = {name: spark.read.parquet(f"{staged}/{name}") for name in tables}
         if validate is not None and not validate(written):
             raise PublishRefused("validation failed; nothing was published")

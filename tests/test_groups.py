@@ -123,3 +123,16 @@ def test_swapped_columns_with_a_hot_word(heat, spark):
     df = spark.createDataFrame([(i, *cell) for i, cell in enumerate(cells)], "id int, city string, land string")
     got = sorted((row["city"], row["land"]) for row in detect.swapped_columns(df, ["id"], "city", "land").collect())
     assert got == [("CH", "Bern"), ("IT", "Rome")]
+
+
+def test_quantiles_of_a_hot_group_of_equal_values(heat, spark):
+    df = spark.createDataFrame([("a", 5.0)] * 900 + [("a", 1.0)] * 50 + [("b", 2.0)], "k string, v double").repartition(6)
+    got = {r["k"]: (r["n"], r["mid"]) for r in groups.group_quantiles(df, ["k"], "v", {"mid": (1, 2)}).collect()}
+    assert got == {"a": (950, 5.0), "b": (1, 2.0)}
+
+
+def test_repeated_texts_with_one_hot_text(heat, spark):
+    texts = ["same " * 200] * 500 + ["twice"] * 2 + [None] * 3 + [f"once {i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {row["id"]: row["rows_alike"] for row in detect.repeated_texts(df, ["id"], ["text"]).collect()}
+    assert got == {**{i: 500 for i in range(500)}, 500: 2, 501: 2}
