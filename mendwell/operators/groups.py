@@ -45,7 +45,9 @@ def with_group_stats(
     cold = stats.filter(F.col(size) < hot_rows).select(
         *[F.col(key).alias(f"_cold_{key}") for key in keys],
         *[F.col(value).alias(f"_cold_{value}") for value in values],
-        F.lit(0).alias("_cold_spread"),
+        # Always 0, but not as a literal: a literal would turn the spread from a
+        # join key into a mere condition, and hot rows would meet in one task.
+        F.pmod(F.xxhash64(*keys), F.lit(1)).alias("_cold_spread"),
     )
     on_hot = [F.col(key) == F.col(f"_hot_{key}") for key in keys]
     # A hot row, or one without a key, matches nothing below: it only has to go

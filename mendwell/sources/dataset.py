@@ -53,15 +53,16 @@ def load_jdbc(
     **options: str,
 ) -> Dataset:
     """Open tables of a database; with bounds each is read in ranges."""
+    by_name = {spec.name: spec for spec in specs}
     tables = {}
-    for spec in specs:
+    for spec in by_name.values():
         reader = spark.read.format("jdbc").options(url=url, dbtable=spec.name, **options)
         if partition_column and bounds:
             reader = reader.options(
                 partitionColumn=partition_column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions
             )
         tables[spec.name] = reader.load()
-    return Dataset(tables, {spec.name: spec for spec in specs})
+    return Dataset(tables, by_name)
 
 
 def raw_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -43,11 +43,14 @@ def test_a_hot_group_is_spread_over_partitions(table, monkeypatch):
     try:
         stats = table.groupBy("k").agg(F.count("*").alias("n"))
         joined = groups.with_group_stats(table, stats, ["k"], ["n"])
-        spread = joined.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        placed = joined.select("k", F.spark_partition_id().alias("place")).collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
-    assert len(spread) > 4 and max(row["count"] for row in spread) < 400
+    spread = Counter(row["place"] for row in placed if row["k"] == "hot")
+    assert len(spread) > 4 and max(spread.values()) < 400
+    assert any("hashpartitioning(k#" in line and "_spread" in line for line in plan.splitlines())
 
 
 def test_quantiles_are_exact(heat, table, rows):
