@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendwell.llm import exact_dedup, mixing, secrets, sharding
+from mendwell.llm import exact_dedup, mixing, near_dups, neighbours, packing, secrets, sharding, token_counts
 from mendwell.llm.oracles import ORACLES
 
 
@@ -18,6 +18,10 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.report(_table(spark, folder, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.report(_table(spark, folder, "documents"))
+
+
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.report(_table(spark, folder, "documents"))
 
@@ -31,11 +35,27 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(_table(spark, folder, "documents"), quality)
 
 
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.report(_table(spark, folder, "embeddings"))
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.report(_table(spark, folder, "documents"))
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_sharding": op3_sharding,
     "op6_secret_scan": op6_secret_scan,
     "op7_mixing": op7_mixing,
+    "op8_neighbours": op8_neighbours,
+    "op9_token_counts": op9_token_counts,
+    "op10_packing": op10_packing,
 }
 
 
