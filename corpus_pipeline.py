@@ -1,11 +1,55 @@
-"""The corpus pipeline: five stages, each reading what the one before it kept."""
+"""The corpus pipeline: five stages, each over all that the one before it kept.
+
+``run`` applies them in memory; a scheduler may as well write what a stage returns and
+hand the reread table to the next. All stages but the last return the columns of
+``documents``; the last returns the pieces of training sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
-ORACLE_SQL = None
+from mendwell.llm import exact_dedup, mixing, near_dups, packing, quality
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, _labels(spark, sf_dir))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest id."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one with the least id."""
+    return near_dups.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs, mixing.label_weights(_labels(spark, sf_dir)))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences."""
+    return packing.report(docs)
+
+
+STAGES = [
+    ("quality", classify),
+    ("exact_dedup", drop_copies),
+    ("near_duplicates", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+ORACLE_SQL = None  # classifier and packing are beyond SQL; the tests hold each stage against plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendwell.llm import exact_dedup, mixing, near_dups, neighbours, packing, secrets, sharding, token_counts
+from mendwell.llm import exact_dedup, mixing, near_dups, neighbours, packing, quality, secrets, sharding, token_counts, url_filter
 from mendwell.llm.oracles import ORACLES
 
 
@@ -26,6 +26,15 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.report(_table(spark, folder, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return url_filter.report(pages, url_filter.document_marks(pages, _table(spark, folder, "labels")))
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(_table(spark, folder, "documents"))
 
@@ -51,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_sharding": op3_sharding,
+    "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
     "op6_secret_scan": op6_secret_scan,
     "op7_mixing": op7_mixing,
     "op8_neighbours": op8_neighbours,
