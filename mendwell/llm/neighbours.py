@@ -63,8 +63,8 @@ class Plan:
         return found.reshape(len(vectors), self.tables, self.directions)
 
 
-def _name(cells: np.ndarray, size: int) -> np.ndarray:
-    total = np.full(cells.shape[:-1], size, np.uint64)
+def _name(cells: np.ndarray) -> np.ndarray:
+    total = np.zeros(cells.shape[:-1], np.uint64)
     for i in range(cells.shape[-1]):
         total = (total ^ cells[..., i].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(32)
@@ -151,9 +151,11 @@ def _index(plan: Plan):
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for size, frame in _by_size(batch):
-                names = _name(np.floor(plan.places(_matrix(frame["vector"]))), size)
+                names = _name(np.floor(plan.places(_matrix(frame["vector"]))))
                 for table in range(plan.tables):
-                    yield pd.DataFrame({"table": table, "bucket": names[:, table], "id": frame["id"].to_numpy(), "vector": frame["vector"].to_numpy()})
+                    yield pd.DataFrame({
+                        "table": table, "size": size, "bucket": names[:, table], "id": frame["id"].to_numpy(),
+                        "vector": frame["vector"].to_numpy()})
     return index
 
 
@@ -165,8 +167,8 @@ def _ask(plan: Plan):
                 for at, (key, vector) in enumerate(zip(frame["id"], frame["vector"])):
                     for table in range(plan.tables):
                         cells = np.array(probes(places[at, table], plan.reach / plan.width, plan.chance), dtype=np.float64)
-                        names = _name(cells.reshape(len(cells), plan.directions), size)
-                        yield pd.DataFrame({"table": table, "bucket": names, "id": key, "vector": [vector] * len(names)})
+                        names = _name(cells.reshape(len(cells), plan.directions))
+                        yield pd.DataFrame({"table": table, "size": size, "bucket": names, "id": key, "vector": [vector] * len(names)})
     return ask
 
 
@@ -195,10 +197,10 @@ def _nearest(nearest: int):
 
 def _search(vectors: DataFrame, queries: DataFrame, plan: Plan, nearest: int) -> DataFrame:
     kind = vectors.schema["vector"].dataType.simpleString()
-    schema = f"table int, bucket long, id long, vector {kind}"
+    schema = f"table int, size int, bucket long, id long, vector {kind}"
     index = cut_lineage(vectors.mapInPandas(_index(plan), schema))
     asked = cut_lineage(queries.mapInPandas(_ask(plan), schema))
-    where = ["table", "bucket"]
+    where = ["table", "size", "bucket"]
     blocks = index.groupBy(where).agg(F.ceil(F.count(F.lit(1)) / INDEX_BLOCK).cast("int").alias("parts")).join(
         asked.groupBy(where).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns")), where)
     blocks = cut_lineage(blocks)

@@ -10,7 +10,8 @@ and counts as its bytes if the vocabulary has all byte pieces, else as one for a
 The text is prepared as such vocabularies want it: spaces become U+2581, and one stands in front.
 Where no piece goes on from another character into U+2581, and around white space that
 is in no longer piece, a best path is the best paths of its parts; these are looked up
-in a bounded memory. A null or empty text has 0 tokens.
+in a bounded memory. That needs scores whose sums are exact (multiples of 1/1024), as
+ranks are; with others a text is one part, and only speed differs. A null or empty text has 0 tokens.
 
 The vocabulary is read on the driver by ``load`` (its size is fixed) and goes to the workers with the function.
 """
@@ -58,7 +59,8 @@ class Counter(dict):
         self.unknown = min((score for _, score in pieces), default=0.0) - PENALTY
         self.bytes = all(BYTE_PIECE % i in names for i in range(256))
         joined = {c for piece in names if len(piece) > 1 for c in piece}
-        if any(SPACE in piece.lstrip(SPACE) for piece in names):
+        exact = all(float(score * 1024).is_integer() for _, score in pieces)  # else sums depend on where they begin
+        if not exact or any(SPACE in piece.lstrip(SPACE) for piece in names):
             self.part = re.compile(".+", re.DOTALL)
         elif apart := "".join(c for c in "\n\t\r\f\v" if c not in joined) if self.bytes else "":
             self.part = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+|[{apart}]")
