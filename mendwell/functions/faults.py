@@ -102,8 +102,8 @@ def country_alias(value: Column, index: Column, params: Mapping[str, Any]) -> Co
 
 
 def negative(value: Column, index: Column, params: Mapping[str, Any]) -> Column:
-    number = _number(value)
-    return F.when(number == 0, F.lit(-1.0)).otherwise(-F.abs(number))
+    # By text: a minus sign on a long decimal would round it to 34 digits.
+    return F.when(value == 0, F.lit("-1")).otherwise(F.concat(F.lit("-"), F.abs(value).cast("string")))
 
 
 def date_before(value: Column, index: Column, params: Mapping[str, Any]) -> Column:
@@ -168,6 +168,8 @@ CELL_FAULTS: dict[str, Callable[[Column, Column, Mapping[str, Any]], Column]] =
 
 def faulty(name: str, value: Column, dtype: T.DataType, index: Column, params: Mapping[str, Any]) -> Column:
     """The faulty value in the column's own type."""
+    if name == "negative" and not isinstance(dtype, T.NumericType):
+        value = _number(value)
     result = CELL_FAULTS[name](value, index, params)
     if isinstance(dtype, T.StringType) and name in {"date_before", "date_shift"}:
         return iso_text(result)

@@ -84,7 +84,8 @@ def undo_factor(value: Column, factor: int = 100) -> Column:
 
 
 def absolute(value: Column) -> Column:
-    return F.abs(value.try_cast("double"))
+    """In the type of a numeric column, so that no digit is lost; text is read as a double."""
+    return F.when(value.try_cast("double").isNotNull(), F.abs(value))
 
 
 def percentage_to_fraction(value: Column) -> Column:

@@ -20,6 +20,8 @@ def canonical_value(column: Column, dtype: T.DataType) -> Column:
         )
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return F.when(column.isNotNull(), F.to_json(column, {"ignoreNullFields": "false"}))
+    if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
+        return (column + F.lit(0.0).cast(dtype)).cast("string")  # one text for 0.0 and -0.0
     return column.cast("string")
 
 
@@ -57,9 +59,18 @@ def key_match(left: Sequence[Column], right: Sequence[Column]) -> Column:
 
 
 def plain_number(value: Column, digits: int = 6) -> Column:
-    """A number as decimal text without trailing zeros: 7.0 -> '7', 12.50 -> '12.5'."""
-    text = F.round(value, digits).cast(T.DecimalType(38, digits)).cast("string")
-    return F.regexp_replace(text, r"\.?0+$", "") if digits else text
+    """A number as text of so many significant digits, without trailing zeros: 7.0 -> '7', 1.5e-9 -> '1.5e-09'."""
+    written = F.format_string(f"%.{digits - 1}e", value.cast("double"))
+    mantissa, exponent = F.substring_index(written, "e", 1), F.substring_index(written, "e", -1).cast("int")
+    plain = written.cast("double").cast(T.DecimalType(38, digits + 4)).cast("string")
+    short = F.regexp_replace(plain, r"\.?0+$", "")
+    long = F.concat(F.regexp_replace(mantissa, r"\.?0+$", ""), F.lit("e"), F.substring_index(written, "e", -1))
+    return F.when(value.isNotNull(), F.when(exponent.between(-4, digits - 1), short).otherwise(long))
+
+
+def significant(value: Column, digits: int = 9) -> Column:
+    """A number rounded to so many significant digits."""
+    return F.format_string(f"%.{digits - 1}e", value.cast("double")).cast("double")
 
 
 def storage_class(value: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from mendwell.functions.text import canonical_columns, row_text
 from mendwell.spec import Dataset
 
-_DIGEST_DIGITS = 15  # hex digits of a row hash that fit a signed 64-bit integer
+# Hex digits of a row hash that fit a signed 64-bit integer, and how many such parts are summed.
+_DIGEST_DIGITS, _PARTS = 15, 4
 
 
 def row_hashes(df: DataFrame) -> DataFrame:
@@ -22,17 +23,18 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """One row: ``rows`` and a ``fingerprint`` that no file layout or row order
     can change.
 
-    Row hashes are summed and xor-ed, so it is one aggregate without a sort.
+    Row hashes are summed in parts of 60 bits, so it is one aggregate without a
+    sort. The sums are exact for 10^19 rows.
     """
-    prefix = F.conv(F.substring("row_hash", 1, _DIGEST_DIGITS), 16, 10)
-    sums = row_hashes(df).select(prefix.cast("bigint").alias("h")).agg(
-        F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("total"),
-        F.coalesce(F.bit_xor("h"), F.lit(0).cast("bigint")).alias("folded"),
-    )
-    return sums.select(
-        "rows", F.concat_ws(":", F.col("rows").cast("string"), F.col("total").cast("string"), F.col("folded").cast("string")).alias("fingerprint")
+    parts = [
+        F.conv(F.substring("row_hash", 1 + _DIGEST_DIGITS * no, _DIGEST_DIGITS), 16, 10).cast("decimal(28,0)").alias(f"h{no}")
+        for no in range(_PARTS)
+    ]
+    nothing = F.lit(0).cast("decimal(38,0)")
+    sums = row_hashes(df).select(*parts).agg(
+        F.count("*").alias("rows"), *[F.coalesce(F.sum(f"h{no}"), nothing).alias(f"h{no}") for no in range(_PARTS)]
     )
+    return sums.select("rows", F.concat_ws(":", *[F.col(name).cast("string") for name in sums.columns]).alias("fingerprint"))
 
 
 def fingerprints(dataset: Mapping[str, DataFrame]) -> DataFrame:

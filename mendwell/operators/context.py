@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendwell.functions.text import significant
 from mendwell.operators.groups import (
-    exact_sum,
     found_in,
     group_mode,
     group_quantiles,
@@ -185,16 +185,13 @@ def far_from_mean(
     df: DataFrame, keys: Sequence[str], context: Sequence[str], value: str, deviations: float = 2.0
 ) -> DataFrame:
     """Values more than so many standard deviations from their context's mean."""
-    number = F.col(value).cast("decimal(18,4)")
+    number = F.col(value).cast("double")
     sums = df.filter(F.col(value).isNotNull()).groupBy(*context).agg(
-        F.count("*").alias("n"),
-        exact_sum(number).cast("double").alias("_sum"),
-        exact_sum(number * number, 8).cast("double").alias("_squares"),
+        F.count("*").alias("n"), F.avg(number).alias("_mean"), F.stddev_samp(number).alias("_deviation")
     )
+    # Rounded, as the last digits depend on the order in which partial sums meet.
     stats = sums.filter("n > 1").select(
-        *context, "n",
-        (F.col("_sum") / F.col("n")).alias("mean"),
-        F.sqrt(F.greatest((F.col("_squares") - F.col("_sum") * F.col("_sum") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))).alias("deviation"),
+        *context, "n", significant(F.col("_mean")).alias("mean"), significant(F.col("_deviation")).alias("deviation")
     )
     rows = df.select(*dict.fromkeys([*keys, *context, value]))
     joined = with_group_stats(rows, stats, list(context), ["mean", "deviation"])

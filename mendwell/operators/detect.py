@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mendwell.functions.text import key_token, row_text
 from mendwell.operators.groups import found_in, lookup, with_group_stats
+from mendwell.session import is_small, small_side
 
 
 def suspects(df: DataFrame, keys: Sequence[str], check: Column, evidence: Sequence[str] = ()) -> DataFrame:
@@ -62,8 +63,9 @@ def childless_duplicates(
 ) -> DataFrame:
     """Duplicate parents that no child row refers to."""
     alike = duplicate_entities(df, keys, business, key_pattern)
-    referred = child.select(*[F.col(name).alias(f"_child_{name}") for name in child_keys]).distinct()
     on = [F.col(ours) == F.col(f"_child_{theirs}") for ours, theirs in zip(keys, child_keys, strict=True)]
+    children = child.select(*[F.col(name).alias(f"_child_{name}") for name in child_keys])
+    referred = children.join(small_side(alike.select(*keys).distinct()), on, "left_semi").distinct()
     return alike.join(referred, on, "left_anti")
 
 
@@ -94,13 +96,19 @@ def swapped_columns(df: DataFrame, keys: Sequence[str], left: str, right: str) -
 def orphans(
     child: DataFrame, keys: Sequence[str], fk: Sequence[str], parent: DataFrame, parent_keys: Sequence[str]
 ) -> DataFrame:
-    """Rows that refer to a parent that does not exist; a NULL reference is none."""
+    """Rows that refer to a parent that does not exist; a NULL reference is none.
+
+    A small parent is broadcast; else references are counted before they meet
+    the parents, and come back to their rows without gathering a hot one.
+    """
+    known_rows = child.select(*dict.fromkeys([*keys, *fk])).na.drop("any", subset=list(fk))
+    there = _parent_keys(parent, parent_keys)
+    if is_small(there):
+        return known_rows.join(F.broadcast(there), _on_parent(fk, parent_keys), "left_anti")
     counts = child.select(*fk).na.drop("any").groupBy(*fk).agg(F.count("*").alias("n"))
-    there = _parent_keys(parent, parent_keys).withColumn("_there", F.lit(True))
-    known = counts.join(there, _on_parent(fk, parent_keys), "left").withColumn("_lost", F.lit(True))
+    known = counts.join(there.withColumn("_there", F.lit(True)), _on_parent(fk, parent_keys), "left").withColumn("_lost", F.lit(True))
     lost = found_in(known, F.col("_there").isNull(), ["_lost"])
-    rows = child.select(*dict.fromkeys([*keys, *fk])).na.drop("any", subset=list(fk))
-    return with_group_stats(rows, lost, list(fk), ["_lost"]).filter("_lost").drop("_lost")
+    return with_group_stats(known_rows, lost, list(fk), ["_lost"]).filter("_lost").drop("_lost")
 
 
 def _parent_keys(parent: DataFrame, parent_keys: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendwell.session import BROADCAST_ROWS
+from mendwell.session import BROADCAST_ROWS, is_small
 
 # A group this large is hot. A table of N rows has at most N / HOT_ROWS hot
 # groups, one narrow row each, which bounds what is broadcast.
@@ -138,23 +138,14 @@ def group_quantiles(
     )
 
 
-def exact_sum(column: Column, scale: int = 4) -> Column:
-    """Sum that does not depend on the order of rows."""
-    return F.sum(column.cast(f"decimal(28,{scale})"))
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+    """All keys that hold very many rows, as a 64-bit hash in ``_hash``, and their numbers of rows.
 
-
-def hot_keys(rows: DataFrame, keys: Sequence[str], tracked: int = 10_000, hot_rows: int | None = None) -> DataFrame:
-    """Keys that hold very many rows, found by a mergeable heavy-hitter sketch.
-
-    Keys are told apart by a 64-bit hash in ``_hash``. At most 1,000 come back;
-    any key with more than about rows / tracked rows is among the candidates.
+    Rows are counted before they move, so a hot key is a row a task.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    hashed = f"xxhash64({', '.join(f'`{key}`' for key in keys)})"
-    top = rows.agg(F.expr(f"approx_top_k({hashed}, 1000, {tracked})").alias("_t"))
-    return top.select(F.explode("_t").alias("_i")).filter(F.col("_i.count") >= hot_rows).select(
-        F.col("_i.item").alias("_hash"), F.col("_i.count").alias("_size")
-    )
+    counts = rows.groupBy(F.xxhash64(*keys).alias("_hash")).agg(F.count("*").alias("_size"))
+    return counts.filter(F.col("_size") >= hot_rows)
 
 
 def lookup(
@@ -176,9 +167,7 @@ def lookup(
         *[F.col(theirs).alias(f"_key_{ours}") for ours, theirs in keys.items()],
         *[F.col(theirs).alias(name) for name, theirs in values.items()],
     )
-    if parent_rows is None:
-        parent_rows = side.limit(broadcast_rows + 1).count()
-    if parent_rows <= broadcast_rows:
+    if is_small(side, broadcast_rows) if parent_rows is None else parent_rows <= broadcast_rows:
         on = [F.col(ours) == F.col(f"_key_{ours}") for ours in keys]
         return rows.join(F.broadcast(side), on, "left").select(*rows.columns, *values)
     stats = side.select(*[F.col(f"_key_{ours}").alias(ours) for ours in keys], *values)

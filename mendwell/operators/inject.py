@@ -251,8 +251,14 @@ def apply_duplication(
     if isinstance(dtype, T.StringType):
         new_key = F.concat(F.lit(rule.params.get("new_pk_prefix", "Z")), F.format_string("%04d", number))
     else:
-        new_key = (number + int(rule.params.get("new_pk_base", 900_000))).cast(dtype)
+        base = rule.params.get("new_pk_base")
+        if base is None:
+            base = df.agg(F.max(key)).first()[0] or 0
+        new_key = (number + int(base)).cast(dtype)
     clones = cut_lineage(sample.withColumn(key, new_key).drop("_index", "_token"))
+    taken = df.select(key).join(small_side(clones.select(key), cut.taken), key, "left_semi").first()
+    if taken is not None:
+        raise ValueError(f"{rule.rule_id}: the new key {taken[0]!r} is taken")
     plain = visible(clones)
     nothing = F.lit(None).cast("string")
     records = plain.select(
@@ -390,6 +396,9 @@ def inject(dataset: Dataset, scenario: Scenario) -> Injected:
     bound = sum(drawn[no] * len(rule.columns) for no, rule in enumerate(scenario.rules))
     records = reduce(DataFrame.unionByName, [made for _, made, _ in done.values()])
     journal = cut_lineage(numbered_journal(records, scenario.id, bound))
+    twice = journal.groupBy("rule_id", "primary_key", "column").count().filter("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['rule_id']}: the key {twice['primary_key']} has several rows, so labels could not find one")
     return Injected(
         dataset.with_tables({table: df for table, (df, _, _) in done.items()}),
         journal,

@@ -72,11 +72,11 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], exact: bool = True) -
 
 def storage_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Histogram of what the cells of each column hold."""
-    return (
-        _value_counts(df, columns)
-        .groupBy("column", F.col("kind").alias("storage_type"))
-        .agg(F.sum("n").alias("cells"))
-    )
+    cells = [
+        F.struct(F.lit(name).alias("column"), storage_class(value).alias("storage_type"))
+        for name, value in zip(columns, _plain_columns(df, columns), strict=True)
+    ]
+    return df.select(F.inline(F.array(*cells))).groupBy("column", "storage_type").agg(F.count("*").alias("cells"))
 
 
 def schema_profile(dataset: Dataset) -> DataFrame:

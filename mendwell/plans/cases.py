@@ -341,9 +341,8 @@ CASES = [
     Case(
         "line_quantity", "lineitem", _rule("quantity", "lineitem", "l_quantity", "rotate_values", 40, "l_quantity > 0", shift=53),
         {}, lambda spark, folder, dirty, spec: context.far_from_mean(dirty, spec.primary_key, ["l_partkey"], "l_quantity"),
-        """, stats AS (SELECT l_partkey, n, s / n AS mean, sqrt(greatest((q - s * s / n) / (n - 1), 0)) AS deviation FROM (
-               SELECT l_partkey, count(*) AS n, sum(l_quantity) AS s, sum(l_quantity * l_quantity) AS q FROM dirty GROUP BY l_partkey)
-               WHERE n > 1)
+        """, stats AS (SELECT l_partkey, printf('%.8e', avg(l_quantity))::DOUBLE AS mean,
+               printf('%.8e', stddev_samp(l_quantity))::DOUBLE AS deviation FROM dirty GROUP BY l_partkey HAVING count(*) > 1)
            SELECT row_id, l_partkey, l_quantity, mean, deviation FROM dirty JOIN stats USING (l_partkey)
            WHERE deviation > 0 AND abs(l_quantity - mean) > 2 * deviation""",
         numeric=True,

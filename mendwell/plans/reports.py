@@ -57,8 +57,8 @@ def _canonical_list(columns) -> str:
 def _print_sql(source: str, columns, label: str | None = None) -> str:
     """Rows and fingerprint of a table, as one row."""
     return f"""SELECT '{label or source}' AS "table", count(*) AS rows,
-        count(*) || ':' || coalesce(sum(h::DECIMAL(38, 0)), 0)::DECIMAL(38, 0)::VARCHAR || ':' || coalesce(bit_xor(h), 0) AS fingerprint
-        FROM (SELECT ('0x' || substr(sha256({_canonical_list(columns)}), 1, 15))::BIGINT AS h FROM {source})"""
+        count(*) || ':' || {" || ':' || ".join(f"coalesce(sum(('0x' || substr(h, {1 + 15 * no}, 15))::HUGEINT), 0)::HUGEINT" for no in range(4))} AS fingerprint
+        FROM (SELECT sha256({_canonical_list(columns)}) AS h FROM {source})"""
 
 
 # Columns of the tables, in their order.

@@ -2,44 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 # A side is broadcast only when it holds at most this many narrow rows
 # (key, value and a few words of evidence: some tens of megabytes).
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 256 << 20
 
+_own_folders: set[str] = set()
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for checkpoints, as the cluster names it.
 
-    A folder of our own is made only in local mode, where the driver's disk is
-    every executor's disk; on a cluster the setting has to be there.
-    """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder")
-        folder = tempfile.mkdtemp(prefix="mendwell-checkpoint-")
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir() or folder
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for tables in between: the one that the cluster names,
+    else one in the warehouse, which driver and executors share as well."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_mendwell"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table written in between, in a folder of this application."""
-    root = checkpoint_folder(spark).rstrip("/")
-    return f"{root}/mendwell-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table written in between, in a folder of this
+    application that goes when the driver ends."""
+    root = f"{checkpoint_folder(spark).rstrip('/')}/mendwell-{spark.sparkContext.applicationId}"
+    if root not in _own_folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(root)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(place)
+        system.deleteOnExit(place)
+        _own_folders.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -59,13 +57,31 @@ def cut_all(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         return dict(zip(tables, pool.map(cut_lineage, tables.values())))
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About how much a row of ``df`` takes."""
+    total = F.lit(0)
+    for field in df.schema.fields:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(value) if isinstance(field.dataType, T.StructType) else F.to_json(F.struct(value))
+        own = F.octet_length(value) if not isinstance(field.dataType, T.AtomicType) or isinstance(
+            field.dataType, (T.StringType, T.BinaryType)) else F.lit(8)
+        total = total + F.coalesce(own, F.lit(0))
+    return total.cast("long")
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` may be broadcast by its rows and its bytes; it is read up to ``limit + 1`` rows."""
+    found = df.limit(limit + 1).select(_row_bytes(df).alias("size")).agg(F.count("*"), F.sum("size")).first()
+    return found[0] <= limit and (found[1] or 0) <= BROADCAST_BYTES
+
+
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it is known or found to be small.
 
-    ``rows`` is an upper bound the caller can prove. Without one the rows are
-    counted, and the count stops at ``limit + 1``. Beyond the limit the frame
-    is returned as it is and the join shuffles.
+    ``rows`` is an upper bound the caller can prove, for narrow rows. Without one
+    rows and bytes are measured. Beyond the limit the frame is returned as it
+    is and the join shuffles.
     """
-    if rows is None:
-        rows = df.limit(limit + 1).count()
-    return F.broadcast(df) if rows <= limit else df
+    small = is_small(df, limit) if rows is None else rows <= limit
+    return F.broadcast(df) if small else df

@@ -6,12 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, length and SHA-256 of each file. A file is one row of at most 2 GB."""
+# Files up to this size are rows that executors hash; a row holds at most 2 GB.
+WHOLE_BYTES = 1 << 30
+
+
+def file_checksums(spark: SparkSession, path: str, pattern: str = "*", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """Name, length and SHA-256 of each file.
+
+    A larger file cannot be a row, and its digest cannot be put together from parts: the driver's JVM
+    reads it as a stream through the session's file system, in constant memory.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256")
-    )
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    hashed = files.filter(F.col("length") <= whole_bytes).select(name, "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole_bytes).select("path", name, "length").collect()
+    if not large:
+        return hashed
+    rows = [(row["file"], row["length"], _streamed(spark, row["path"])) for row in large]
+    return hashed.unionByName(spark.createDataFrame(rows, hashed.schema))
+
+
+def _streamed(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def audit_checksums(actual: DataFrame, expected: DataFrame) -> DataFrame:

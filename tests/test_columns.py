@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mendwell.functions import checks, fixes
+from mendwell.functions import checks, faults, fixes
 from mendwell.functions.faults import faulty
 from mendwell.functions.text import canonical_value, key_match, key_token, plain_number, row_text, storage_class
 
@@ -161,3 +161,25 @@ def test_storage_classes(spark):
     values = [None, "12", "-1", "1.5", "2e3", "USD 1", ""]
     df = spark.createDataFrame([(v,) for v in values], "v string")
     assert [r[0] for r in df.select(storage_class(F.col("v"))).collect()] == ["null", "integer", "integer", "real", "real", "text", "text"]
+
+
+def test_numbers_beyond_doubles_keep_their_digits(spark):
+    clean = spark.sql("SELECT 9007199254741023 AS a, CAST('123456789012345678901234.0123456789' AS DECIMAL(34, 10)) AS b")
+    for name, kind in (("a", T.LongType()), ("b", T.DecimalType(34, 10))):
+        dirty = clean.select(F.col(name), faults.faulty("negative", F.col(name), kind, F.lit(0), {}).alias("n"))
+        row = dirty.select(name, "n", fixes.absolute(F.col("n")).cast(kind).alias("back")).first()
+        assert str(row["n"]) == f"-{row[name]}" and row["back"] == row[name]
+
+
+@pytest.mark.parametrize("value, text", [
+    (0.123456789, "12.3457%"), (1.23e-9, "1.23e-07%"), (12345.678, "1.23457e+06%"), (0.0, "0%"), (-0.5, "-50%"), (999999.96e-2, "1e+06%"),
+])
+def test_percent_text_has_six_significant_digits(spark, value, text):
+    df = spark.createDataFrame([(value,)], "v double")
+    assert df.select(faults.percent_string(F.col("v"), F.lit(0), {})).first()[0] == text == f"{value * 100:g}%"
+
+
+def test_zero_has_one_text(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (-0.0, -0.0)], "v double, w float")
+    rows = df.select(canonical_value(F.col("v"), T.DoubleType()), canonical_value(F.col("w"), T.FloatType())).distinct().collect()
+    assert [tuple(r) for r in rows] == [("0.0", "0.0")]

@@ -139,3 +139,20 @@ def test_repeated_texts_with_one_hot_text(heat, spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {row["id"]: row["rows_alike"] for row in detect.repeated_texts(df, ["id"], ["text"]).collect()}
     assert got == {**{i: 500 for i in range(500)}, 500: 2, 501: 2}
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e12])
+def test_far_values_are_found_at_any_scale(spark, scale):
+    values = [(i, "k", scale * (100 + i % 7)) for i in range(60)] + [(60, "k", scale * 1000), (61, "one", scale)]
+    df = spark.createDataFrame(values, "id int, k string, v double")
+    assert [r["id"] for r in context.far_from_mean(df, ["id"], ["k"], "v").collect()] == [60]
+
+
+def test_orphans_of_a_small_and_a_large_parent(spark, monkeypatch):
+    child = spark.createDataFrame([(i, i % 12 if i % 5 else None) for i in range(200)], "id int, fk int")
+    parent = spark.range(10).selectExpr("CAST(id AS INT) AS pk")
+    found = []
+    for small in (True, False):
+        monkeypatch.setattr(detect, "is_small", lambda df, small=small: small)
+        found.append(sorted(map(tuple, detect.orphans(child, ["id"], ["fk"], parent, ["pk"]).collect())))
+    assert found[0] == found[1] == [(i, i % 12) for i in range(200) if i % 5 and i % 12 > 9]

@@ -150,3 +150,18 @@ def test_rules_that_depend_on_each_other_do_not_draw_together():
     ]
     runs = inject.independent_runs(list(enumerate(rules)), SPECS["t"])
     assert [[r.rule_id for _, r in run] for run in runs] == [["1", "2"], ["3"], ["4", "5"], ["6", "7"], ["8", "9"], ["10"]]
+
+
+def test_a_taken_key_is_refused(spark):
+    with pytest.raises(ValueError, match="taken"):
+        inject.inject(_dataset(spark), _scenario(Rule("clone", "t", ("id",), "duplicate_rows", count=3, params={"new_pk_base": 10})))
+    made = inject.inject(_dataset(spark), _scenario(Rule("clone", "t", ("id",), "duplicate_rows", count=3)))
+    keys = [r["id"] for r in made.dataset["t"].select("id").collect()]
+    assert len(set(keys)) == len(keys) == _dataset(spark)["t"].count() + 3
+
+
+@pytest.mark.parametrize("count", [4, 5, 6])
+def test_a_key_with_several_rows_is_refused(spark, count):
+    twice = spark.createDataFrame([(i % 10, f"x{i % 10}") for i in range(20)], "id bigint, a string")
+    with pytest.raises(ValueError):
+        inject.inject(Dataset({"t": twice}, SPECS), _scenario(Rule("a", "t", ("a",), "null", count=count)))

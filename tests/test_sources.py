@@ -109,3 +109,18 @@ def test_profile_counts(spark):
         assert {r["column"]: r["distinct_count"] for r in distinct_counts(df, ["x", "y"], exact).collect()} == {"x": 2, "y": 2}
     kinds = {(r["column"], r["storage_type"]): r["cells"] for r in storage_types(df, ["x"]).collect()}
     assert kinds == {("x", "integer"): 2, ("x", "text"): 1, ("x", "null"): 1}
+
+
+def test_large_files_are_hashed_as_streams(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"x" * 5_000_000)
+    (tmp_path / "b.bin").write_bytes(b"y")
+    whole = sorted(map(tuple, files.file_checksums(spark, str(tmp_path)).collect()))
+    streamed = sorted(map(tuple, files.file_checksums(spark, str(tmp_path), whole_bytes=1).collect()))
+    assert whole == streamed and [r[:2] for r in whole] == [("a.bin", 5_000_000), ("b.bin", 1)]
+
+
+def test_broadcasts_look_at_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "x" * 1000, [1.0] * 9) for i in range(100)], "id int, text string, v array<double>")
+    assert session.is_small(df) and not session.is_small(df, 99)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 50_000)
+    assert not session.is_small(df) and session.is_small(df.select("id"))
