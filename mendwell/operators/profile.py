@@ -110,7 +110,7 @@ def targets_of(rules: Iterable[Rule]) -> dict[str, list[str]]:
 def profile(dataset: Dataset, targets: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Everything about a dataset as rows of (table, column, metric, value)."""
 
-    def long(df: DataFrame, table: str, metric, column, value) -> DataFrame:
+    def long(df: DataFrame, table: str | Column, metric, column, value) -> DataFrame:
         return df.select(
             F.lit(table).alias("table"), column.cast("string").alias("column"), metric.alias("metric"),
             value.cast("string").alias("value"),
@@ -133,6 +133,8 @@ def profile(dataset: Dataset, targets: Mapping[str, Sequence[str]] | None = None
             parts.append(long(kinds, name, F.concat(F.lit("storage_type:"), F.col("kind")), F.col("column"), F.col("n")))
     declared = schema_profile(dataset)
     parts.append(declared.select("table", "column", F.lit("declared_type").alias("metric"), F.col("type").alias("value")))
+    parts.append(long(declared.filter("not_null"), F.col("table"), F.lit("not_null"), F.col("column"), F.lit("true")))
+    parts.append(long(declared.filter("key_place > 0"), F.col("table"), F.lit("key_place"), F.col("column"), F.col("key_place")))
     broken = constraint_violations(dataset).unionByName(reference_violations(dataset))
     parts.append(broken.select(
         "table", F.lit(None).cast("string").alias("column"), F.col("constraint").alias("metric"),

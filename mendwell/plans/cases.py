@@ -393,6 +393,14 @@ CASES = [
             JOIN {_modes('o_shipname', 'o_shipvia')} m USING (o_shipname) WHERE m.n * 2 > m.total AND d.o_shipvia <> m.o_shipvia""",
         numeric=True,
     ),
+    Case(
+        "product_category", "part", _rule("partcategory", "part", "p_category", "rotate_values", 20, shift=33),
+        {}, lambda spark, folder, dirty, spec: context.unlike_reference(
+            dirty, spec.primary_key, ["p_category"], trade.table(spark, folder, "part")
+        ),
+        """SELECT d.p_partkey, d.p_category, t.p_category AS trusted_p_category FROM dirty d JOIN t_part t USING (p_partkey)
+           WHERE d.p_category IS DISTINCT FROM t.p_category""",
+    ),
     Case(
         "contact_pair", "customer", _rule("contact", "customer", "c_contact c_title", "rotate_values", 20, shift=13),
         {}, lambda spark, folder, dirty, spec: context.unlike_reference(

@@ -335,6 +335,11 @@ _PROFILED = {"customer": ["c_phone"], "nation": ["n_name"]}
         )
         for name, kind in kinds
     ]
+    + [f"SELECT '{table}', '{name}', 'not_null', 'true'" for table in _PROFILED for name in trade.SPECS[table].not_null]
+    + [
+        f"SELECT '{table}', '{name}', 'key_place', '{place}'"
+        for table in _PROFILED for place, name in enumerate(trade.SPECS[table].primary_key, 1)
+    ]
     + [
         f"""SELECT '{table}', NULL, '{label}', ({sql})::VARCHAR""" for table, label, sql in (
             ("customer", "key is not null", "SELECT count(*) FROM dirty WHERE c_custkey IS NULL"),
@@ -372,15 +377,26 @@ def canonical_rows(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("event_id", row_text(df).alias("row_text"))
 
 
-@query(_union_all(_print_sql(name, [f'"{c}"' for c in names.split()], name) for name, names in _COLUMNS.items()))
+_EMBEDDINGS_SQL = _print_sql(
+    "embeddings", ["vec_id", "to_json([floor(x::DOUBLE * 1000000 + 0.5)::BIGINT for x in embedding])", "label"]
+)
+
+
+def _scaled_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """In millionths, as two engines write floats differently but whole numbers alike."""
+    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1_000_000 + 0.5))
+    return trade.source(spark, folder, "embeddings").select("vec_id", scaled.alias("embedding"), "label")
+
+
+@query(_union_all([_print_sql(name, [f'"{c}"' for c in names.split()], name) for name, names in _COLUMNS.items()] + [_EMBEDDINGS_SQL]))
 def table_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return compare.fingerprints({name: trade.source(spark, folder, name) for name in _COLUMNS})
+    tables = {name: trade.source(spark, folder, name) for name in _COLUMNS}
+    return compare.fingerprints({**tables, "embeddings": _scaled_embeddings(spark, folder)})
 
 
-@query()
+@query(f"SELECT rows, fingerprint FROM ({_EMBEDDINGS_SQL})")
 def embedding_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    """Arrays of floats have no text form that two engines share."""
-    return compare.fingerprint(trade.source(spark, folder, "embeddings"))
+    return compare.fingerprint(_scaled_embeddings(spark, folder))
 
 
 def _compare_sql(left: str, right: str, name: str) -> str:
