@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,20 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendwell.functions.text import canonical_value, key_token
-from mendwell.operators.sampling import draw_hash, find_cut, with_index
+from mendwell.operators.sampling import below, draw_hash, find_cut, with_index
 from mendwell.session import cut_lineage, small_side
 from mendwell.spec import ControlScope, Dataset, Scenario
 
 CONTROL_SEED_STEP = 9173  # fixed value: distance of the controls' seed from the scenario's
 
 
-def control_candidates(baseline: Dataset, scope: Sequence[ControlScope], journal: DataFrame) -> DataFrame:
-    """Cells in scope that no fault has used.
-
-    A row whose key was corrupted gives no control at all, as its cells cannot
-    be found by the original key.
-    """
-    used = (
+def _used_cells(journal: DataFrame) -> DataFrame:
+    """Per row with faults: the columns in use, and whether its key was corrupted."""
+    return (
         journal.filter(F.col("operation") == "update_cell")
         .groupBy("table", "primary_key")
         .agg(
@@ -30,6 +27,9 @@ def control_candidates(baseline: Dataset, scope: Sequence[ControlScope], journal
             F.max(F.col("corrupted_primary_key").isNotNull()).alias("_locked"),
         )
     )
+
+
+def _cells_in_scope(baseline: Dataset, scope: Sequence[ControlScope]) -> DataFrame:
     parts = []
     for item in scope:
         df = baseline[item.table]
@@ -39,15 +39,22 @@ def control_candidates(baseline: Dataset, scope: Sequence[ControlScope], journal
             for name in item.columns
         ])
         key = key_token(baseline.specs[item.table].primary_key).alias("primary_key")
-        parts.append(df.select(F.lit(item.table).alias("table"), key, cells.alias("_cells")))
-    free = F.filter("_cells", lambda cell: ~F.coalesce(F.array_contains(F.col("_used"), cell["column"]), F.lit(False)))
-    return (
-        reduce(DataFrame.unionByName, parts)
-        .join(small_side(used), ["table", "primary_key"], "left")
-        .filter(~F.coalesce(F.col("_locked"), F.lit(False)))
-        .select("table", "primary_key", F.explode(free).alias("_cell"))
-        .select("table", "primary_key", "_cell.column", "_cell.clean_value")
-    )
+        parts.append(df.select(F.lit(item.table).alias("table"), key, F.inline(cells)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _free(cells: DataFrame, used: DataFrame) -> DataFrame:
+    taken = F.coalesce(F.col("_locked") | F.array_contains(F.col("_used"), F.col("column")), F.lit(False))
+    return cells.join(small_side(used), ["table", "primary_key"], "left").filter(~taken).drop("_used", "_locked")
+
+
+def control_candidates(baseline: Dataset, scope: Sequence[ControlScope], journal: DataFrame) -> DataFrame:
+    """Cells in scope that no fault has used.
+
+    A row whose key was corrupted gives no control at all, as its cells cannot
+    be found by the original key.
+    """
+    return _free(_cells_in_scope(baseline, scope), _used_cells(journal))
 
 
 def controls_wanted(faults: int, target_quality: float) -> int:
@@ -55,13 +62,31 @@ def controls_wanted(faults: int, target_quality: float) -> int:
 
 
 def draw_controls(baseline: Dataset, scenario: Scenario, journal: DataFrame, faults: int) -> DataFrame:
-    """As many controls as bring the raw quality to the scenario's target."""
+    """As many controls as bring the raw quality to the scenario's target.
+
+    The free cells with the smallest hashes are taken. How many cells there are
+    is known from row counts, so one pass over the tables keeps little more
+    cells than are wanted, and only those meet the used ones. Should used
+    cells leave too few, a wider band is kept.
+    """
     wanted = controls_wanted(faults, scenario.target_quality_score)
-    cells = control_candidates(baseline, scenario.control_scope, journal)
+    used = cut_lineage(_used_cells(journal))
+    known = used.agg(F.sum(F.size("_used")).alias("cells"), F.count_if("_locked").alias("rows")).first()
+    total = sum(baseline[item.table].count() * len(item.columns) for item in scenario.control_scope)
+    widest = max((len(item.columns) for item in scenario.control_scope), default=0)
+    free = max(total - (known["cells"] or 0) - (known["rows"] or 0) * widest, 1)
     token = F.concat_ws("|", "table", "primary_key", "column")
     hashed = draw_hash(scenario.seed + CONTROL_SEED_STEP, "controls", token)
-    cut = find_cut(cells.select(hashed.alias("h")), count=wanted, what="clean controls")
-    drawn = with_index(cells.filter(cut.contains(hashed)), ["table", "primary_key", "column"], "_place", wanted)
+    cells = _cells_in_scope(baseline, scenario.control_scope).withColumn("h", hashed)
+    span = (wanted + 12 * math.sqrt(wanted) + 64) / free
+    while True:
+        span = min(span, 1.0)
+        near = cut_lineage(_free(cells.filter(F.col("h") < below(span)), used))
+        if span == 1.0 or near.count() >= wanted:
+            break
+        span *= 8
+    cut = find_cut(near, count=wanted, what="clean controls", span=span)
+    drawn = with_index(near.filter(cut.contains(F.col("h"))), ["table", "primary_key", "column"], "_place", wanted)
     return cut_lineage(drawn.select(
         F.concat(F.lit(f"{scenario.id}-CTRL-"), F.format_string("%06d", F.col("_place") + 1)).alias("control_id"),
         "table", "primary_key", "column", "clean_value",

@@ -60,8 +60,8 @@ class Draw:
     one_in: int | None = None
 
 
-def find_cuts(df: DataFrame, draws: Sequence[Draw]) -> list[Cut]:
-    """A cut per draw; together they read the table twice, however many there are.
+def find_cuts(df: DataFrame, draws: Sequence[Draw], span: float = 1.0) -> list[Cut]:
+    """A cut per draw, through hashes that fill the first ``span`` of all hashes; together they read the table twice, however many there are.
 
     The first job counts eligible rows. The second counts hashes below the band
     where the last drawn one must lie and ranks the band: of k drawn rows some
@@ -81,7 +81,7 @@ def find_cuts(df: DataFrame, draws: Sequence[Draw]) -> list[Cut]:
         for no in open_draws:
             cut = cuts[no]
             reach = widen * (6 * math.sqrt(cut.taken) + 16)
-            low, high = _hex((cut.taken - reach) / cut.eligible), _hex((cut.taken + reach) / cut.eligible)
+            low, high = (_hex(span * (cut.taken + way * reach) / cut.eligible) for way in (-1, 1))
             hashed = draws[no].hashed
             near = F.struct(F.lit(no).alias("no"), F.when(hashed >= low, hashed).alias("h"))
             ends.append(F.when(draws[no].eligible & (hashed <= high), near))
@@ -104,9 +104,16 @@ def find_cuts(df: DataFrame, draws: Sequence[Draw]) -> list[Cut]:
     return [cuts[no] for no in range(len(draws))]
 
 
-def find_cut(hashes: DataFrame, count: int | None = None, one_in: int | None = None, what: str = "sample") -> Cut:
+def find_cut(
+    hashes: DataFrame, count: int | None = None, one_in: int | None = None, what: str = "sample", span: float = 1.0
+) -> Cut:
     """The cut through the column ``h``."""
-    return find_cuts(hashes, [Draw(what, F.lit(True), F.col("h"), count, one_in)])[0]
+    return find_cuts(hashes, [Draw(what, F.lit(True), F.col("h"), count, one_in)], span)[0]
+
+
+def below(fraction: float) -> Column:
+    """The hash that so much of all hashes lies below."""
+    return F.lit(_hex(fraction))
 
 
 def with_index(df: DataFrame, order: Sequence[str], name: str, rows: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendwell.functions.text import canonical_value, key_token
-from mendwell.session import small_side
+from mendwell.session import cut_all, small_side
 from mendwell.spec import Dataset, TableSpec
 
 
@@ -39,15 +39,21 @@ def _by_table(records: DataFrame) -> dict[str, tuple[list[str], int]]:
 def current_cells(dataset: Dataset, records: DataFrame) -> DataFrame:
     """Records with ``row_exists`` and ``current_value`` as the dataset has them.
 
-    A row is looked up by its key and, failing that, by its corrupted key.
+    A row is looked up by its key and, failing that, by its corrupted key. A
+    table is read once, side by side with the others; what the records point
+    at, at most two rows a record, is kept for the lookups.
     """
     if "corrupted_primary_key" not in records.columns:
         records = records.withColumn("corrupted_primary_key", F.lit(None).cast("string"))
-    parts = []
-    for table, (columns, count) in _by_table(records).items():
+    parts, tables = [], _by_table(records)
+    found = {}
+    for table, (columns, count) in tables.items():
         here = records.filter(F.col("table") == table)
         wanted = here.select(F.explode(F.array("primary_key", "corrupted_primary_key")).alias("key")).na.drop()
-        rows = _current_rows(dataset[table], dataset.specs[table], wanted, columns, 2 * count)
+        found[table] = _current_rows(dataset[table], dataset.specs[table], wanted, columns, 2 * count)
+    found = cut_all(found)
+    for table, (columns, count) in tables.items():
+        here, rows = records.filter(F.col("table") == table), found[table]
         by_key = rows.select(F.col("_token").alias("primary_key"), F.col("_cells").alias("_by_key"))
         by_moved = rows.select(F.col("_token").alias("corrupted_primary_key"), F.col("_cells").alias("_by_moved"))
         moved = here.filter(F.col("corrupted_primary_key").isNotNull())
@@ -72,17 +78,15 @@ def current_cells(dataset: Dataset, records: DataFrame) -> DataFrame:
     }).drop("_by_key", "_by_moved")
 
 
-def fault_outcomes(dataset: Dataset, journal: DataFrame) -> DataFrame:
-    """Each journal record with ``repaired``.
-
-    An update is repaired if its row is there with the clean value (NULL equals
-    NULL); an insert is repaired if its row is gone.
-    """
-    inserted = F.col("operation") == "insert_row"
+def _as_wanted() -> Column:
+    """An inserted row is gone; any other is there with the clean value (NULL equals NULL)."""
     clean = F.col("current_value").eqNullSafe(F.col("clean_value"))
-    return current_cells(dataset, journal).withColumn(
-        "repaired", F.when(inserted, ~F.col("row_exists")).otherwise(F.col("row_exists") & clean)
-    )
+    return F.when(F.col("operation") == "insert_row", ~F.col("row_exists")).otherwise(F.col("row_exists") & clean)
+
+
+def fault_outcomes(dataset: Dataset, journal: DataFrame) -> DataFrame:
+    """Each journal record with ``repaired``."""
+    return current_cells(dataset, journal).withColumn("repaired", _as_wanted())
 
 
 def control_outcomes(dataset: Dataset, controls: DataFrame) -> DataFrame:
@@ -110,10 +114,18 @@ def _fault_counts() -> list[Column]:
 
 
 def quality(dataset: Dataset, journal: DataFrame, controls: DataFrame) -> DataFrame:
-    """One row: quality, repair accuracy, control preservation and their counts."""
-    faults = fault_outcomes(dataset, journal).select("operation", "row_exists", "repaired")
-    kept = control_outcomes(dataset, controls).select("preserved")
-    counts = faults.unionByName(kept, allowMissingColumns=True).agg(
+    """One row: quality, repair accuracy, control preservation and their counts.
+
+    Faults and controls are looked up together.
+    """
+    names = ["table", "primary_key", "column", "clean_value"]
+    moved = F.col("corrupted_primary_key") if "corrupted_primary_key" in journal.columns else F.lit(None).cast("string")
+    faults = journal.select(*names, "operation", moved.alias("corrupted_primary_key"))
+    found = current_cells(dataset, faults.unionByName(controls.select(*names), allowMissingColumns=True))
+    update, control = F.col("operation").isNotNull(), F.col("operation").isNull()
+    counts = found.select(
+        "operation", "row_exists", F.when(update, _as_wanted()).alias("repaired"), F.when(control, _as_wanted()).alias("preserved")
+    ).agg(
         *_fault_counts(),
         F.count_if("preserved").alias("preserved_controls"),
         F.count_if(~F.col("preserved")).alias("false_positives"),
