@@ -8,11 +8,12 @@ statistics go back to their rows without sending a hot group to one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendwell.session import BROADCAST_ROWS, is_small
+from mendwell.session import BROADCAST_ROWS, cut_lineage, is_small, small_side
 
 # A group this large is hot. A table of N rows has at most N / HOT_ROWS hot
 # groups, one narrow row each, which bounds what is broadcast.
@@ -87,6 +88,10 @@ def group_mode(rows: DataFrame, keys: Sequence[str], value: str | Sequence[str],
     )
 
 
+# Half the width of a bracket in error bounds of the sketch.
+BRACKET = 2.0
+
+
 def group_quantiles(
     rows: DataFrame,
     keys: Sequence[str],
@@ -101,17 +106,39 @@ def group_quantiles(
     brackets each rank from both sides, twice as wide as its error bound.
     Equal values are counted together before they meet the brackets; values
     below a bracket are only summed up, and what is left to rank is some
-    4/accuracy of the group. Also returns ``n``, the number of values in it.
+    4/accuracy of the group. Counts show whether a bracket holds its rank; groups
+    with one that does not are ranked again with wider ones. Also returns ``n``,
+    the number of values in it.
     """
     keys = list(keys)
     known = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    margin = 2 / accuracy
+    margin, found, left = BRACKET / accuracy, [], known
+    while True:
+        sizes, ranked = _ranked(left, keys, quantiles, margin, accuracy)
+        found.append(ranked)
+        complete = reduce(lambda one, other: one & other, [F.col(name).isNotNull() for name in quantiles])
+        same = [F.col(f"s.{key}").eqNullSafe(F.col(f"r.{key}")) for key in keys]
+        missed = sizes.alias("s").join(ranked.filter(complete).alias("r"), same, "left_anti")
+        if missed.isEmpty():
+            break
+        missed = cut_lineage(missed.select(*keys))
+        found[-1] = ranked.filter(complete)
+        again = [F.col(f"k.{key}").eqNullSafe(F.col(f"m.{key}")) for key in keys]
+        left = left.alias("k").join(small_side(missed).alias("m"), again, "left_semi")
+        margin = min(max(8 * margin, 1 / accuracy), 1.0)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _ranked(
+    known: DataFrame, keys: list[str], quantiles: dict[str, tuple[int, int]], margin: float, accuracy: int
+) -> tuple[DataFrame, DataFrame]:
+    """Groups with their sizes, and the quantiles whose brackets hold them."""
     ends = []
     for top, bottom in quantiles.values():
-        ends += [F.lit(max(top / bottom - margin, 0.0)), F.lit(min(top / bottom + margin, 1.0))]
-    brackets = known.groupBy(*keys).agg(
+        ends += [F.lit(min(max(top / bottom + way * margin, 0.0), 1.0)) for way in (-1, 1)]
+    brackets = cut_lineage(known.groupBy(*keys).agg(
         F.percentile_approx("_v", F.array(*ends), accuracy).alias("_ends"), F.count("*").alias("n")
-    )
+    ))
     counted = known.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
     wanted = F.array(*[
         F.struct(
@@ -133,9 +160,11 @@ def group_quantiles(
     hit = slots.withColumn("_upto", F.sum("_n").over(order)).filter(
         (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))
     )
-    return hit.groupBy(*keys).agg(
+    ranked = hit.groupBy(*keys).agg(
         F.max("n").alias("n"), *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in quantiles]
     )
+    named = [F.col(key).isNotNull() for key in keys]  # rows without a key take no statistics
+    return brackets.filter(reduce(lambda one, other: one & other, named)), cut_lineage(ranked)
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:

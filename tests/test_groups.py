@@ -156,3 +156,15 @@ def test_orphans_of_a_small_and_a_large_parent(spark, monkeypatch):
         monkeypatch.setattr(detect, "is_small", lambda df, small=small: small)
         found.append(sorted(map(tuple, detect.orphans(child, ["id"], ["fk"], parent, ["pk"]).collect())))
     assert found[0] == found[1] == [(i, i % 12) for i in range(200) if i % 5 and i % 12 > 9]
+
+
+@pytest.mark.parametrize("width", [0.0, -1.0, 2.0])
+def test_a_bracket_that_misses_its_rank_is_widened(spark, monkeypatch, width):
+    monkeypatch.setattr(groups, "BRACKET", width)
+    values = [(k, float((i * 7919) % 3001)) for k, n in (("a", 3001), ("b", 40), ("c", 1)) for i in range(n)] + [(None, 1.0)]
+    df = spark.createDataFrame(values, "k string, v double")
+    marks = {"low": (1, 4), "mid": (1, 2), "top": (1, 1)}
+    got = {r["k"]: tuple(r[m] for m in marks) for r in groups.group_quantiles(df, ["k"], "v", marks, accuracy=20).collect() if r["k"]}
+    for key in "abc":
+        own = sorted(v for k, v in values if k == key)
+        assert got[key] == tuple(own[-(-len(own) * top // bottom) - 1] for top, bottom in marks.values())
