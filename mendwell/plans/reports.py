@@ -17,6 +17,7 @@ from mendwell.plans.sample_run import (
     CONTROL_CTES,
     CUSTOMER_COLUMNS,
     SAMPLE,
+    STAGE_CTES,
     TABLES,
     sample_run,
     sample_sql,
@@ -812,10 +813,15 @@ def _gate(spark: SparkSession, folder: str, run, chosen: DataFrame, candidate: D
 _GATE = ("quality_score", "remaining_faults", "false_positives", "violations", "matching_tables", "table_count", "passed")
 
 
-@query(sample_sql("""SELECT 'clean' AS stage, 100.0::DOUBLE AS quality_score, 0::BIGINT AS remaining_faults, 0::BIGINT AS false_positives,
-           0::BIGINT AS violations, 4::BIGINT AS matching_tables, 4::BIGINT AS table_count, TRUE AS passed
-    UNION ALL SELECT 'raw', 50.0, (SELECT count(*) FROM journal), 0,
-           (SELECT count(*) FROM journal WHERE rule_id IN ('key', 'negative')), 0, 4, FALSE"""))
+_GATES_SQL = _union_all(
+    f"""SELECT '{stage}' AS stage, q.*, v.n AS violations, t.same AS matching_tables, t.n AS table_count,
+        quality_score = 100 AND remaining_faults = 0 AND false_positives = 0 AND v.n = 0 AND t.same = t.n AS passed
+        FROM {stage}_quality q, {stage}_violations v,
+             (SELECT count(*) FILTER (same) AS same, count(*) AS n FROM {stage}_tables) t""" for stage in ("clean", "raw")
+)
+
+
+@query(sample_sql(_GATES_SQL, **STAGE_CTES))
 def release_gate(spark: SparkSession, folder: str) -> DataFrame:
     run = sample_run(spark, folder)
     chosen = run.controls()
@@ -824,8 +830,9 @@ def release_gate(spark: SparkSession, folder: str) -> DataFrame:
     return clean.select(F.lit("clean").alias("stage"), *_GATE).unionByName(raw.select(F.lit("raw").alias("stage"), *_GATE))
 
 
-@query(sample_sql("""SELECT 'quality_score' AS measure, 50.0::DOUBLE AS value UNION ALL SELECT 'matching_tables', 0
-    UNION ALL SELECT 'table_count', 4"""))
+@query(sample_sql("""SELECT 'quality_score' AS measure, quality_score AS value FROM raw_quality
+    UNION ALL SELECT 'matching_tables', count(*) FILTER (same) FROM raw_tables
+    UNION ALL SELECT 'table_count', count(*) FROM raw_tables""", **STAGE_CTES))
 def candidate_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Score and comparison with the baseline of a candidate (here the raw data)."""
     run = sample_run(spark, folder)
@@ -870,35 +877,53 @@ def _recommendations(run) -> tuple[DataFrame, DataFrame]:
     return provided, inject.plan_of(SAMPLE.rules, run.journal)
 
 
-_PROVIDED_SQL = """SELECT * FROM (VALUES ('negative_price', 'negative', TRUE), ('missing_priority', 'missing', FALSE),
-    ('name_spaces', 'whitespace', TRUE), ('name_spaces', 'whitespace', TRUE), ('swap', 'swap', TRUE),
-    ('missing_phone', NULL, FALSE)) v(source, matched_rule, right_action)
-    WHERE (SELECT count(*) FROM journal WHERE rule_id IN ('negative', 'missing', 'whitespace', 'placeholder')) > 0"""
+# What detectors with candidates advise, joined with the rules by id or by table, columns and error type.
+_RECOMMENDATION_CTES = {
+    "rules": _union_all(
+        f"""SELECT '{rule.rule_id}' AS rule_id, '{rule.table}' AS tab, list_sort({sorted(rule.columns)!r}) AS cols, '{rule.error_type}' AS error_type,
+            '{rule.expected_action}' AS expected_action""" for rule in SAMPLE.rules
+    ),
+    "advice": """SELECT * FROM (VALUES
+        ('negative_price', 'negative', 'orders', ['o_totalprice'], 'invalid_numeric_domain', ' Flag_and_repair_negative_value '),
+        ('missing_priority', NULL, 'orders', ['o_orderpriority'], 'missing_value', 'drop_rows'),
+        ('name_spaces', NULL, 'part', ['p_name'], 'whitespace_noise', 'trim_and_collapse_whitespace'),
+        ('name_spaces', NULL, 'part', ['p_name'], 'whitespace_noise', 'trim_and_collapse_whitespace'),
+        ('swap', NULL, 'part', ['p_type', 'p_brand'], 'column_misalignment', 'detect_and_reverse_column_swap'),
+        ('missing_phone', 'phone-advice', 'customer', ['c_name'], 'placeholder_missing', 'standardize_placeholder_to_null')
+        ) v(source, rule_id, tab, cols, error_type, action)
+        WHERE CASE source WHEN 'negative_price' THEN EXISTS (FROM dirty_orders WHERE o_totalprice < 0)
+            WHEN 'missing_priority' THEN EXISTS (FROM dirty_orders WHERE o_orderpriority IS NULL)
+            WHEN 'missing_phone' THEN EXISTS (FROM dirty_customer WHERE lower(trim(c_phone)) IN ('n/a', 'na', 'unknown', '-', ''))
+            ELSE EXISTS (FROM dirty_part WHERE p_name <> trim(p_name) OR p_name LIKE '%  %') END""",
+    "provided": """SELECT source, a.rule_id AS named, coalesce(i.rule_id, g.rule_id) AS matched_rule,
+            lower(trim(a.action)) = lower(trim(coalesce(i.expected_action, g.expected_action))) AS right_action
+        FROM advice a LEFT JOIN rules i ON i.rule_id = a.rule_id
+        LEFT JOIN rules g ON g.tab = a.tab AND g.cols = list_sort(a.cols) AND g.error_type = a.error_type""",
+}
 
 
-@query(sample_sql("SELECT source, matched_rule FROM provided", provided=_PROVIDED_SQL))
+@query(sample_sql("SELECT source, matched_rule FROM provided", **_RECOMMENDATION_CTES))
 def recommendation_matches(spark: SparkSession, folder: str) -> DataFrame:
     provided, expected = _recommendations(sample_run(spark, folder))
     return recommend.match_recommendations(provided, expected).select("source", "matched_rule")
 
 
-@query(sample_sql("""SELECT count(*) AS provided, 7::BIGINT AS expected, count(DISTINCT matched_rule) AS matched,
-    round(count(DISTINCT matched_rule) / count(*), 4) AS detection_precision, round(count(DISTINCT matched_rule) / 7, 4) AS detection_recall,
-    round(count(DISTINCT matched_rule) FILTER (right_action) / 7, 4) AS action_accuracy FROM provided""", provided=_PROVIDED_SQL))
+@query(sample_sql("""SELECT count(*) AS provided, any_value(n) AS expected, count(DISTINCT matched_rule) AS matched,
+    round(count(DISTINCT matched_rule) / count(*), 4) AS detection_precision, round(count(DISTINCT matched_rule) / any_value(n), 4) AS detection_recall,
+    round(count(DISTINCT matched_rule) FILTER (right_action) / any_value(n), 4) AS action_accuracy
+    FROM provided, (SELECT count(*) AS n FROM rules)""", **_RECOMMENDATION_CTES))
 def recommendation_scores(spark: SparkSession, folder: str) -> DataFrame:
     return recommend.score_recommendations(*_recommendations(sample_run(spark, folder)))
 
 
 @query(sample_sql("""SELECT 'detected' AS list, matched_rule AS name FROM provided WHERE matched_rule IS NOT NULL GROUP BY matched_rule
-    UNION ALL SELECT 'missed', rule_id FROM (SELECT DISTINCT rule_id FROM journal) WHERE rule_id NOT IN (
-        SELECT matched_rule FROM provided WHERE matched_rule IS NOT NULL)
-    UNION ALL SELECT 'unknown', 'phone-advice' FROM provided WHERE matched_rule IS NULL""", provided=_PROVIDED_SQL))
+    UNION ALL SELECT 'missed', rule_id FROM rules WHERE rule_id NOT IN (SELECT matched_rule FROM provided WHERE matched_rule IS NOT NULL)
+    UNION ALL SELECT 'unknown', named FROM provided WHERE matched_rule IS NULL""", **_RECOMMENDATION_CTES))
 def recommendation_lists(spark: SparkSession, folder: str) -> DataFrame:
     return recommend.recommendation_lists(*_recommendations(sample_run(spark, folder)))
 
 
-@query(sample_sql("""SELECT 'clean' AS scenario, 100.0::DOUBLE AS quality_score, TRUE AS passed, FALSE AS all_passed
-    UNION ALL SELECT 'raw', 50.0, FALSE, FALSE"""))
+@query(sample_sql(f"SELECT stage AS scenario, quality_score, passed, bool_and(passed) OVER () AS all_passed FROM ({_GATES_SQL})", **STAGE_CTES))
 def verification_summary(spark: SparkSession, folder: str) -> DataFrame:
     run = sample_run(spark, folder)
     chosen = run.controls()
@@ -908,11 +933,11 @@ def verification_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(sample_sql(_union_all(
-    ["""SELECT 'raw score' AS part, 'quality_score' AS item, '50.0' AS value UNION ALL SELECT 'clean score', 'quality_score', '100.0'"""]
-    + [f"""SELECT 'comparison', '{name}', 'true'""" for name in TABLES]
+    [f"""SELECT '{stage} score' AS part, 'quality_score' AS item, quality_score::VARCHAR AS value FROM {stage}_quality""" for stage in ("raw", "clean")]
+    + ["SELECT 'comparison', tab, same::VARCHAR FROM clean_tables"]
     + ["SELECT 'rule', rule_id, count(*)::VARCHAR FROM journal GROUP BY rule_id"]
     + [f"""SELECT 'profile', '{name}', (SELECT count(*) FROM {dirty})::VARCHAR""" for name, dirty in _DIRTY.items()]
-)))
+), **STAGE_CTES))
 def build_report(spark: SparkSession, folder: str) -> DataFrame:
     """Raw and clean score, comparison with the baseline, profile, rule counts."""
     run = sample_run(spark, folder)

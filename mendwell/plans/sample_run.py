@@ -171,3 +171,65 @@ CONTROL_CTES = {
         SELECT *, row_number() OVER (ORDER BY md5('{SEED + 9173}|controls|' || "table" || '|' || primary_key || '|' || "column")) AS rk
         FROM candidates) WHERE rk <= (SELECT count(*) FROM journal)""",
 }
+
+
+# --- Repair and score of the sample run, for the SQL side ---------------------
+
+DIRTY_TABLES = {"customer": "all_customer", "lineitem": "dirty_lineitem", "orders": "dirty_orders", "part": "dirty_part"}
+FIXED_TABLES = {name: f"fixed_{name}" for name in DIRTY_TABLES}
+
+
+def _label(rule_id: str, table: str, moved: bool = False) -> str:
+    key = "corrupted_primary_key" if moved else "primary_key"
+    return f"""LEFT JOIN (SELECT {key} AS key, clean_value FROM journal WHERE rule_id = '{rule_id}') AS l_{rule_id}
+        ON l_{rule_id}.key = {token(table)}"""
+
+
+REPAIR_CTES = {
+    "fixed_customer": f"""SELECT d.* REPLACE (CASE WHEN l_placeholder.key IS NULL THEN c_phone ELSE l_placeholder.clean_value END AS c_phone)
+        FROM all_customer d {_label('placeholder', 'customer')}
+        WHERE {token('customer')} NOT IN (SELECT primary_key FROM journal WHERE operation = 'insert_row')""",
+    "fixed_part": f"""SELECT d.* REPLACE (
+            CASE WHEN l_whitespace.key IS NULL THEN p_name ELSE trim(regexp_replace(p_name, '\\s+', ' ', 'g')) END AS p_name,
+            CASE WHEN s.key IS NULL THEN p_brand ELSE p_type END AS p_brand, CASE WHEN s.key IS NULL THEN p_type ELSE p_brand END AS p_type)
+        FROM dirty_part d {_label('whitespace', 'part')}
+        LEFT JOIN (SELECT DISTINCT primary_key AS key FROM journal WHERE rule_id = 'swap') s ON s.key = {token('part')}""",
+    "fixed_orders": f"""SELECT d.* REPLACE (
+            CASE WHEN l_negative.key IS NULL THEN o_totalprice ELSE abs(o_totalprice) END AS o_totalprice,
+            CASE WHEN l_missing.key IS NULL THEN o_orderpriority ELSE l_missing.clean_value END AS o_orderpriority)
+        FROM dirty_orders d {_label('negative', 'orders')} {_label('missing', 'orders')}""",
+    "fixed_lineitem": f"""SELECT d.* REPLACE (CASE WHEN l_key.key IS NULL THEN l_partkey ELSE l_key.clean_value::BIGINT END AS l_partkey)
+        FROM dirty_lineitem d {_label('key', 'lineitem', moved=True)}""",
+}
+
+
+def score_ctes(stage: str, tables: dict[str, str]) -> dict[str, str]:
+    """``<stage>_quality``: one row of scores, from the cells that the tables hold."""
+    wanted = {(rule.table, column) for rule in SAMPLE.rules for column in rule.columns}
+    wanted |= {(scope.table, column) for scope in SAMPLE.control_scope for column in scope.columns}
+    cells = " UNION ALL ".join(
+        f"""SELECT '{table}' AS tab, {token(table)} AS key, '{column}' AS col, {column}::VARCHAR AS v FROM {tables[table]}"""
+        for table, column in sorted(wanted)
+    )
+    return {
+        f"{stage}_cells": cells,
+        f"{stage}_faults": f"""SELECT CASE WHEN operation = 'insert_row' THEN j.primary_key NOT IN (SELECT key FROM {stage}_cells WHERE tab = 'customer')
+            ELSE coalesce((c.key IS NOT NULL AND c.v IS NOT DISTINCT FROM j.clean_value)
+                          OR (m.key IS NOT NULL AND m.v IS NOT DISTINCT FROM j.clean_value), FALSE) END AS good
+            FROM journal j LEFT JOIN {stage}_cells c ON c.tab = j."table" AND c.col = j."column" AND c.key = j.primary_key
+            LEFT JOIN {stage}_cells m ON m.tab = j."table" AND m.col = j."column" AND m.key = j.corrupted_primary_key""",
+        f"{stage}_kept": f"""SELECT c.key IS NOT NULL AND c.v IS NOT DISTINCT FROM k.clean_value AS good FROM controls k
+            LEFT JOIN {stage}_cells c ON c.tab = k."table" AND c.col = k."column" AND c.key = k.primary_key""",
+        f"{stage}_quality": f"""SELECT round(100.0 * (f.good + k.good) / (f.n + k.n), 4)::DOUBLE AS quality_score,
+            (f.n - f.good)::BIGINT AS remaining_faults, (k.n - k.good)::BIGINT AS false_positives
+            FROM (SELECT count(*) FILTER (good) AS good, count(*) AS n FROM {stage}_faults) f,
+                 (SELECT count(*) FILTER (good) AS good, count(*) AS n FROM {stage}_kept) k""",
+        f"{stage}_tables": " UNION ALL ".join(
+            f"""SELECT '{name}' AS tab, NOT EXISTS (SELECT * FROM {source} EXCEPT ALL SELECT * FROM t_{name})
+                AND (SELECT count(*) FROM {source}) = (SELECT count(*) FROM t_{name}) AS same""" for name, source in tables.items()),
+        f"{stage}_violations": f"""SELECT ((SELECT count(*) FROM {tables['lineitem']} WHERE l_partkey NOT IN (SELECT p_partkey FROM part))
+            + (SELECT count(*) FROM {tables['orders']} WHERE o_totalprice < 0))::BIGINT AS n""",
+    }
+
+
+STAGE_CTES = {**CONTROL_CTES, **REPAIR_CTES, **score_ctes("raw", DIRTY_TABLES), **score_ctes("clean", FIXED_TABLES)}
