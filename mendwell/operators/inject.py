@@ -183,24 +183,31 @@ def _updates(df: DataFrame, rule: Rule, drawn: Column, new: Mapping[str, Column]
 
 
 def apply_cyclic(
-    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut
+    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut, source: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """A transform that takes turns among variants along the drawn rows."""
-    drawn = _drawn(df, rule, spec, seed, cut)
+    """A transform that takes turns among variants along the drawn rows.
+
+    Drawn rows come from ``source``, which lacks only what does not concern
+    the rule; they alone are journalled, and their new values go back by key.
+    """
     token = key_token(spec.primary_key)
-    sample = cut_lineage(_indexed(df.filter(drawn).select(token.alias("_token")), cut))
-    marked = _as_text(df.withColumn("_token", token).join(small_side(sample, cut.taken), "_token", "left"), rule.columns)
-    types = _types(marked)
-    hit = F.col("_index").isNotNull()
+    drawn = source.filter(_drawn(source, rule, spec, seed, cut)).select(
+        token.alias("_token"), *dict.fromkeys([*spec.primary_key, *rule.columns])
+    )
+    sample = cut_lineage(_indexed(_as_text(drawn, rule.columns), cut))
+    types = _types(sample)
     new = _new_values(rule, types, F.col("_index"))
     old = {column: F.col(column) for column in rule.columns}
-    journal = _journal_rows(marked.filter(hit), F.col("_token"), _cell_records(rule, rule_no, spec, types, old, new, hit))
-    updates = _updates(df, rule, hit, new)
+    journal = _journal_rows(sample, F.col("_token"), _cell_records(rule, rule_no, spec, types, old, new, F.lit(True)))
+    back = sample.select("_token", F.lit(True).alias("_drawn"), *[new[c].alias(f"_new_{c}") for c in rule.columns])
+    marked = _as_text(df.withColumn("_token", token).join(small_side(back, cut.taken), "_token", "left"), rule.columns)
+    fresh = {column: F.col(f"_new_{column}") for column in rule.columns}
+    updates = _updates(df, rule, F.coalesce(F.col("_drawn"), F.lit(False)), fresh)
     return marked.withColumns(updates).select(*dict.fromkeys([*df.columns, *updates])), journal
 
 
 def apply_rotation(
-    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut
+    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut, source: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Each drawn row takes the values of the drawn row ``shift`` places on.
 
@@ -212,7 +219,7 @@ def apply_rotation(
         return df, df.sparkSession.createDataFrame([], _RECORD)
     shift = int(rule.params.get("shift", 1)) % cut.taken or 1
     token = key_token(spec.primary_key)
-    drawn = df.filter(_drawn(df, rule, spec, seed, cut)).select(
+    drawn = source.filter(_drawn(source, rule, spec, seed, cut)).select(
         token.alias("_token"), *spec.primary_key, *[F.col(column).alias(f"_old_{column}") for column in rule.columns]
     )
     sample = cut_lineage(_indexed(drawn, cut))
@@ -240,7 +247,7 @@ def apply_rotation(
 
 
 def apply_duplication(
-    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut
+    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut, source: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Clone drawn rows, as they are now, under new keys."""
     key = spec.primary_key[0]
@@ -320,7 +327,8 @@ def apply_rules(
 
     Rules that do not depend on each other draw together, in two passes over
     the table. Plain ones are written by one projection and journalled in one
-    more pass.
+    more pass. Others find their rows in the table as the run found it, so their
+    joins do not pile up; between runs that join, the table is written.
     """
     for _, rule in rules:
         if rule.transform == "duplicate_rows" and len(spec.primary_key) != 1:
@@ -328,7 +336,11 @@ def apply_rules(
     journal: list[DataFrame] = []
     drawn: dict[int, Cut] = {}
     special = {"rotate_values": apply_rotation, "duplicate_rows": apply_duplication}
+    joined = False
     for run in independent_runs(rules, spec):
+        if joined:
+            df, joined = cut_lineage(df), False
+        source = df
         wishes = [_wish(df, rule, spec, seed) for _, rule in run]
         cuts = dict(zip([no for no, _ in run], find_cuts(df, wishes), strict=True))
         drawn.update(cuts)
@@ -339,8 +351,9 @@ def apply_rules(
         for no, rule in run:
             if not _is_plain(rule):
                 apply = special.get(rule.transform, apply_cyclic)
-                df, records = apply(df, rule, no, spec, seed, cuts[no])
+                df, records = apply(df, rule, no, spec, seed, cuts[no], source)
                 journal.append(records)
+                joined = True
     return df, journal, drawn
 
 
