@@ -176,3 +176,23 @@ def summary(results: Mapping[str, DataFrame]) -> DataFrame:
     for part in parts[1:]:
         rows = rows.unionByName(part)
     return rows.withColumn("all_passed", F.every("passed").over(Window.partitionBy()))  # a row per scenario
+
+
+def build_report(
+    raw: DataFrame, clean: DataFrame, comparison: DataFrame, statistics: DataFrame, profile: DataFrame
+) -> DataFrame:
+    """The record of a build as rows of (part, item, value): scores before and after
+    the repair, tables against the baseline, assertions per rule, full profile."""
+
+    def part(df: DataFrame, name: str, item: Column, value: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("part"), item.alias("item"), value.cast("string").alias("value"))
+
+    quality = F.col("quality_score").cast("double")
+    place = F.concat("table", F.coalesce(F.concat(F.lit("."), "column"), F.lit("")), F.lit(" "), "metric")
+    return (
+        part(raw, "raw score", F.lit("quality_score"), quality)
+        .unionByName(part(clean, "clean score", F.lit("quality_score"), quality))
+        .unionByName(part(comparison, "comparison", F.col("table"), F.col("match")))
+        .unionByName(part(statistics, "rule", F.col("rule_id"), F.col("generated_assertions")))
+        .unionByName(part(profile, "profile", place, F.col("value")))
+    )

@@ -16,6 +16,7 @@ from mendwell.plans.cases import BY_NAME, SEED
 from mendwell.plans.sample_run import (
     CONTROL_CTES,
     CUSTOMER_COLUMNS,
+    DIRTY_TABLES,
     SAMPLE,
     STAGE_CTES,
     TABLES,
@@ -251,7 +252,7 @@ def _violation(table: str, constraint: str, sql: str) -> str:
     return f"""SELECT '{table}' AS "table", '{constraint}' AS "constraint", ({sql})::BIGINT AS violations"""
 
 
-@query(sample_sql(_union_all([
+_BROKEN_SQL = _union_all([
     _violation("customer", "key is not null", "SELECT count(*) FROM all_customer WHERE c_custkey IS NULL"),
     _violation("customer", "not null c_name", "SELECT count(*) FROM all_customer WHERE c_name IS NULL"),
     _violation("customer", "key is unique", "SELECT count(*) - count(DISTINCT c_custkey) FROM all_customer"),
@@ -270,7 +271,10 @@ def _violation(table: str, constraint: str, sql: str) -> str:
     _violation("part", "not null p_name", "SELECT count(*) FROM dirty_part WHERE p_name IS NULL"),
     _violation("part", "check stock is not negative", "SELECT count(*) FROM dirty_part WHERE NOT p_stock >= 0"),
     _violation("part", "key is unique", "SELECT count(*) - count(DISTINCT p_partkey) FROM dirty_part"),
-])))
+])
+
+
+@query(sample_sql(_BROKEN_SQL))
 def constraint_violations(spark: SparkSession, folder: str) -> DataFrame:
     return constraints.constraint_violations(sample_run(spark, folder).dirty)
 
@@ -284,7 +288,7 @@ def _lost(child: str, column: str, parent: str, key: str) -> str:
     return f"SELECT count(*) FROM {child} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {parent})"
 
 
-@query(sample_sql(_union_all([
+_LOST_SQL = _union_all([
     _violation("customer", "reference c_nationkey -> nation", _lost("all_customer", "c_nationkey", "nation", "n_nationkey")),
     _violation("lineitem", "reference l_partkey -> part", _lost("dirty_lineitem", "l_partkey", "part", "p_partkey")),
     _violation("lineitem", "reference l_orderkey -> orders", _lost("dirty_lineitem", "l_orderkey", "orders", "o_orderkey")),
@@ -295,7 +299,10 @@ def _lost(child: str, column: str, parent: str, key: str) -> str:
     _violation("part", "reference p_suppkey -> supplier", _lost("dirty_part", "p_suppkey", "supplier", "s_suppkey")),
     _violation("part", "reference p_category -> nation", _lost("dirty_part", "p_category", "nation", "n_nationkey")),
     _violation("supplier", "reference s_nationkey -> nation", _lost("supplier", "s_nationkey", "nation", "n_nationkey")),
-])))
+])
+
+
+@query(sample_sql(_LOST_SQL))
 def reference_violations(spark: SparkSession, folder: str) -> DataFrame:
     return constraints.reference_violations(_whole(spark, folder, sample_run(spark, folder).dirty))
 
@@ -306,58 +313,46 @@ def _whole(spark: SparkSession, folder: str, some: Dataset) -> Dataset:
     return Dataset({**rest, **some}, trade.SPECS)
 
 
-_PROFILED = {"customer": ["c_phone"], "nation": ["n_name"]}
+_PARENTS = ("nation", "region", "supplier")
+_PROFILED = {**DIRTY_TABLES, **{name: name for name in _PARENTS}}
+_PROFILED_COLUMNS = {name: (_TRADE_COLUMNS.get(name) or _COLUMNS[name]).split() for name in _PROFILED}
+_TARGETS = profile.targets_of(SAMPLE.rules)
+_TYPE = """CASE typeof(v) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
+           WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date' ELSE typeof(v) END"""
 
 
-@query(ctes(BY_NAME["placeholder"].sql_ctes()) + "\n" + _union_all(
-    [
-        f"""SELECT "table", NULL::VARCHAR AS "column", 'rows' AS metric, rows::VARCHAR AS value FROM ({one})
-            UNION ALL SELECT "table", NULL, 'fingerprint', fingerprint FROM ({one})"""
-        for one in (
-            _print_sql("dirty", _TRADE_COLUMNS["customer"].split(), "customer"), _print_sql("nation", _COLUMNS["nation"].split())
-        )
-    ]
-    + [
-        f"""SELECT '{table}', '{name}', 'null_count', (count(*) - count({name}))::VARCHAR FROM {source}"""
-        for table, source, names in (("customer", "dirty", _TRADE_COLUMNS["customer"]), ("nation", "nation", _COLUMNS["nation"]))
-        for name in names.split()
-    ]
-    + [
-        f"""SELECT '{table}', '{name}', 'distinct_count', count(DISTINCT {name})::VARCHAR FROM {source}
-            UNION ALL SELECT '{table}', '{name}', 'storage_type:' || kind, count(*)::VARCHAR FROM (
-                SELECT {_KIND} AS kind FROM (SELECT {name}::VARCHAR AS v FROM {source})) GROUP BY kind"""
-        for table, source, name in (("customer", "dirty", "c_phone"), ("nation", "nation", "n_name"))
-    ]
-    + [
-        f"SELECT '{table}', '{name}', 'declared_type', '{kind}'"
-        for table, kinds in (
-            ("customer", zip(_TRADE_COLUMNS["customer"].split(), "bigint string int double string string string string".split())),
-            ("nation", zip(_COLUMNS["nation"].split(), "int string int".split())),
-        )
-        for name, kind in kinds
-    ]
-    + [f"SELECT '{table}', '{name}', 'not_null', 'true'" for table in _PROFILED for name in trade.SPECS[table].not_null]
-    + [
-        f"SELECT '{table}', '{name}', 'key_place', '{place}'"
-        for table in _PROFILED for place, name in enumerate(trade.SPECS[table].primary_key, 1)
-    ]
-    + [
-        f"""SELECT '{table}', NULL, '{label}', ({sql})::VARCHAR""" for table, label, sql in (
-            ("customer", "key is not null", "SELECT count(*) FROM dirty WHERE c_custkey IS NULL"),
-            ("customer", "not null c_name", "SELECT count(*) FROM dirty WHERE c_name IS NULL"),
-            ("customer", "key is unique", "SELECT count(*) - count(DISTINCT c_custkey) FROM dirty"),
-            ("customer", "reference c_nationkey -> nation", _lost("dirty", "c_nationkey", "nation", "n_nationkey")),
-            ("nation", "key is not null", "SELECT count(*) FROM nation WHERE n_nationkey IS NULL"),
-            ("nation", "key is unique", "SELECT count(*) - count(DISTINCT n_nationkey) FROM nation"),
-        )
-    ]
-))
+def _metric(table: str, column: str | None, metric: str, value: str, source: str = "") -> str:
+    name = "NULL::VARCHAR" if column is None else f"'{column}'"
+    return f"""SELECT '{table}' AS "table", {name} AS "column", {metric} AS metric, ({value})::VARCHAR AS value {source}"""
+
+
+def _profile_sql() -> str:
+    parts = []
+    for table, source in _PROFILED.items():
+        one = _print_sql(source, _PROFILED_COLUMNS[table], table)
+        parts += [_metric(table, None, "'rows'", "rows", f"FROM ({one})"), _metric(table, None, "'fingerprint'", "fingerprint", f"FROM ({one})")]
+        for column in _PROFILED_COLUMNS[table]:
+            parts.append(_metric(table, column, "'null_count'", f"count(*) - count({column})", f"FROM {source}"))
+            parts.append(_metric(table, column, "'declared_type'", _TYPE, f"FROM (SELECT {column} AS v FROM {source} LIMIT 1)"))
+        for column in _TARGETS.get(table, ()):
+            parts.append(_metric(table, column, "'distinct_count'", f"count(DISTINCT {column})", f"FROM {source}"))
+            kinds = f"SELECT {_KIND} AS kind FROM (SELECT {column}::VARCHAR AS v FROM {source})"
+            parts.append(_metric(table, column, "'storage_type:' || kind", "count(*)", f"FROM ({kinds}) GROUP BY kind"))
+        spec = trade.SPECS[table]
+        parts += [_metric(table, column, "'not_null'", "'true'") for column in spec.not_null]
+        parts += [_metric(table, column, "'key_place'", str(place)) for place, column in enumerate(spec.primary_key, 1)]
+    parents = _union_all(
+        _violation(table, text, sql) for table in _PARENTS for key in trade.SPECS[table].primary_key
+        for text, sql in (("key is not null", f"SELECT count(*) FROM {table} WHERE {key} IS NULL"),
+                          ("key is unique", f"SELECT count(*) - count(DISTINCT {key}) FROM {table}")))
+    broken = _union_all([_BROKEN_SQL, _LOST_SQL, parents])
+    parts.append(f"""SELECT "table", NULL, "constraint", violations::VARCHAR FROM ({broken})""")
+    return _union_all(parts)
+
+
+@query(sample_sql(_profile_sql()))
 def profile_report(spark: SparkSession, folder: str) -> DataFrame:
-    customer = trade.SPECS["customer"]
-    nation = replace(trade.SPECS["nation"], foreign_keys=())
-    dirty = BY_NAME["placeholder"].inject(spark, folder)[0]
-    tables = Dataset({"customer": dirty, "nation": trade.source(spark, folder, "nation")}, {"customer": customer, "nation": nation})
-    return profile.profile(tables, _PROFILED)
+    return profile.profile(_whole(spark, folder, sample_run(spark, folder).dirty), _TARGETS)
 
 
 @query(sample_sql("""SELECT "table", string_agg(DISTINCT "column", ',' ORDER BY "column") AS columns
@@ -407,10 +402,7 @@ def _compare_sql(left: str, right: str, name: str) -> str:
         FROM ({_print_sql(left, columns, name)}) l JOIN ({_print_sql(right, columns, name)}) r USING ("table")"""
 
 
-_DIRTY = {"customer": "all_customer", "lineitem": "dirty_lineitem", "orders": "dirty_orders", "part": "dirty_part"}
-
-
-@query(sample_sql(_union_all(_compare_sql(f"t_{name}", dirty, name) for name, dirty in _DIRTY.items())))
+@query(sample_sql(_union_all(_compare_sql(f"t_{name}", dirty, name) for name, dirty in DIRTY_TABLES.items())))
 def dataset_comparison(spark: SparkSession, folder: str) -> DataFrame:
     run = sample_run(spark, folder)
     return compare.compare_datasets(run.clean, run.dirty)
@@ -936,7 +928,7 @@ def verification_summary(spark: SparkSession, folder: str) -> DataFrame:
     [f"""SELECT '{stage} score' AS part, 'quality_score' AS item, quality_score::VARCHAR AS value FROM {stage}_quality""" for stage in ("raw", "clean")]
     + ["SELECT 'comparison', tab, same::VARCHAR FROM clean_tables"]
     + ["SELECT 'rule', rule_id, count(*)::VARCHAR FROM journal GROUP BY rule_id"]
-    + [f"""SELECT 'profile', '{name}', (SELECT count(*) FROM {dirty})::VARCHAR""" for name, dirty in _DIRTY.items()]
+    + [f"""SELECT 'profile', "table" || coalesce('.' || "column", '') || ' ' || metric, value FROM ({_profile_sql()})"""]
 ), **STAGE_CTES))
 def build_report(spark: SparkSession, folder: str) -> DataFrame:
     """Raw and clean score, comparison with the baseline, profile, rule counts."""
@@ -944,21 +936,11 @@ def build_report(spark: SparkSession, folder: str) -> DataFrame:
     chosen = run.controls()
     fixed = _repaired(run)
 
-    def part(df: DataFrame, name: str, item, value) -> DataFrame:
-        return df.select(F.lit(name).alias("part"), item.alias("item"), value.cast("string").alias("value"))
-
-    quality = F.col("quality_score").cast("double")
-    parts = [
-        part(score.quality(run.dirty, run.journal, chosen), "raw score", F.lit("quality_score"), quality),
-        part(score.quality(fixed, run.journal, chosen), "clean score", F.lit("quality_score"), quality),
-        part(compare.compare_datasets(run.clean, fixed), "comparison", F.col("table"), F.col("match")),
-        part(run.injected.rule_statistics, "rule", F.col("rule_id"), F.col("generated_assertions")),
-        part(profile.row_counts(run.dirty), "profile", F.col("table"), F.col("rows")),
-    ]
-    out = parts[0]
-    for one in parts[1:]:
-        out = out.unionByName(one)
-    return out
+    return score.build_report(
+        score.quality(run.dirty, run.journal, chosen), score.quality(fixed, run.journal, chosen),
+        compare.compare_datasets(run.clean, fixed), run.injected.rule_statistics,
+        profile.profile(_whole(spark, folder, run.dirty), _TARGETS),
+    )
 
 
 # --- Whole scenarios --------------------------------------------------------
