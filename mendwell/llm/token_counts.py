@@ -31,7 +31,8 @@ SPACE = "▁"
 PENALTY = 10.0
 BYTE_PIECE = "<0x%02X>"
 BYTE_SCORE = -1e9  # byte pieces are reached by what has no piece, not by their names
-_MEMORY, _SHORT = 300_000, 64
+_MEMORY, _SHORT = 1_000_000, 64  # parts remembered by a worker, and their length
+_PLAIN, _NEVER = 10_000, float("-inf")
 
 
 def load(path: str = MODEL) -> list[tuple[str, float]]:
@@ -88,6 +89,14 @@ class Counter(dict):
             at, found = at + 1, []
 
     def search(self, text: str) -> int:
+        if len(text) <= _PLAIN and self.alone.issuperset(text):
+            # Every position ends a piece; the automaton names the longest first.
+            best, count = [0.0] + [_NEVER] * len(text), [0] * (len(text) + 1)
+            for end, (length, score) in self.automaton.iter(text):
+                start, end = end + 1 - length, end + 1
+                if best[start] + score > best[end]:
+                    best[end], count[end] = best[start] + score, count[start] + 1
+            return count[-1]
         ring = self.longest + 1
         best, count, lost = [0.0] * ring, [0] * ring, [False] * ring
         for end, pieces in self._ends(text):
