@@ -99,8 +99,8 @@ def mark(named: DataFrame) -> DataFrame:
 
     The largest key stays, null being the smallest; of repeated rows with that key, the last.
     """
-    groups = named.groupBy("bytes", "name").agg(
-        F.max(F.struct("key", "row")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut_lineage(named.groupBy("bytes", "name").agg(
+        F.max(F.struct("key", "row")).alias("keeper"), F.count(F.lit(1)).alias("group_size")))
     return named.join(groups, ["bytes", "name"]).withColumn("kept", F.col("row") == F.col("keeper.row"))
 
 
