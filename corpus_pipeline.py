@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each over all that the one before it kept.
 
-``run`` applies them in memory; a scheduler may as well write what a stage returns and
-hand the reread table to the next. All stages but the last return the columns of
+Every stage reads its documents more than once, so ``run`` writes what a stage returns to the
+shared folder and hands the reread table to the next. All stages but the last return the columns of
 ``documents``; the last returns the pieces of training sequences.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mendwell.llm import exact_dedup, mixing, near_dups, packing, quality
+from mendwell.session import cut_lineage
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,6 @@ ORACLE_SQL = None  # classifier and packing are beyond SQL; the tests hold each
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -50,14 +50,8 @@ def _block_names(docs: DataFrame, size: int, seed: int) -> DataFrame | None:
     return names if shared.isEmpty() else None
 
 
-def name_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: bool = False,
-               block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: ``row`` (its number), ``key``, ``sha`` (SHA-256 of the text, only
-    to be shown), ``bytes`` and ``name``; with ``carry`` also ``rest``, a struct of all columns of ``docs``.
-
-    ``(bytes, name)`` are equal for two rows exactly if their texts are. A null text counts as
-    empty; empty texts have the name -1. Other columns may have any names.
-    """
+def _rows_and_names(docs: DataFrame, text: str, key: str, block_bytes: int, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Numbered rows, with ``carry`` also ``rest``, a struct of all columns of ``docs``; and names by row."""
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     named = docs.select(F.col(key).alias("key"), data.alias("data"),
                         *([F.struct("*").alias("rest")] if carry else []))
@@ -91,7 +85,21 @@ def name_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", carry:
     final = cells.filter(F.col("bytes") <= covered).select("row", "name")
     for part in done:
         final = final.unionByName(part)
-    return rows.drop("blocks").join(final, "row", "left").withColumn("name", F.coalesce("name", F.lit(-1)))
+    return rows.drop("blocks"), final
+
+
+def name_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of ``docs``: ``row`` (its number), ``key``, ``sha`` (SHA-256 of the text, only
+    to be shown), ``bytes`` and ``name``.
+
+    ``(bytes, name)`` are equal for two rows exactly if their texts are. A null text counts as
+    empty; empty texts have the name -1. Other columns may have any names.
+    """
+    return _named(*_rows_and_names(docs, text, key, block_bytes))
+
+
+def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    return rows.join(names, "row", "left").withColumn("name", F.coalesce("name", F.lit(-1)))
 
 
 def mark(named: DataFrame) -> DataFrame:
@@ -116,7 +124,7 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes
 def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    named = name_texts(docs, text, key, carry=True, block_bytes=block_bytes)
-    slim = cut_lineage(named.drop("rest", "sha"))
+    rows, names = _rows_and_names(docs, text, key, block_bytes, carry=True)
+    slim = cut_lineage(_named(rows.drop("rest", "sha"), names))
     stay = mark(slim).filter("kept").select("row")
-    return named.join(stay, "row", "left_semi").select("rest.*")
+    return rows.join(stay, "row", "left_semi").select("rest.*")

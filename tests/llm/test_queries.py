@@ -55,3 +55,5 @@ def test_every_stage(spark, tiny, tiny_docs, tmp_path):
     for r in pieces:
         used[r.sequence, r.capacity] += r.length
     assert all(n <= c for (_, c), n in used.items())
+    whole = corpus_pipeline.run(spark, tiny).select("doc_id", "piece", "start", "length").collect()
+    assert Counter(map(tuple, whole)) == Counter((r.doc_id, r.piece, r.start, r.length) for r in pieces)
