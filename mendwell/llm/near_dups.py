@@ -222,8 +222,8 @@ def _grouped(df: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD,
             recall: float = RECALL) -> DataFrame:
-    """One row per row of ``docs``: ``row``, ``key``, ``sha``, ``leader`` (row of the class's first), ``class_id`` (its key)
-    and ``links`` (number of other rows with at least the similarity, copies among them)."""
+    """One row per row of ``docs``: ``row``, ``key``, ``sha``, ``rep`` (the row that stands for its copies), ``links`` (number of
+    other rows with at least the similarity, copies among them), ``class_id`` (least key of the class) and ``leader_rep`` (its row)."""
     length = depth(threshold, recall)
     body = F.coalesce(F.col(text), F.lit(""))
 
