@@ -97,7 +97,7 @@ def cuts(rows: DataFrame, aims: DataFrame) -> DataFrame:
         order = Window.partitionBy("source").orderBy("slice")  # at most SLICES rows
         sums = sums.withColumn("before", F.sum("sum").over(order) - F.col("sum")).alias("s")
         hit = sums.join(small_side(state.select("source", "left")).alias("t"), F.expr("s.source <=> t.source")).filter(
-            "before < left and before + sum > left").select("s.source", "slice", "before", "rows")
+            "before < left and before + sum >= left").select("s.source", "slice", "before", "rows")
         hit = cut_lineage(hit)
         width /= SLICES
         state = cut_lineage(state.alias("a").join(hit.alias("h"), F.expr("a.source <=> h.source"), "left").select(

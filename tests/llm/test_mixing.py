@@ -72,3 +72,13 @@ def test_the_mix_repeats_rows(tiny_docs, odd_docs, no_docs):
     assert all(copies[k] == t // n for k, (n, t) in taken.items() if n)
     assert mixing.mix(odd_docs).columns == odd_docs.columns
     assert mixing.mix(no_docs).count() == 0 and mixing.report(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("count", [2, 100])
+def test_a_budget_that_ends_with_a_slice(spark, count):
+    rows = [(i, f"{i} b c d e f g h i j", "a") for i in range(count)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = found(mixing.report(docs))
+    assert got == brute(rows, {})
+    assert sum(r[4] * n for r, n in got.items()) == 15 * count
+    assert mixing.mix(docs).count() == count * 3 // 2
