@@ -1,21 +1,23 @@
 """URL filter: explicit rules first, then a tree of path templates for each host.
 
-Paths are read segment by segment. Below each node of a host's tree a segment stays as
-it is if it is frequent there; all others are one wildcard. A frequent branch whose share of
+Paths are read segment by segment, to the last. Below each node of a host's tree a segment stays as
+it is if it has ``MIN_ROWS`` there; all others are one wildcard. A branch with as many whose share of
 bad labels does not differ from that of its node by more than chance allows is merged into
 the wildcard as well. What remains are templates. The share of bad labels of a template is
 smoothed by that of its host, and that of the host by all; templates above a limit are
 rejected.
 
-Every level is sums by node and joins of compact rows. Segments from ``MAX_DEPTH`` on are one
-last wildcard of the template, so no path is left out. Null urls and those without ``://`` have an empty host
+Every level is sums by node and joins of compact rows, of the paths that go as far. Levels end
+where no node has the rows and labels for a branch; what is left of the paths is wildcards. Null urls and those without ``://`` have an empty host
 and path and are judged like any other host; null labels are no labels; repeated rows are
 judged alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,8 @@ RULES = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 )
-MIN_ROWS, MIN_SHARE = 20, 0.01  # of a segment below its node
-MAX_DEPTH = 12
+MIN_ROWS = 20  # of a segment below its node
+MIN_SHARE, MAX_DEPTH = 0.0, math.inf  # no share of the node is asked for, no depth is the last
 SIGMAS = 3.0
 SMOOTHING = 10.0
 LIMIT = 0.5
@@ -56,29 +58,31 @@ def _sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")]
 
 
-def templates(pages: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def templates(pages: DataFrame) -> DataFrame:
     """Adds ``template`` to rows of ``host``, ``path`` and ``bad`` (1.0, 0.0 or null)."""
     rows = cut_lineage(pages.withColumn("parts", F.split("path", "/")).withColumn("template", F.element_at("parts", 1)))
-    deepest = rows.agg(F.max(F.size("parts"))).first()[0] or 0
-    for depth in range(2, min(deepest, max_depth) + 1):
-        here = rows.filter(F.size("parts") >= depth)
-        seen = here.groupBy("host", "template", F.element_at("parts", depth).alias("part")).agg(*_sums())
-        seen = cut_lineage(seen)
+    done, depth = [rows.filter(F.size("parts") < 2)], 2
+    while True:
+        rows = rows.filter(F.size("parts") >= depth).withColumn("part", F.get("parts", F.lit(depth - 1)))
+        seen = cut_lineage(rows.groupBy("host", "template", "part").agg(*_sums()))
         node = cut_lineage(seen.groupBy("host", "template").agg(
             F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")))
-        frequent = seen.filter(F.col("n") >= MIN_ROWS).join(node, ["host", "template"]).filter(
-            F.col("n") >= MIN_SHARE * F.col("all"))
+        if node.filter((F.col("all") >= MIN_ROWS) & (F.col("all_labelled") > 0)).isEmpty():
+            break  # no branch of its own here or further down
         share = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
         apart = F.abs(F.col("bad") - share * F.col("labelled"))
-        kept = frequent.filter(apart > SIGMAS * F.sqrt(share * (1 - share) * F.col("labelled"))).select(
+        kept = seen.filter(F.col("n") >= MIN_ROWS).join(node, ["host", "template"]).filter(
+            apart > SIGMAS * F.sqrt(share * (1 - share) * F.col("labelled"))).select(
             "host", "template", "part", F.lit(True).alias("own"))
         kept = small_side(cut_lineage(kept))
-        joined = rows.withColumn("part", F.get("parts", F.lit(depth - 1))).join(kept, ["host", "template", "part"], "left")
+        joined = rows.join(kept, ["host", "template", "part"], "left")
         step = F.when(F.col("part") == "", "").when(F.col("own"), F.col("part")).otherwise("*")
-        rows = cut_lineage(joined.withColumn("template", F.when(
-            F.size("parts") >= depth, F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))).drop("part", "own"))
-    more = F.when(F.size("parts") > max_depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return rows.withColumn("template", more).drop("parts")
+        rows = cut_lineage(joined.withColumn("template", F.concat("template", F.lit("/"), step)).drop("part", "own"))
+        done.append(rows.filter(F.size("parts") == depth))
+        depth += 1
+    below = F.transform(F.slice("parts", depth, F.size("parts")), lambda part: F.when(part == "", "").otherwise("*"))
+    done.append(rows.withColumn("template", F.concat_ws("/", "template", below)).drop("part"))
+    return reduce(DataFrame.unionByName, done).drop("parts")
 
 
 def judged(rows: DataFrame, limit: float = LIMIT) -> DataFrame:

@@ -113,3 +113,21 @@ def test_the_query(spark, tiny):
     number = {k: int("".join(filter(str.isdigit, parse(u)[1].split("/")[2]))) for k, u in rows}
     want = brute(rows, {k: bad[n] for k, n in number.items() if n in bad})
     assert sorted(((*tuple(r)[:6], round(r.share, 9)) for r in got), key=repr) == want
+
+
+def test_a_small_section_of_a_large_host(spark):
+    pages = [(i, f"http://h.net/s{i // 30}/{i}" if i < 3000 else f"http://h.net/bad/{i}") for i in range(3030)]
+    marks = {k: float(u.startswith("http://h.net/bad/")) for k, u in pages}
+    got = found(spark, pages, marks)
+    assert got == brute(pages, marks)
+    assert {(r[4], r[5].split("/")[1]) for r in got} == {("block", "bad"), ("allow", "*")}
+
+
+def test_templates_that_differ_far_below(spark):
+    deep = "/".join("abcdefghijklmnopqrst")
+    pages = [(i, f"http://h.net/{deep}/{('bad', 'good')[i % 2]}//{i}/x") for i in range(80)] + [(80, f"http://h.net/{deep}/{deep}/{deep}/")]
+    marks = {k: float(k % 2 == 0) for k, _ in pages[:80]}
+    got = found(spark, pages, marks)
+    assert got == brute(pages, marks)
+    assert {(r[4], r[5]) for r in got if r[0] < 80} == {(v, "/*" * 20 + f"/{s}//*/*") for v, s in (("block", "bad"), ("allow", "good"))}
+    assert {r[5] for r in got if r[0] == 80} == {"/*" * 60 + "/"}
