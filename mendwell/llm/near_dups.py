@@ -251,7 +251,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         _needed, "bucket long, tree int, low int, high int, block int, rep long"))
     bodies = docs.select(F.col(key).alias("_key"), F.unhex(F.sha2(body, 256)).alias("_sha"), body.alias("text"))
     wanted = needed.select("rep").distinct().join(reps.select("rep", "key", "sha"), "rep")
-    bodies = bodies.join(wanted, (F.col("_sha") == F.col("sha")) & F.col("_key").eqNullSafe(F.col("key"))).select("rep", "text")
+    bodies = bodies.join(wanted, (F.col("_sha") == F.col("sha")) & F.col("_key").eqNullSafe(F.col("key")))
+    bodies = bodies.groupBy("rep").agg(F.first("text").alias("text"))  # rows with one id and text bring it once
     full = needed.join(reps.select("rep", "copies", "prefixes"), "rep").join(bodies, "rep")
     verified = cut_lineage(_grouped(full).mapInPandas(_verified(threshold), "rep long, root long, links long"))
 

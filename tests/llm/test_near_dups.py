@@ -96,3 +96,21 @@ def test_components(spark, edges):
             root[max(a, b)] = min(a, b)
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((i, top(i)) for i in root)
+
+
+def test_the_text_of_repeated_rows_comes_once(spark, monkeypatch):
+    real = near_dups._verified
+
+    def watched(threshold):
+        def verify(batches):
+            def once():
+                for batch in batches:
+                    assert not batch.duplicated([*near_dups.KEYS, "rep"]).any()
+                    yield batch
+            yield from real(threshold)(once())
+        return verify
+
+    monkeypatch.setattr(near_dups, "_verified", watched)
+    texts = [" ".join(f"{name}{i}" for i in range(60)) for name in "ab"]
+    rows = [(7, texts[0])] * 40 + [(None, texts[1])] * 40 + [(8, texts[0] + " end"), (9, texts[1] + " end"), (5, texts[0])]
+    assert found(near_dups.report(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
