@@ -14,7 +14,7 @@ hot bucket is spread. A query that finds fewer than it wants looks everywhere, i
 same blocks.
 
 Vectors that are null, zero or hold nulls or what is not finite take no part, nor do null ids; rows
-with one id count as its nearest one; vectors of other lengths are no candidates. An empty table gives
+with one id count as its nearest one and are dealt to blocks one by one; vectors of other lengths are no candidates. An empty table gives
 an empty result.
 """
 
@@ -174,8 +174,12 @@ def _ask(plan: Plan):
 
 def _nearest(nearest: int):
     def near(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        """The nearest of a block of the index for each query of a block."""
+        """The nearest ids of a block of the index for each query of a block."""
+        if index.empty or asked.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        index = index.sort_values("id", kind="stable")
         ids, x, q = index["id"].to_numpy(), _matrix(index["vector"]), _matrix(asked["vector"])
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         found = []
         squares = (x**2).sum(1)
         rough = (q**2).sum(1)[:, None] + squares[None, :] - 2 * q @ x.T
@@ -183,30 +187,33 @@ def _nearest(nearest: int):
         for at, key in enumerate(asked["id"]):
             near = rough[at].copy()
             near[ids == key] = np.inf
-            if len(near) > nearest:
-                close = np.flatnonzero(near <= np.partition(near, nearest - 1)[nearest - 1] + slack[at])
+            least = np.minimum.reduceat(near, starts)  # of each id
+            if len(least) > nearest:
+                close = np.flatnonzero(near <= np.partition(least, nearest - 1)[nearest - 1] + slack[at])
             else:
                 close = np.arange(len(near))
             close = close[ids[close] != key]
             exact = np.sqrt(((x[close] - q[at]) ** 2).sum(1))
-            order = np.lexsort((ids[close], exact))[:nearest]
+            order = np.lexsort((ids[close], exact))
+            order = order[np.sort(np.unique(ids[close][order], return_index=True)[1])][:nearest]
             found.append(pd.DataFrame({"query_id": key, "vec_id": ids[close[order]], "score": exact[order]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return pd.concat(found)
     return near
 
 
 def _search(vectors: DataFrame, queries: DataFrame, plan: Plan, nearest: int) -> DataFrame:
     kind = vectors.schema["vector"].dataType.simpleString()
     schema = f"table int, size int, bucket long, id long, vector {kind}"
-    index = cut_lineage(vectors.mapInPandas(_index(plan), schema))
-    asked = cut_lineage(queries.mapInPandas(_ask(plan), schema))
+    row = F.monotonically_increasing_id()  # blocks are dealt by it, as an id may repeat
+    index = cut_lineage(vectors.mapInPandas(_index(plan), schema).withColumn("row", row))
+    asked = cut_lineage(queries.mapInPandas(_ask(plan), schema).withColumn("row", row))
     where = ["table", "size", "bucket"]
     blocks = index.groupBy(where).agg(F.ceil(F.count(F.lit(1)) / INDEX_BLOCK).cast("int").alias("parts")).join(
         asked.groupBy(where).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns")), where)
     blocks = cut_lineage(blocks)
-    index = index.join(blocks, where).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn(
+    index = index.join(blocks, where).withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int")).withColumn(
         "turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    asked = asked.join(blocks, where).withColumn("turn", F.pmod(F.xxhash64("id"), "turns").cast("int")).withColumn(
+    asked = asked.join(blocks, where).withColumn("turn", F.pmod(F.xxhash64("row"), "turns").cast("int")).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys, columns = [*where, "part", "turn"], [*where, "part", "turn", "id", "vector"]
     near = index.select(columns).groupBy(keys).cogroup(asked.select(columns).groupBy(keys)).applyInPandas(

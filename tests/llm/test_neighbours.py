@@ -78,3 +78,44 @@ def test_probes_come_in_order_and_reach_the_chance(place):
     values = [chance(c, 0.8) for c in got]
     assert len(set(got)) == len(got) and values == sorted(values, reverse=True)
     assert sum(values) >= 0.9 > sum(values[:-1])
+
+
+def nearest_rows(ids, x, nearest=10):
+    out = {}
+    for at in np.flatnonzero(ids % 100 == 0):
+        best = out.setdefault(int(ids[at]), {})
+        for i, d in zip(ids.tolist(), np.sqrt(((x - x[at]) ** 2).sum(1)).tolist()):
+            if i != ids[at]:
+                best[i] = min(d, best.get(i, d))
+    return {q: sorted(best.items(), key=lambda b: (b[1], b[0]))[:nearest] for q, best in out.items()}
+
+
+@pytest.mark.parametrize("often", [100, 7])
+def test_rows_of_one_id_are_dealt(spark, monkeypatch, often):
+    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 64)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 16)
+    real = neighbours._nearest
+
+    def watched(nearest):
+        def near(index, asked):
+            assert len(index) <= 128 and len(asked) <= 48
+            return real(nearest)(index, asked)
+        return near
+
+    monkeypatch.setattr(neighbours, "_nearest", watched)
+    draw = np.random.RandomState(4)
+    x = draw.normal(size=(600, 8))
+    ids = np.r_[np.full(300, often), 1000 + np.arange(300)]
+    x[-1] = x[0]  # id 1299, beside a row of the frequent id
+    got = found(neighbours.report(table(spark, ids, x)))
+    want = nearest_rows(ids, x)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert all(abs(a - b) < 1e-9 for q in want for (_, a), (_, b) in zip(got[q], want[q]))
+
+
+def test_one_id_does_not_push_out_the_others(spark):
+    x = np.r_[np.full((40, 2), 1.0), np.arange(2, 26, dtype=float).reshape(12, 2)]
+    ids = np.r_[100, np.full(39, 1), 2 + np.arange(12)]
+    vectors = neighbours.usable(table(spark, ids, x))
+    whole = neighbours.Plan(0, 1.0, 1.0, 1, 1.0)
+    assert found(neighbours.search(vectors, vectors.filter("id = 100"), plan=whole)) == nearest_rows(ids, x)
