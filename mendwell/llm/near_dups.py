@@ -1,10 +1,11 @@
-"""Near duplicates: an n-gram Jaccard join by a MinHash LSH forest.
+"""Near duplicates: an n-gram Jaccard join by MinHash banding, 16 bands of 6 minima.
 
 A text is the set of its runs of five words (lower case, split at white space; a shorter
 text is one run). Copies are joined first, so that what follows sees each text once. Every
-text has a signature in each of ``TREES`` prefix trees. Starting from the full
-signature the prefix that two texts must share is shortened until the forest finds a pair
-at the threshold with the wanted probability. Texts sharing such a prefix in a tree are a bucket;
+text has a signature in each of ``TREES`` trees. The prefix that two texts must share is as long in
+all of them and fixed before any text is read: the longest, up to the full signature, that finds a pair
+at the threshold with the wanted probability. It is held as one hash, so this is no forest whose
+prefixes are sorted and shortened for the texts at hand. Texts sharing a prefix in a tree are a bucket;
 a large bucket is cut into blocks, and pairs of blocks are worked on apart. A pair
 counts in the first tree that brings it together, where its sets are compared exactly.
 
