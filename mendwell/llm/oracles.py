@@ -69,8 +69,33 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+_PHRASES = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+o AS (SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM o GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+h AS (SELECT lang, part, max(a) AS longer
+      FROM (SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS part FROM c WHERE k = 3) GROUP BY lang, part),
+u AS (SELECT lang, phrase, a, 1 AS cut, ws[1] AS head, phrase[length(ws[1]) + 2:] AS tail FROM c
+      UNION ALL SELECT lang, phrase, a, 2, ws[1] || ' ' || ws[2], ws[3] FROM c WHERE k = 3),
+s AS (SELECT u.lang, u.phrase, u.a, cut, l.a AS l, r.a AS r, (1000000::HUGEINT * u.a * u.a // (l.a::HUGEINT * r.a)) AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.head JOIN f r ON r.lang = u.lang AND r.phrase = u.tail),
+b AS (SELECT s.*, h.longer FROM s LEFT JOIN h ON h.lang = s.lang AND h.part = s.phrase
+      QUALIFY row_number() OVER (PARTITION BY s.lang, s.phrase ORDER BY score, cut) = 1),
+k AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score::BIGINT AS score
+      FROM b WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT k.lang, rank, phrase, a, l, r, n, score FROM k JOIN n ON n.lang = k.lang WHERE rank <= 2000
+"""
+
 ORACLES = {
     "op1_exact_dedup": _DEDUP,
     "op6_secret_scan": _SECRETS,
     "op7_mixing": _MIX,
+    "op13_phrases": _PHRASES,
 }
