@@ -43,8 +43,9 @@ LEVELS = (100_000, 1_000, 0)
 BUCKETS = 1 << 20
 BITS = 67_108_859  # a prime just below 2**26
 MIX = (1_000_003, 69_069)
-PORTION = 4 << 20  # bytes of text that are counted at a time
+PORTION = 1 << 20  # bytes of text that are counted at a time
 SPREAD = 64
+ROWS = 256
 
 BREAK = b"\xff"  # in no UTF-8 text
 _TABLE = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
@@ -126,7 +127,7 @@ def _counts(docs: DataFrame, count: Callable[[Portion], Counted]) -> DataFrame:
     """``lang``, ``phrase``, ``a``: what ``count`` finds in the portions of a task, summed up over all tasks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(start, ROWS) for whole in batches for start in range(0, whole.num_rows, ROWS)):
             texts: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 texts.setdefault(lang, []).append(text)
