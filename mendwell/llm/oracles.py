@@ -93,9 +93,35 @@ k AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a D
 SELECT k.lang, rank, phrase, a, l, r, n, score FROM k JOIN n ON n.lang = k.lang WHERE rank <= 2000
 """
 
+# CRC-32 of decimal ids, byte by byte with a table of 256 remainders
+_REBUILT = """
+z AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS z),
+o AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, sha256(
+        strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS ts
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, ts, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+        lambda x, b: xor(z[(xor(x, b) & 255) + 1], x >> 8)), 4294967295) % 6 AS h FROM o, z),
+b AS (SELECT h.conv_id, list_concat(coalesce(o.ts[:h], []), h.ts[h + 1:]) AS ts FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 100)
+"""
+
+_TRIE = f"""
+WITH {_REBUILT},
+m AS (SELECT conv_id, unnest(range(len(ts) + 1)) AS depth, len(ts) AS n, list_transform(ts, lambda t: t.role || chr(1) || t.text) AS path, ts FROM b),
+g AS (SELECT path[:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(length(ts[depth].text)), 0) AS size,
+             coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends
+      FROM m GROUP BY path[:depth], depth),
+c AS (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY path[:depth - 1]),
+l AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN c USING (path)),
+s AS (SELECT path[:d] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+      FROM (SELECT path, n_children, n_convs, size, unnest(range(depth + 1)) AS d FROM l) GROUP BY path[:d])
+SELECT l.conv_id, l.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, l.n_convs, l.n_children, n_leaves, saved_tokens, sha256(l.ends) AS ends_sha256
+FROM l JOIN s USING (path) LEFT JOIN g p ON l.depth > 0 AND p.path = l.path[:l.depth - 1]
+"""
+
 ORACLES = {
     "op1_exact_dedup": _DEDUP,
     "op6_secret_scan": _SECRETS,
     "op7_mixing": _MIX,
+    "op11_prefix_trie": _TRIE,
     "op13_phrases": _PHRASES,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendwell.llm import exact_dedup, mixing, near_dups, neighbours, packing, phrases, quality, secrets, sharding, token_counts, url_filter
+from mendwell.llm import exact_dedup, mixing, near_dups, neighbours, packing, phrases, prefix_trie, quality, secrets, sharding, token_counts, url_filter
 from mendwell.llm.oracles import ORACLES
 
 
@@ -56,6 +56,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.report(_table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.report(_table(spark, folder, "conversations"))
+
+
 def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.report(_table(spark, folder, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_phrases": op13_phrases,
 }
 

@@ -15,7 +15,7 @@ from tests.llm.test_near_dups import brute as near_classes
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, tiny, name):
     con = duckdb.connect()
-    for table in ("documents", "labels", "pages", "embeddings"):
+    for table in ("documents", "labels", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tiny}/{table}.parquet'")
     df, want = queries.QUERIES[name](spark, tiny), con.execute(queries.oracle_sql()[name])
     columns = [item[0] for item in want.description]
