@@ -118,10 +118,41 @@ SELECT l.conv_id, l.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, l.n_con
 FROM l JOIN s USING (path) LEFT JOIN g p ON l.depth > 0 AND p.path = l.path[:l.depth - 1]
 """
 
+_CHAT = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS g, row_number() OVER v AS i, conv_id, role, text,
+        coalesce(floor(turn / 1024)::BIGINT, -4611686018427387904) AS chapter,
+        24 + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) AS chars,
+        4 + len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x09-\x0D\x20]')) AS tokens
+      FROM c WINDOW v AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text))),
+s AS (SELECT g, tokens AS sys_tokens, chars AS sys_chars, chapter AS sys_chapter FROM t WHERE i = 1 AND role = 'system'),
+u AS (SELECT t.g, row_number() OVER w AS j, tokens, chars, chapter, dense_rank() OVER (PARTITION BY t.g ORDER BY chapter) AS place,
+        coalesce(sys_tokens, 0) AS sys_tokens, coalesce(sys_chars, 0) AS sys_chars, chapter <> sys_chapter AS alone, sum(tokens) OVER w AS upto
+      FROM t LEFT JOIN s ON s.g = t.g WHERE NOT (i = 1 AND sys_tokens IS NOT NULL) WINDOW w AS (PARTITION BY t.g ORDER BY i)),
+-- what a window that begins with turn j repeats
+b AS (SELECT u.g, u.j, u.tokens, u.place, u.sys_tokens, u.sys_chars, u.alone, coalesce(sum(p.tokens), 0) AS old_tokens, coalesce(sum(p.chars), 0) AS old_chars
+      FROM u LEFT JOIN u p ON p.g = u.g AND p.j < u.j AND p.j >= u.j - 4 AND p.place >= u.place - 1
+        AND u.upto - u.tokens - (p.upto - p.tokens) <= 256 AND u.upto - (p.upto - p.tokens) <= 1024 - u.sys_tokens
+      GROUP BY ALL),
+w AS (SELECT g, j, place, sys_tokens + tokens AS used, CASE WHEN alone THEN sys_chars ELSE 0 END::HUGEINT AS again FROM b WHERE j = 1
+      UNION ALL
+      SELECT b.g, b.j, b.place, CASE WHEN w.place = b.place AND used + tokens <= 1024 THEN used + tokens ELSE sys_tokens + old_tokens + tokens END,
+             CASE WHEN w.place = b.place AND used + tokens <= 1024 THEN 0 ELSE sys_chars + old_chars END
+      FROM w JOIN b ON b.g = w.g AND b.j = w.j + 1),
+a AS (SELECT g, sum(again) AS again FROM w GROUP BY g)
+SELECT any_value(conv_id) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(chars) + coalesce(any_value(again), 0))::BIGINT AS formatted_chars
+FROM t LEFT JOIN a ON a.g = t.g GROUP BY t.g
+"""
+
 ORACLES = {
     "op1_exact_dedup": _DEDUP,
     "op6_secret_scan": _SECRETS,
     "op7_mixing": _MIX,
     "op11_prefix_trie": _TRIE,
+    "op12_chat_windows": _CHAT,
     "op13_phrases": _PHRASES,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendwell.llm import exact_dedup, mixing, near_dups, neighbours, packing, phrases, prefix_trie, quality, secrets, sharding, token_counts, url_filter
+from mendwell.llm import chat, exact_dedup, mixing, near_dups, neighbours, packing, phrases, prefix_trie, quality, secrets, sharding, token_counts, url_filter
 from mendwell.llm.oracles import ORACLES
 
 
@@ -60,6 +60,10 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.report(_table(spark, folder, "conversations"))
 
 
+def op12_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.report(_table(spark, folder, "conversations"))
+
+
 def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.report(_table(spark, folder, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_chat_windows": op12_chat_windows,
     "op13_phrases": op13_phrases,
 }
 
