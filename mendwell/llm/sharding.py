@@ -14,8 +14,6 @@ bytes). An empty table has an empty result.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,6 +27,7 @@ SHARDS = 16
 ROWS_A_RANGE, LEAST_RANGES, MOST_RANGES = 200_000, 1024, 65_536
 GROUP_SHARE = 0.02
 LOWEST = -(1 << 63)
+TURNS = 8  # a range still overfull then is placed as it is, by one task
 
 
 def measured(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
@@ -43,15 +42,22 @@ def measured(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: bo
 
 def _range_of(splitters: list[tuple[int, int, int]]) -> Column:
     """Number of splitters at or below a row."""
-    heads = np.array([s[0] for s in splitters], dtype=np.int64)
-    inner = {s[0] for s in splitters if s[1:] != (LOWEST, LOWEST)}
+    table = np.array(splitters, dtype=np.int64).reshape(-1, 3)
+    heads = table[:, 0].copy()
+    inner = np.unique(heads[(table[:, 1:] != LOWEST).any(axis=1)])  # hashes whose own rows are split
 
     @F.pandas_udf("int")
     def place(head: pd.Series, second: pd.Series, third: pd.Series) -> pd.Series:
-        found = np.searchsorted(heads, head.to_numpy(), side="right")
-        if inner:  # a hash whose own rows are split
-            for i in np.flatnonzero(head.isin(inner).to_numpy()):
-                found[i] = bisect_right(splitters, (head.iat[i], second.iat[i], third.iat[i]))
+        head, second, third = head.to_numpy(), second.to_numpy(), third.to_numpy()
+        found = np.searchsorted(heads, head, side="right")
+        for own in np.intersect1d(head, inner):
+            first, last = np.searchsorted(heads, own), np.searchsorted(heads, own, side="right")
+            hit = np.flatnonzero(head == own)
+            tag = np.repeat([0, 1], [last - first, len(hit)])  # splitters go before rows equal to them
+            order = np.lexsort((tag, np.append(table[first:last, 2], third[hit]), np.append(table[first:last, 1], second[hit])))
+            below = np.empty(len(order), np.int64)
+            below[order] = np.cumsum(tag[order] == 0)
+            found[hit] = first + below[last - first:]
         return pd.Series(found.astype(np.int32))
 
     return place("hash", "key_hash", "row")
@@ -61,10 +67,12 @@ def find_ranges(rows: DataFrame, total: int, count: int) -> tuple[list[tuple[int
     """Splitters, and (range, bytes, rows) of each range that has rows."""
     wanted = min(max(LEAST_RANGES, count // ROWS_A_RANGE), MOST_RANGES)
     limit_bytes, limit_rows = max(2 * total // wanted, 1), max(2 * count // wanted, 1)
+    # a row beyond the limit cannot be split: it neither makes its range overfull nor draws the sample to itself
+    size = F.least(F.col("size"), F.lit(limit_bytes))
     splitters: list[tuple[int, int, int]] = []
     chosen, weight, turn = F.lit(True), 1.0, 0
     while True:
-        share = (F.col("size") / F.lit(float(total)) + F.lit(1.0 / count)) / F.lit(2.0 * weight)
+        share = (size / F.lit(float(total)) + F.lit(1.0 / count)) / F.lit(2.0 * weight)
         drawn = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share * (2 * wanted)
         ranged = rows.withColumn("range", _range_of(splitters))
         fresh = ranged.filter(chosen & drawn).select("hash", "key_hash", "row", "range")
@@ -73,15 +81,15 @@ def find_ranges(rows: DataFrame, total: int, count: int) -> tuple[list[tuple[int
             (h, k, n) if r in single else (h, LOWEST, LOWEST) for h, k, n, r in found}
         splitters = sorted(set(splitters) | new)
         stats = rows.groupBy(_range_of(splitters).alias("range")).agg(
-            F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"),
+            F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.sum(size).alias("capped"), F.max("size").alias("largest"),
             F.min("hash").alias("least"), F.max("hash").alias("most")).collect()
-        over = [s for s in stats if s["rows"] > 1 and (s["bytes"] > limit_bytes or s["rows"] > limit_rows)]
+        over = [s for s in stats if s["rows"] > 1 and (s["bytes"] - s["largest"] > limit_bytes or s["rows"] > limit_rows)]
         turn += 1
-        if not over or (turn > 3 and not new):
+        if not over or turn == TURNS:
             return splitters, sorted((s["range"], s["bytes"], s["rows"]) for s in stats)
         single = {s["range"] for s in over if s["least"] == s["most"]}
         chosen = F.col("range").isin([s["range"] for s in over])
-        weight = sum(s["bytes"] / total + s["rows"] / count for s in over) / 2
+        weight = sum(s["capped"] / total + s["rows"] / count for s in over) / 2
 
 
 def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
