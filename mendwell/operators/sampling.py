@@ -116,32 +116,36 @@ def below(fraction: float) -> Column:
     return F.lit(_hex(fraction))
 
 
-def with_index(df: DataFrame, order: Sequence[str], name: str, rows: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def with_index(df: DataFrame, order: Sequence[str], name: str, rows: int, one_task_rows: int | None = None) -> DataFrame:
     """Number rows 0, 1, 2 … in the given order; ``rows`` bounds their number.
 
     Few rows are numbered by one window. Many are sorted by range, written to
     the checkpoint folder so that the partitions stay as they are, and numbered
-    inside each partition after the counts of the partitions before it.
+    inside each partition after the counts of the partitions before it. A ``name``
+    that ``df`` has already is refused.
     """
-    if rows <= one_task_rows:
+    if name in df.columns:
+        raise ValueError(f"there is a column {name!r} already")
+    if rows <= (ONE_TASK_ROWS if one_task_rows is None else one_task_rows):
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    mark = "_"
+    while any(column.startswith(mark) for column in (*df.columns, name)):
+        mark += "_"
+    part, place, start = (mark + own for own in ("part", "place", "start"))
     placed = cut_lineage(
         df.orderBy(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        .withColumn(part, F.spark_partition_id())
+        .withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        placed.groupBy("_part")
-        .agg(F.count("*").alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+        placed.groupBy(part)
+        .agg(F.count("*").alias("n"))
+        .select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(start))
     )
     # One row per partition of the sort.
-    return (
-        placed.join(F.broadcast(starts), "_part")
-        .withColumn(name, (F.col("_start") + F.col("_place")).cast("bigint"))
-        .drop("_part", "_place", "_start")
-    )
+    numbered = placed.join(F.broadcast(starts), part).withColumn(name, (F.col(start) + F.col(place)).cast("bigint"))
+    return numbered.select(*[F.col(f"`{column}`") for column in df.columns], name)
 
 
 def without_used(rows: DataFrame, keys: Sequence[str], table: str, columns: Sequence[str], journal: DataFrame) -> DataFrame:

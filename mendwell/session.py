@@ -70,18 +70,19 @@ def _row_bytes(df: DataFrame) -> Column:
     return total.cast("long")
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
     """Whether ``df`` may be broadcast by its rows and its bytes; it is read up to ``limit + 1`` rows."""
+    limit = BROADCAST_ROWS if limit is None else limit
     found = df.limit(limit + 1).select(_row_bytes(df).alias("size")).agg(F.count("*"), F.sum("size")).first()
     return found[0] <= limit and (found[1] or 0) <= BROADCAST_BYTES
 
 
-def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, rows: int | None = None, limit: int | None = None) -> DataFrame:
     """Mark ``df`` for broadcast if it is known or found to be small.
 
     ``rows`` is an upper bound the caller can prove, for narrow rows. Without one
     rows and bytes are measured. Beyond the limit the frame is returned as it
     is and the join shuffles.
     """
-    small = is_small(df, limit) if rows is None else rows <= limit
+    small = is_small(df, limit) if rows is None else rows <= (BROADCAST_ROWS if limit is None else limit)
     return F.broadcast(df) if small else df

@@ -53,6 +53,12 @@ def test_numbering_many_rows_equals_numbering_few(spark):
     few = sampling.with_index(df, ["k"], "n", 5_000)
     many = sampling.with_index(df, ["k"], "n", 5_000, one_task_rows=10)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    for name in ("_place", "_part", "_start", "__place", "n"):
+        named = sampling.with_index(df.withColumn("_n", F.lit(1)), ["k"], name, 5_000, one_task_rows=10)
+        assert named.columns == ["k", "_n", name]
+        assert sorted((r["k"], r[name]) for r in named.collect()) == sorted(map(tuple, few.collect()))
+    with pytest.raises(ValueError):
+        sampling.with_index(df, ["k"], "k", 5_000)
 
 
 def test_used_rows_are_left_out(spark):
