@@ -8,6 +8,7 @@ expressions, so a rule costs one projection.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -78,6 +79,20 @@ def prefixed_numeric(value: Column, index: Column, params: Mapping[str, Any]) ->
     return F.concat(F.lit(params.get("prefix", "USD ")), value.cast("string"))
 
 
+def _own_arithmetic(name: str, value: Column, dtype: T.DataType, params: Mapping[str, Any]) -> Column | None:
+    """Sum or product without a detour over doubles, where type and parameter are exact; a result
+    that 64 bits cannot hold is an error."""
+    given = Decimal(str(params.get(*{"multiply": ("factor", 100), "add": ("increment", 100_000)}[name])))
+    whole = isinstance(dtype, T.IntegralType) and given == given.to_integral_value()
+    if not whole and not isinstance(dtype, T.DecimalType):
+        return None
+    number, other = (value.cast("bigint"), F.lit(int(given)).cast("bigint")) if whole else (value, F.lit(given))
+    if not whole:
+        return number * other if name == "multiply" else number + other
+    made = F.try_multiply(number, other) if name == "multiply" else F.try_add(number, other)
+    return F.when(value.isNotNull(), F.coalesce(made, F.raise_error(F.lit(f"{name}: beyond 64 bits")).cast("bigint")))
+
+
 def multiply(value: Column, index: Column, params: Mapping[str, Any]) -> Column:
     return _number(value) * F.lit(float(params.get("factor", 100)))
 
@@ -170,7 +185,8 @@ def faulty(name: str, value: Column, dtype: T.DataType, index: Column, params: M
     """The faulty value in the column's own type."""
     if name == "negative" and not isinstance(dtype, T.NumericType):
         value = _number(value)
-    result = CELL_FAULTS[name](value, index, params)
+    own = _own_arithmetic(name, value, dtype, params) if name in {"multiply", "add"} else None
+    result = CELL_FAULTS[name](value, index, params) if own is None else own
     if isinstance(dtype, T.StringType) and name in {"date_before", "date_shift"}:
         return iso_text(result)
     return result.cast(dtype)

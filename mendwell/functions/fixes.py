@@ -78,9 +78,9 @@ def canonical_alias(value: Column, names: Mapping[str, str] = COUNTRY_NAMES) ->
 
 
 def undo_factor(value: Column, factor: int = 100) -> Column:
-    """An integer divided by the factor, only where it divides evenly."""
-    number = value.try_cast("double")
-    return F.when((number % factor) == 0, number / factor)
+    """An integer of up to 28 digits divided by the factor, only where it divides evenly; no digit is lost."""
+    number = value.try_cast("decimal(38,10)")
+    return F.when((number % factor) == 0, (number / factor).cast("decimal(38,0)"))
 
 
 def absolute(value: Column) -> Column:

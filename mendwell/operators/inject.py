@@ -388,6 +388,16 @@ def rule_statistics(journal: DataFrame, rules: Sequence[Rule], requested: Mappin
     return wanted.join(made, "rule_id", "left").fillna(0, ["generated_assertions"])
 
 
+def _refuse_met_keys(df: DataFrame, spec: TableSpec, journal: DataFrame) -> None:
+    """A corrupted key must be the key of one row, or its labels could not find that row."""
+    moved = journal.filter(F.col("table") == spec.name).filter(F.col("corrupted_primary_key").isNotNull())
+    keys = small_side(moved.select(F.col("corrupted_primary_key").alias("token")).distinct())
+    met = df.select(key_token(spec.primary_key).alias("token")).join(keys, "token", "left_semi").groupBy("token").count()
+    twice = met.filter("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"{spec.name}: {twice['count']} rows have the corrupted key {twice['token']}")
+
+
 def inject(dataset: Dataset, scenario: Scenario) -> Injected:
     """Apply the rules of a scenario in order, each to the result of the last.
 
@@ -412,8 +422,12 @@ def inject(dataset: Dataset, scenario: Scenario) -> Injected:
     twice = journal.groupBy("rule_id", "primary_key", "column").count().filter("count > 1").first()
     if twice is not None:
         raise ValueError(f"{twice['rule_id']}: the key {twice['primary_key']} has several rows, so labels could not find one")
+    after = dataset.with_tables({table: df for table, (df, _, _) in done.items()})
+    keyed = {rule.table for rule in scenario.rules if _writes(rule) & set(dataset.specs[rule.table].primary_key)}
+    for table in sorted(keyed):
+        _refuse_met_keys(after[table], dataset.specs[table], journal)
     return Injected(
-        dataset.with_tables({table: df for table, (df, _, _) in done.items()}),
+        after,
         journal,
         rule_statistics(journal, scenario.rules, requested),
         journal.count(),

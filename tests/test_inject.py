@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mendwell.functions import fixes
 from mendwell.operators import controls, inject, repair, sampling
 from mendwell.operators.compare import compare_datasets, logical_match
 from mendwell.operators.score import quality
@@ -165,3 +166,34 @@ def test_a_key_with_several_rows_is_refused(spark, count):
     twice = spark.createDataFrame([(i % 10, f"x{i % 10}") for i in range(20)], "id bigint, a string")
     with pytest.raises(ValueError):
         inject.inject(Dataset({"t": twice}, SPECS), _scenario(Rule("a", "t", ("a",), "null", count=count)))
+
+
+def test_64_bit_integers_stay_what_they_are(spark):
+    big = 2**53
+    table = spark.createDataFrame([(big + i, (big + i) * 7) for i in range(40)], "k bigint, v bigint")
+    data = Dataset({"t": table}, {"t": TableSpec("t", ("k",))})
+    rules = [Rule("times", "t", ("v",), "multiply", count=30, params={"factor": 100}, error_type="x"),
+             Rule("key", "t", ("k",), "add", count=10, params={"increment": 100_000})]
+    made = inject.inject(data, Scenario("S", "s", 3, 50.0, tuple(rules), ()))
+    dirty = {r["k"]: r["v"] for r in made.dataset["t"].collect()}
+    assert len(dirty) == 40 and sum(k >= big + 100_000 for k in dirty) == 10
+    assert sorted(k % 100_000 - big % 100_000 for k in dirty) == list(range(40))
+    assert sum(v >= 100 * big for v in dirty.values()) == 30
+    steps = [repair.Step("key", "restore", columns=("k",)), repair.Step("times", "derive", lambda raw, _: fixes.undo_factor(raw), columns=("v",))]
+    fixed = repair.repair_all(made.dataset, made.journal, steps)
+    assert sorted(map(tuple, fixed["t"].collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_undone_factor_of_large_integers(spark):
+    values = [(2**53 + 1 + i) * 100 for i in range(40)]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    assert [r[0] for r in df.select(fixes.undo_factor(F.col("v")).cast("bigint")).collect()] == [v // 100 for v in values]
+
+
+def test_results_beyond_64_bits_and_met_keys_are_refused(spark):
+    data = _dataset(spark)
+    wide = Rule("w", "t", ("b",), "multiply", count=5, where="b > 0", params={"factor": 10**19 // 2})
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        inject.inject(Dataset({"t": data["t"].withColumn("b", F.col("b").cast("bigint"))}, {"t": SPECS["t"]}), _scenario(wide))
+    with pytest.raises(ValueError, match="corrupted key"):
+        inject.inject(data, _scenario(Rule("k", "t", ("id",), "add", count=30, params={"increment": 1})))
