@@ -19,6 +19,7 @@ from mendwell.operators.groups import (
     lookup,
     with_group_stats,
 )
+from mendwell.session import cut_lineage, small_side
 
 
 def near_miss_names(
@@ -61,6 +62,81 @@ def near_miss_names(
     return with_group_stats(rows, found, [name], ["canonical_name"]).filter(F.col("canonical_name").isNotNull())
 
 
+# Names in one bucket of the deletion index that a task compares one other name with.
+INDEX_BLOCK = 1000
+
+
+def deletions(text: Column, most: int = 2) -> Column:
+    """Hashes of the text itself and of all texts with up to ``most`` (at most 2) of its characters left out.
+
+    Two texts within that many edits of each other have one in common.
+    """
+    size = F.char_length(text)
+
+    def places(first: Column | int, last: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.when(last >= first, F.sequence(F.lit(first) if isinstance(first, int) else first, last)).otherwise(none)
+
+    def without(*gone: Column) -> Column:
+        """One text: what stands before, between and after the places left out."""
+        pieces, start = [], F.lit(1)
+        for place in gone:
+            pieces.append(F.substring(text, start, place - start))
+            start = place + 1
+        return F.xxhash64(F.concat(*pieces, F.substring(text, start, F.greatest(size - start + 1, F.lit(0)))))
+
+    found = [F.array(F.xxhash64(text))]
+    if most >= 1:
+        found.append(F.transform(places(1, size), lambda one: without(one)))
+    if most >= 2:
+        found.append(F.flatten(F.transform(
+            places(1, size - 1), lambda one: F.transform(places(one + 1, size), lambda two: without(one, two)))))
+    return F.array_distinct(F.concat(*found))
+
+
+def similar_names(
+    df: DataFrame, keys: Sequence[str], name: str, distance: int = 2, max_rare: int = 3, min_ratio: int = 10
+) -> DataFrame:
+    """Rare names within ``distance`` (1 or 2) edits of a more frequent one, which they get as ``canonical_name``.
+
+    An index of deletions brings together the names that can be so near; they alone
+    are compared, by their exact distance, and of several names the most frequent
+    wins, then the first. A name is rare up to ``max_rare`` rows or up to
+    1/min_ratio of the other's. A bucket of the index with very many frequent names is cut into
+    blocks, which its rare names meet in different tasks.
+    """
+    if distance not in (1, 2):
+        raise ValueError("distance must be 1 or 2")
+    names = cut_lineage(
+        df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("_name")).agg(F.count("*").alias("_n"))
+    )
+    most = names.agg(F.max("_n")).first()[0] or 0
+    # A name of one row is never the more frequent one.
+    common = names.filter(F.col("_n") > 1).select(
+        F.col("_name").alias("_meant"), F.col("_n").alias("_common"), F.explode(deletions(F.col("_name"), distance)).alias("_key")
+    )
+    rare = names.filter((F.col("_n") <= max_rare) | (F.col("_n") * min_ratio <= most)).select(
+        "_name", "_n", F.explode(deletions(F.col("_name"), distance)).alias("_key")
+    )
+    sizes = common.groupBy("_key").count().filter(F.col("count") > INDEX_BLOCK)
+    blocks = small_side(cut_lineage(sizes.select("_key", F.ceil(F.col("count") / INDEX_BLOCK).cast("int").alias("_blocks"))))
+    split = F.coalesce(F.col("_blocks"), F.lit(1))
+    common = common.join(blocks, "_key", "left").withColumn("_block", F.pmod(F.xxhash64("_meant"), split).cast("int"))
+    rare = rare.join(blocks, "_key", "left").withColumn("_block", F.explode(F.sequence(F.lit(0), split - 1)))
+    near = (
+        rare.drop("_blocks")
+        .join(common.drop("_blocks"), ["_key", "_block"])
+        .filter((F.col("_common") > F.col("_n")) & ((F.col("_n") <= max_rare) | (F.col("_n") * min_ratio <= F.col("_common"))))
+        .filter(F.levenshtein("_name", "_meant", distance) > 0)  # -1 beyond the distance
+        .groupBy("_name")
+        .agg(F.min_by("_meant", F.struct(-F.col("_common"), F.col("_meant"))).alias("canonical_name"))
+    )
+    judged = names.join(near, "_name", "left").select(F.col("_name").alias(name), F.col("_n").alias("n"), "canonical_name")
+    found = found_in(judged, F.col("canonical_name").isNotNull(), ["canonical_name"])
+    rows = df.select(*dict.fromkeys([*keys, name]))
+    return with_group_stats(rows, found, [name], ["canonical_name"]).filter(F.col("canonical_name").isNotNull())
+
+
 def unlike_mode(
     df: DataFrame,
     keys: Sequence[str],

@@ -1,7 +1,7 @@
 """Group statistics that survive hot groups.
 
 A third of all rows may share one key. So statistics are built from mergeable
-partial aggregates, quantiles from pre-aggregated values cut into buckets, and
+partial aggregates, quantiles from counts in ever narrower bins, and
 statistics go back to their rows without sending a hot group to one task.
 """
 
@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendwell.session import BROADCAST_ROWS, cut_lineage, is_small, small_side
+from mendwell import session
+from mendwell.session import cut_lineage, is_small, small_side
 
 # A group this large is hot. A table of N rows has at most N / HOT_ROWS hot
 # groups, one narrow row each, which bounds what is broadcast.
@@ -88,8 +89,29 @@ def group_mode(rows: DataFrame, keys: Sequence[str], value: str | Sequence[str],
     )
 
 
-# Half the width of a bracket in error bounds of the sketch.
-BRACKET = 2.0
+# Up to so many rows of a group are ranked by one task.
+RANK_ROWS = 1_000_000
+BINS = 2048
+_HALF = 1 << 62
+
+
+def order_key(value: Column) -> Column:
+    """An integer of 63 bits that never falls where a double rises; next to each other, two doubles may share one.
+
+    It is put together from the exponent and the 52 bits below it; scaling by powers of two is exact.
+    """
+    size = F.abs(value)
+    guess = F.greatest(F.least(F.coalesce(F.floor(F.log2(size)), F.lit(-1000)), F.lit(1023)), F.lit(-1000))
+
+    def scaled(exponent: Column) -> Column:
+        return size * F.pow(F.lit(2.0), (-exponent).cast("double"))
+
+    # the logarithm may be rounded over the edge of its power of two
+    exponent = guess + F.when(scaled(guess) >= 2, 1).when((scaled(guess) < 1) & (guess > -1000), -1).otherwise(0)
+    key = ((exponent + 1001) * F.lit(1 << 52) + ((scaled(exponent) - 1) * F.lit(float(1 << 52))).cast("bigint")).cast("bigint")
+    finite = F.shiftright(F.when(value < 0, -key).otherwise(key), 1)
+    return F.when(F.isnan(value), F.lit(_HALF - 1)).when(
+        size == float("inf"), F.when(value < 0, F.lit(1 - _HALF)).otherwise(F.lit(_HALF - 2))).otherwise(finite)
 
 
 def group_quantiles(
@@ -97,74 +119,90 @@ def group_quantiles(
     keys: Sequence[str],
     value: str,
     quantiles: dict[str, tuple[int, int]],
-    accuracy: int = 10_000,
+    rank_rows: int | None = None,
 ) -> DataFrame:
-    """Exact discrete quantiles per group, without sorting a group in one task.
+    """Exact discrete quantiles per group, however large it is; no task ranks more than ``rank_rows`` rows of one.
 
     ``quantiles`` maps an output name to a fraction ``(numerator, denominator)``;
-    the result is the value at rank ``ceil(fraction * n)``. A mergeable sketch
-    brackets each rank from both sides, twice as wide as its error bound.
-    Equal values are counted together before they meet the brackets; values
-    below a bracket are only summed up, and what is left to rank is some
-    4/accuracy of the group. Counts show whether a bracket holds its rank; groups
-    with one that does not are ranked again with wider ones. Also returns ``n``,
-    the number of values in it.
+    the result is the value at rank ``ceil(fraction * n)``. Groups within the limit are sorted by one task
+    each. Larger ones are never sorted: counts in bins of an order-keeping integer tell in which
+    bin a rank lies, and that bin is cut into bins again, until what is left in it is
+    within the limit or of one value. A level leaves a 2048th of the range, so there
+    are at most six. Also returns ``n``, the number of values. Rows without a key are in no group.
     """
     keys = list(keys)
-    known = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    margin, found, left = BRACKET / accuracy, [], known
-    while True:
-        sizes, ranked = _ranked(left, keys, quantiles, margin, accuracy)
-        found.append(ranked)
-        complete = reduce(lambda one, other: one & other, [F.col(name).isNotNull() for name in quantiles])
-        same = [F.col(f"s.{key}").eqNullSafe(F.col(f"r.{key}")) for key in keys]
-        missed = sizes.alias("s").join(ranked.filter(complete).alias("r"), same, "left_anti")
-        if missed.isEmpty():
-            break
-        missed = cut_lineage(missed.select(*keys))
-        found[-1] = ranked.filter(complete)
-        again = [F.col(f"k.{key}").eqNullSafe(F.col(f"m.{key}")) for key in keys]
-        left = left.alias("k").join(small_side(missed).alias("m"), again, "left_semi")
-        margin = min(max(8 * margin, 1 / accuracy), 1.0)
-    return reduce(DataFrame.unionByName, found)
-
-
-def _ranked(
-    known: DataFrame, keys: list[str], quantiles: dict[str, tuple[int, int]], margin: float, accuracy: int
-) -> tuple[DataFrame, DataFrame]:
-    """Groups with their sizes, and the quantiles whose brackets hold them."""
-    ends = []
-    for top, bottom in quantiles.values():
-        ends += [F.lit(min(max(top / bottom + way * margin, 0.0), 1.0)) for way in (-1, 1)]
-    brackets = cut_lineage(known.groupBy(*keys).agg(
-        F.percentile_approx("_v", F.array(*ends), accuracy).alias("_ends"), F.count("*").alias("n")
-    ))
-    counted = known.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    wanted = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"),
-            F.ceil(F.col("n") * top / bottom).cast("bigint").alias("rank"),
-            F.col("_ends")[2 * place].alias("lo"),
-            F.col("_ends")[2 * place + 1].alias("hi"),
-        )
-        for place, (name, (top, bottom)) in enumerate(quantiles.items())
-    ])
-    slots = (
-        with_group_stats(counted, brackets, keys, ["_ends", "n"])
-        .withColumn("_q", F.explode(wanted))
-        .filter(F.col("_v") <= F.col("_q.hi"))
-        .groupBy(*keys, F.col("_q.name").alias("_name"), F.when(F.col("_v") >= F.col("_q.lo"), F.col("_v")).alias("_v"))
-        .agg(F.sum("_n").alias("_n"), F.max("n").alias("n"), F.max("_q.rank").alias("_rank"))
+    limit = RANK_ROWS if rank_rows is None else rank_rows
+    keyed = [F.col(key).isNotNull() for key in keys]
+    known = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter(
+        reduce(lambda one, other: one & other, keyed, F.col("_v").isNotNull())
     )
-    order = Window.partitionBy(*keys, "_name").orderBy(F.asc_nulls_first("_v"))
-    hit = slots.withColumn("_upto", F.sum("_n").over(order)).filter(
-        (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))
+    number = order_key(F.col("_v"))
+    sizes = cut_lineage(known.groupBy(*keys).agg(F.count("*").alias("n"), F.min(number).alias("_lo"), F.max(number).alias("_hi")))
+    large = sizes.filter(F.col("n") > limit)
+    if large.isEmpty():
+        return _ranked(known, keys, quantiles)
+    names = small_side(large.select(*keys))
+    few = _ranked(known.join(names, keys, "left_anti"), keys, quantiles)
+    many = cut_lineage(known.join(names, keys, "left_semi").withColumn("_key", number))
+    return few.unionByName(_narrowed(many, large, keys, quantiles, limit))
+
+
+def _rank(n: Column, top: int, bottom: int) -> Column:
+    return F.ceil(n * top / bottom).cast("bigint")
+
+
+def _ranked(known: DataFrame, keys: list[str], quantiles: dict[str, tuple[int, int]]) -> DataFrame:
+    """Quantiles of groups that one task can sort."""
+    group = Window.partitionBy(*keys)
+    placed = known.withColumns({"_nth": F.row_number().over(group.orderBy("_v")), "n": F.count("*").over(group)})
+    ranks = {name: _rank(F.col("n"), *part) for name, part in quantiles.items()}
+    hit = reduce(lambda one, other: one | other, [F.col("_nth") == rank for rank in ranks.values()])
+    return placed.filter(hit).groupBy(*keys).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("_nth") == rank, F.col("_v"))).alias(name) for name, rank in ranks.items()]
     )
-    ranked = hit.groupBy(*keys).agg(
+
+
+def _window_rows(many: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of large groups inside the windows that their quantiles may still lie in."""
+    return many.join(small_side(windows), keys).filter(F.col("_key").between(F.col("_lo"), F.col("_hi")))
+
+
+def _in_window(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The value at the rank of each window; equal values are counted before they meet."""
+    order = Window.partitionBy(*keys, "_name").orderBy("_v")
+    counted = rows.groupBy(*keys, "_name", "_rank", "n", "_v").agg(F.count("*").alias("_n"))
+    upto = counted.withColumn("_upto", F.sum("_n").over(order))
+    return upto.filter((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
+
+
+def _narrowed(
+    many: DataFrame, large: DataFrame, keys: list[str], quantiles: dict[str, tuple[int, int]], limit: int
+) -> DataFrame:
+    wanted = F.array(*[
+        F.struct(F.lit(name).alias("_name"), _rank(F.col("n"), *part).alias("_rank")) for name, part in quantiles.items()
+    ])
+    columns = [*keys, "n", "_name", "_rank", "_lo", "_hi"]
+    windows, done = large.select(*keys, "n", "_lo", "_hi", F.inline(wanted)).select(*columns), []
+    while True:
+        step = F.expr(f"(_hi - _lo) div {BINS} + 1")
+        bins = _window_rows(many, windows.withColumn("_step", step), keys).groupBy(
+            *columns, "_step", F.expr("(_key - _lo) div _step").alias("_bin")).agg(F.count("*").alias("_n"))
+        order = Window.partitionBy(*keys, "_name").orderBy("_bin")  # at most BINS rows
+        low = F.col("_lo") + F.col("_bin") * F.col("_step")
+        hit = bins.withColumn("_upto", F.sum("_n").over(order)).filter(
+            (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
+        narrow = cut_lineage(hit.select(
+            *keys, "n", "_name", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"),
+            low.alias("_lo"), F.least(F.col("_hi"), low + F.col("_step") - 1).alias("_hi"), "_n"))
+        fits = (F.col("_n") <= limit) | (F.col("_lo") == F.col("_hi"))
+        done.append(narrow.filter(fits).select(*columns))
+        windows = narrow.filter(~fits).select(*columns)
+        if windows.isEmpty():
+            break
+    found = _in_window(_window_rows(many, reduce(DataFrame.unionByName, done), keys), keys)
+    return found.groupBy(*keys).agg(
         F.max("n").alias("n"), *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in quantiles]
     )
-    named = [F.col(key).isNotNull() for key in keys]  # rows without a key take no statistics
-    return brackets.filter(reduce(lambda one, other: one & other, named)), cut_lineage(ranked)
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
@@ -183,7 +221,7 @@ def lookup(
     keys: dict[str, str],
     values: dict[str, str],
     parent_rows: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Left-join columns of a parent with unique keys to its child rows.
@@ -196,7 +234,8 @@ def lookup(
         *[F.col(theirs).alias(f"_key_{ours}") for ours, theirs in keys.items()],
         *[F.col(theirs).alias(name) for name, theirs in values.items()],
     )
-    if is_small(side, broadcast_rows) if parent_rows is None else parent_rows <= broadcast_rows:
+    limit = session.BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    if is_small(side, limit) if parent_rows is None else parent_rows <= limit:
         on = [F.col(ours) == F.col(f"_key_{ours}") for ours in keys]
         return rows.join(F.broadcast(side), on, "left").select(*rows.columns, *values)
     stats = side.select(*[F.col(f"_key_{ours}").alias(ours) for ours in keys], *values)

@@ -158,13 +158,66 @@ def test_orphans_of_a_small_and_a_large_parent(spark, monkeypatch):
     assert found[0] == found[1] == [(i, i % 12) for i in range(200) if i % 5 and i % 12 > 9]
 
 
-@pytest.mark.parametrize("width", [0.0, -1.0, 2.0])
-def test_a_bracket_that_misses_its_rank_is_widened(spark, monkeypatch, width):
-    monkeypatch.setattr(groups, "BRACKET", width)
+@pytest.mark.parametrize("scale", ["plain", "wild"])
+def test_no_task_ranks_more_than_the_limit(spark, monkeypatch, scale):
+    """Large groups are narrowed bin by bin; what is ranked in the end is counted."""
+    rng = random.Random(3)
+    wild = [float("inf"), float("-inf"), float("nan"), 5e-324, -5e-324, 1e-310, -0.0, 0.0, 1.7e308]
     values = [(k, float((i * 7919) % 3001)) for k, n in (("a", 3001), ("b", 40), ("c", 1)) for i in range(n)] + [(None, 1.0)]
-    df = spark.createDataFrame(values, "k string, v double")
-    marks = {"low": (1, 4), "mid": (1, 2), "top": (1, 1)}
-    got = {r["k"]: tuple(r[m] for m in marks) for r in groups.group_quantiles(df, ["k"], "v", marks, accuracy=20).collect() if r["k"]}
-    for key in "abc":
-        own = sorted(v for k, v in values if k == key)
-        assert got[key] == tuple(own[-(-len(own) * top // bottom) - 1] for top, bottom in marks.values())
+    values += [("ties", 7.0)] * 500 + [("ties", 7.5)] * 20
+    if scale == "wild":
+        values += [("a", rng.choice((1, -1)) * rng.random() * 10.0 ** rng.randint(-305, 305)) for _ in range(2000)]
+        values += [("a", v) for v in wild * 30]
+    df = spark.createDataFrame(values, "k string, v double").repartition(5)
+    marks = {"least": (1, 10_000), "low": (1, 4), "mid": (1, 2), "high": (97, 100), "top": (1, 1)}
+    seen, rank = [], groups._in_window
+    monkeypatch.setattr(groups, "_in_window", lambda rows, keys: seen.append(rows) or rank(rows, keys))
+    got = {r["k"]: r for r in groups.group_quantiles(df, ["k"], "v", marks, rank_rows=50).collect()}
+    left = seen[0].groupBy("k", "_name").agg(F.count("*").alias("n"), F.countDistinct("_v").alias("d")).collect()
+    assert all(r["n"] <= 50 or r["d"] <= 4 for r in left) and {r["k"] for r in left} == {"a", "ties"}
+    assert set(got) == {"a", "b", "c", "ties"}
+    for key, row in got.items():
+        own = sorted((v for k, v in values if k == key), key=lambda v: (math.isnan(v), v))
+        for name, (top, bottom) in marks.items():
+            want = own[-(-len(own) * top // bottom) - 1]
+            assert row[name] == want or (math.isnan(want) and math.isnan(row[name])), (key, name)
+        assert row["n"] == len(own)
+
+
+def test_order_keys_keep_the_order(spark):
+    rng = random.Random(6)
+    values = [rng.choice((1, -1)) * rng.random() * 2.0 ** rng.randint(-1074, 1023) for _ in range(3000)]
+    values += [s * 2.0**e * f for s in (1, -1) for e in range(-1022, 1023, 7) for f in (1, 1 - 2**-53, 1 + 2**-52)]
+    values += [0.0, -0.0, float("inf"), float("-inf"), 5e-324, 1.7976931348623157e308]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", groups.order_key(F.col("v")).alias("k")).collect()
+    ordered = sorted(rows, key=lambda r: r["v"])
+    assert all(a["k"] <= b["k"] for a, b in zip(ordered, ordered[1:]))
+    usual = {r["v"]: r["k"] for r in rows if 1e-300 < abs(r["v"]) < 1e308}
+    assert len(set(usual.values())) > len(usual) // 2
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_similar_names_against_all_pairs(spark, monkeypatch, distance):
+    monkeypatch.setattr(context, "INDEX_BLOCK", 3)
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 6))) for _ in range(150)] + ["a long name", "along name", "a lnog name", "x" * 90, "x" * 88]
+    rows = [(i, n) for i, n in enumerate(n for n in names for _ in range(rng.choice([1, 1, 2, 5, 30])))] + [(-1, None)]
+    counts = Counter(n for _, n in rows if n is not None)
+    want = set()
+    for a, n in counts.items():
+        near = [(-m, b) for b, m in counts.items() if m > n and (n <= 3 or n * 10 <= m) and 1 <= _edits(a, b) <= distance]
+        want |= {(a, min(near)[1])} if near else set()
+    df = spark.createDataFrame(rows, "id int, name string")
+    got = context.similar_names(df, ["id"], "name", distance).collect()
+    assert {(r["name"], r["canonical_name"]) for r in got} == want and len(want) > 10
+    assert len(got) == sum(counts[a] for a, _ in want)
+    assert context.similar_names(df.limit(0), ["id"], "name").collect() == []
