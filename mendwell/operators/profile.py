@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mendwell.functions.text import canonical_value, storage_class
 from mendwell.operators.compare import fingerprint
@@ -37,37 +38,61 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 _LONG = 64
+BITMAP_RANGE = 1 << 22  # at most 128 bitmaps of 4 kB a task
 
 
-def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """How often each value of each column occurs: one shuffle for all columns,
-    in which equal values are counted before they move.
-
-    A long text is known by its hash from here on, which says as well whether
-    two texts are equal and is all that travels.
-    """
+def _plain_columns(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    types = {field.name: field.dataType for field in df.schema.fields}
+    return [canonical_value(F.col(name), types[name]) for name in columns]
 
-    def cell(name: str, value: Column) -> Column:
-        short = F.when(F.length(value) > _LONG, F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
-        return F.struct(F.lit(name).alias("column"), storage_class(value).alias("kind"), short.alias("value"))
 
-    cells = [cell(name, value) for name, value in zip(columns, _plain_columns(df, columns), strict=True)]
-    return df.select(F.inline(F.array(*cells))).groupBy("column", "kind", "value").agg(F.count("*").alias("n"))
+def _whole_number(name: str, dtype: T.DataType) -> Column | None:
+    """Integers and dates as 64-bit integers."""
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(name).cast("bigint")
+    return F.col(name).cast("bigint") if isinstance(dtype, T.IntegralType) else None
 
 
-def _plain_columns(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    types = {field.name: field.dataType for field in df.schema.fields}
-    return [canonical_value(F.col(name), types[name]) for name in columns]
+def _distinct_values(df: DataFrame, name: str, dtype: T.DataType) -> DataFrame:
+    """The values of a column in its own type; a long text is known by its hash, which is all that travels."""
+    value = F.col(name)
+    if isinstance(dtype, T.StringType):
+        value = F.when(F.length(value) > _LONG, F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
+    elif not isinstance(dtype, T.AtomicType):
+        value = canonical_value(value, dtype)
+    return df.select(value.alias("value")).filter(F.col("value").isNotNull()).distinct()
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """Distinct values per column; NULL is not a value."""
-    if exact:
-        return _value_counts(df, columns).groupBy("column").agg(F.count("value").alias("distinct_count"))
-    counts = df.agg(*[F.approx_count_distinct(name).alias(name) for name in columns])
-    return counts.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("column"), F.col(name).alias("distinct_count")) for name in columns
-    ])))
+    """Distinct values per column; NULL is not a value.
+
+    Each column is read by itself and in its own type. Integers and dates of a range below
+    ``BITMAP_RANGE`` are marked in bitmaps, which are merged in place of values; all else is grouped before
+    it moves, so that a task sends a value once.
+    """
+    if not exact:
+        counts = df.agg(*[F.approx_count_distinct(name).alias(name) for name in columns])
+        return counts.select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("column"), F.col(name).alias("distinct_count")) for name in columns
+        ])))
+    types = {field.name: field.dataType for field in df.schema.fields}
+    whole = {name: number for name in columns if (number := _whole_number(name, types[name])) is not None}
+    ends = df.agg(*[
+        end(number).alias(f"{place}{label}") for place, number in enumerate(whole.values()) for label, end in (("l", F.min), ("h", F.max))
+    ]).first() if whole else None
+    parts = []
+    for name in columns:
+        place = list(whole).index(name) if name in whole else None
+        low, high = (None, None) if place is None else (ends[f"{place}l"], ends[f"{place}h"])
+        if low is not None and high - low < BITMAP_RANGE:
+            bit = whole[name] - low + 1
+            maps = df.select(bit.alias("bit")).filter(F.col("bit").isNotNull()).groupBy(
+                F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+            count = maps.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("distinct_count"))
+        else:
+            count = _distinct_values(df, name, types[name]).agg(F.count("*").alias("distinct_count"))
+        parts.append(count.select(F.lit(name).alias("column"), F.col("distinct_count").cast("bigint").alias("distinct_count")))
+    return _union(parts)
 
 
 def storage_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -126,11 +151,9 @@ def profile(dataset: Dataset, targets: Mapping[str, Sequence[str]] | None = None
         parts.append(long(null_counts(df), name, F.lit("null_count"), F.col("column"), F.col("null_count")))
         columns = list((targets or {}).get(name, ()))
         if columns:
-            values = _value_counts(df, columns)
-            kinds = values.groupBy("column", "kind").agg(F.sum("n").alias("n"))
-            distinct = values.groupBy("column").agg(F.count("value").alias("n"))
-            parts.append(long(distinct, name, F.lit("distinct_count"), F.col("column"), F.col("n")))
-            parts.append(long(kinds, name, F.concat(F.lit("storage_type:"), F.col("kind")), F.col("column"), F.col("n")))
+            parts.append(long(distinct_counts(df, columns), name, F.lit("distinct_count"), F.col("column"), F.col("distinct_count")))
+            kind = F.concat(F.lit("storage_type:"), F.col("storage_type"))
+            parts.append(long(storage_types(df, columns), name, kind, F.col("column"), F.col("cells")))
     declared = schema_profile(dataset)
     parts.append(declared.select("table", "column", F.lit("declared_type").alias("metric"), F.col("type").alias("value")))
     parts.append(long(declared.filter("not_null"), F.col("table"), F.lit("not_null"), F.col("column"), F.lit("true")))
