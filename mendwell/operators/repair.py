@@ -6,16 +6,17 @@ key, so however many cells they list, the table meets them in one join.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mendwell.functions.text import canonical_value, key_token
 from mendwell.operators.groups import lookup
-from mendwell.operators.score import count_unresolved
 from mendwell.session import cut_lineage, small_side
 from mendwell.spec import Dataset, TableSpec
 
@@ -245,41 +246,141 @@ class Repaired:
     report: DataFrame
 
 
+# Between a rule and its column in the labels of a row.
+_SLOT = "\x1f"
+
+
+def _slotted(df: DataFrame, spec: TableSpec, labels: DataFrame, records: int) -> DataFrame:
+    """The table with a map ``_labels`` of clean values by rule and column; an inserted row has its rule alone."""
+    rows = labels.select(
+        F.coalesce("corrupted_primary_key", "primary_key").alias("_token"),
+        F.concat("rule_id", F.lit(_SLOT), F.coalesce("column", F.lit(""))).alias("slot"), "clean_value",
+    ).groupBy("_token").agg(F.map_from_entries(F.collect_list(F.struct("slot", "clean_value"))).alias("_labels"))
+    return df.withColumn("_token", key_token(spec.primary_key)).join(small_side(rows, records), "_token", "left")
+
+
+class _Pass:
+    """All steps of a table as one projection, and what is counted on the way."""
+
+    def __init__(self, df: DataFrame, spec: TableSpec):
+        self.df, self.spec = df.withColumn("_alive", F.lit(True)), spec
+        self.types, self.metrics = _types(df), {}
+
+    def _keep(self, values: dict[str, Column]) -> None:
+        self.df = self.df.withColumns(values)
+
+    def _count(self, name: str, condition: Column) -> None:
+        column = f"_m{len(self.metrics)}"
+        self._keep({column: F.col("_alive") & F.coalesce(condition, F.lit(False))})
+        self.metrics[name] = F.count_if(column)
+
+    def _text(self, value: Column, column: str) -> Column:
+        return canonical_value(value.cast(self.types[column]), self.types[column])
+
+    def add(self, number: int, step: Step) -> None:
+        """The state before the step is counted, then the step is taken, then its cells are counted again."""
+        slots = {column: F.lit(f"{step.rule_id}{_SLOT}{column}") for column in step.columns}
+        here = {column: F.coalesce(F.map_contains_key("_labels", slot), F.lit(False)) for column, slot in slots.items()}
+        label = {column: F.try_element_at("_labels", slot) for column, slot in slots.items()}
+
+        def right(column: str) -> Column:
+            return here[column] & self._text(F.col(column), column).eqNullSafe(self._text(label[column], column))
+
+        if step.check is not None:
+            self._count(f"{number} candidates", step.check)
+        if step.kind == "delete":
+            inserted = F.coalesce(F.map_contains_key("_labels", F.lit(step.rule_id + _SLOT)), F.lit(False))
+            self._count(f"{number} before", inserted)
+            self._keep({"_alive": F.col("_alive") & ~inserted})
+            self._count(f"{number} after", inserted)
+            return
+        for place, column in enumerate(step.columns):
+            self._count(f"{number} before {place}", right(column))
+        new = {}
+        for place, column in enumerate(step.columns):
+            fixed = label[column]
+            if step.kind == "swap":
+                fixed = F.col(step.columns[1 - place])
+            elif step.kind == "derive":
+                fixed = step.fix(F.col(column), label[column])
+                wrong = here[column] & ~self._text(fixed, column).eqNullSafe(self._text(label[column], column))
+                example = F.to_json(F.struct(
+                    F.col("_token").alias("primary_key"), F.lit(column).alias("column"), F.col(column).cast("string").alias("raw_value"),
+                    self._text(fixed, column).alias("derived_value"), self._text(label[column], column).alias("label")))
+                name = f"_e{number}_{place}"
+                self._keep({name: F.when(F.col("_alive") & wrong, example)})
+                self.metrics[f"{number} disagreement {place}"] = F.min(name)
+            new[column] = F.when(
+                functools.reduce(lambda one, other: one | other, here.values()) if step.kind == "swap" else here[column],
+                fixed.cast(self.types[column])).otherwise(F.col(column))
+        self._keep(new)
+        for place, column in enumerate(step.columns):
+            self._count(f"{number} after {place}", right(column))
+
+    def run(self, columns: Sequence[str]) -> tuple[DataFrame, dict]:
+        """Writes the table once; the counts come from the tasks that write it."""
+        names = list(self.metrics)
+        seen = Observation()
+        observed = self.df.observe(seen, *[self.metrics[name].alias(f"m{no}") for no, name in enumerate(names)])
+        after = cut_lineage(observed.filter("_alive").select(*columns))
+        return after, {name: seen.get[f"m{no}"] for no, name in enumerate(names)}
+
+
 def run_steps(dataset: Dataset, journal: DataFrame, steps: Sequence[Step], strict: bool = True) -> Repaired:
     """Run the steps in their order, with one report row per step.
 
-    With ``strict`` a step whose computed values differ from the labels, or
-    that leaves labels unresolved, raises ``RepairError``.
+    The steps of a table are one projection after one join with their labels, and it is written once: candidates,
+    disagreements and open labels before and after each step are counted by the tasks that write it. Tables
+    go side by side. With ``strict`` a step whose computed values differ from the labels, or
+    that leaves labels unresolved, raises ``RepairError``. Steps of a table must not touch the same cell twice,
+    which holds for journals of this library.
     """
     spark = journal.sparkSession
-    tables = dict(dataset)
+    counts = journal.groupBy("rule_id", "table").agg(
+        F.count("*").alias("n"), F.count("corrupted_primary_key").alias("moved")).collect()  # a row a rule
+    owners = {row["rule_id"]: row for row in counts}
+    by_table: dict[str, list[tuple[int, Step]]] = {}
+    for number, step in enumerate(steps, 1):
+        if step.kind not in {"derive", "restore", "swap", "delete"}:
+            raise ValueError(f"unknown kind of step: {step.kind}")
+        if step.rule_id in owners:
+            by_table.setdefault(owners[step.rule_id]["table"], []).append((number, step))
+
+    def run(table: str) -> tuple[DataFrame, dict]:
+        spec, mine = dataset.specs[table], by_table[table]
+        rules = [step.rule_id for _, step in mine]
+        here = journal.filter((F.col("table") == table) & F.col("rule_id").isin(*rules))
+        if any(owners[rule]["moved"] for rule in rules):
+            here = _relocated(here)
+        df = _slotted(dataset[table], spec, here, sum(owners[rule]["n"] for rule in rules))
+        made = _Pass(df, spec)
+        for number, step in mine:
+            made.add(number, step)
+        return made.run(dataset[table].columns)
+
+    with ThreadPoolExecutor(max_workers=max(len(by_table), 1)) as pool:
+        done = dict(zip(by_table, pool.map(run, by_table)))
+    seen = {name: value for _, values in done.values() for name, value in values.items()}
     rows = []
-    owners = {row["rule_id"]: row["table"] for row in journal.select("rule_id", "table").distinct().collect()}
     for number, step in enumerate(steps, 1):
-        table = owners.get(step.rule_id)
-        if table is None:  # the rule made no fault
+        if step.rule_id not in owners:  # the rule made no fault
             rows.append((number, step.rule_id, step.kind, None, 0, 0))
             continue
-        spec = dataset.specs[table]
-        labels = journal.filter(F.col("rule_id") == step.rule_id)
-        before = tables[table]
-        candidates = None if step.check is None else before.filter(step.check).count()
-        unresolved = count_unresolved(Dataset({table: before}, dataset.specs), labels)
-        if strict and step.kind == "derive":
-            for column in step.columns:
-                bad = label_disagreements(before, spec, labels, column, step.fix).first()
-                if bad is not None:
-                    raise RepairError(f"{step.rule_id}: {bad.asDict()}")
-        after = cut_lineage(apply_step(before, spec, labels, step))
-        left = count_unresolved(Dataset({table: after}, dataset.specs), labels)
-        if strict and left:
-            raise RepairError(f"{step.rule_id}: {left} labels unresolved")
-        rows.append((number, step.rule_id, step.kind, candidates, unresolved, left))
-        tables[table] = after
+        labels = owners[step.rule_id]["n"]
+        if step.kind == "delete":
+            before, after = seen[f"{number} before"], seen[f"{number} after"]
+        else:
+            before, after = (labels - sum(seen[f"{number} {when} {place}"] for place in range(len(step.columns))) for when in ("before", "after"))
+        bad = [value for place in range(len(step.columns)) if (value := seen.get(f"{number} disagreement {place}"))]
+        if strict and bad:
+            raise RepairError(f"{step.rule_id}: {bad[0]}")
+        if strict and after:
+            raise RepairError(f"{step.rule_id}: {after} labels unresolved")
+        rows.append((number, step.rule_id, step.kind, seen.get(f"{number} candidates"), before, after))
     report = spark.createDataFrame(
         rows, "step int, rule_id string, kind string, candidates bigint, before bigint, after bigint"
     )
-    return Repaired(dataset.with_tables(tables), report)
+    return Repaired(dataset.with_tables({table: df for table, (df, _) in done.items()}), report)
 
 
 def repair_all(dataset: Dataset, journal: DataFrame, steps: Sequence[Step]) -> Dataset:
