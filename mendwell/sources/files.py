@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import NativeFile, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,20 +15,53 @@ from pyspark.sql import functions as F
 WHOLE_BYTES = 1 << 30
 
 
-def file_checksums(spark: SparkSession, path: str, pattern: str = "*", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+# Stores that a task can open by itself; a scheme is also what the task's library calls it.
+_OPENED_BY_TASKS = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+_BLOCK = 4 << 20
+
+
+def file_checksums(spark: SparkSession, path: str, pattern: str = "*", whole_bytes: int | None = None) -> DataFrame:
     """Name, length and SHA-256 of each file.
 
-    A larger file cannot be a row, and its digest cannot be put together from parts: the driver's JVM
-    reads it as a stream through the session's file system, in constant memory.
+    A file above ``whole_bytes`` (``WHOLE_BYTES``) is no row, and its digest cannot be put together from parts: it is one
+    partition, whose task reads it as a stream in blocks of 4 MB. Only a large file in a store
+    that tasks cannot open by themselves (``_OPENED_BY_TASKS``) is streamed by the driver's JVM.
     """
+    limit = WHOLE_BYTES if whole_bytes is None else whole_bytes
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     name = F.element_at(F.split("path", "/"), -1).alias("file")
-    hashed = files.filter(F.col("length") <= whole_bytes).select(name, "length", F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > whole_bytes).select("path", name, "length").collect()
-    if not large:
-        return hashed
-    rows = [(row["file"], row["length"], _streamed(spark, row["path"])) for row in large]
-    return hashed.unionByName(spark.createDataFrame(rows, hashed.schema))
+    hashed = files.filter(F.col("length") <= limit).select(name, "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > limit).select("path", name, "length").collect()  # names only
+    there = [tuple(row) for row in large if _scheme(row["path"]) in _OPENED_BY_TASKS]
+    here = [(row["file"], row["length"], _streamed(spark, row["path"])) for row in large if _scheme(row["path"]) not in _OPENED_BY_TASKS]
+    if there:
+        listed = spark.createDataFrame(there, "path string, file string, length long").repartition(len(there), "path")
+        hashed = hashed.unionByName(listed.mapInPandas(_hash_files, hashed.schema))
+    return hashed.unionByName(spark.createDataFrame(here, hashed.schema)) if here else hashed
+
+
+def _scheme(path: str) -> str:
+    return path.split(":", 1)[0] if ":" in path else "file"
+
+
+def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, file, length in zip(batch["path"], batch["file"], batch["length"]):
+            with _opened(path) as stream:
+                digest = hashlib.sha256()
+                while block := stream.read(_BLOCK):
+                    digest.update(block)
+            yield pd.DataFrame({"file": [file], "length": [length], "sha256": [digest.hexdigest()]})
+
+
+def _opened(path: str) -> NativeFile:
+    scheme = _scheme(path)
+    rest = path.split(":", 1)[1] if ":" in path else path
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    authority, _, inner = rest.lstrip("/").partition("/")
+    store, root = fs.FileSystem.from_uri(f"{_OPENED_BY_TASKS[scheme]}://{authority}/")
+    return store.open_input_stream(f"{root.rstrip('/')}/{inner}")
 
 
 def _streamed(spark: SparkSession, path: str) -> str:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -79,6 +80,93 @@ def publish(
             files.delete(make(staged), True)
 
 
+def publish_version(
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    out: str,
+    validate: Callable[[Mapping[str, DataFrame]], bool] | None = None,
+    keep: int = 2,
+) -> str:
+    """Publish where a folder cannot be renamed at once: a new version beside the older ones, and a pointer to it.
+
+    Tables go to a folder of their own, are validated there, and become current by one small file that
+    is made only if it is not there yet. Its number follows the last one, so of two that publish side by side
+    one is refused. Readers (``read_published``) see the version before until that file stands;
+    whatever fails earlier leaves it current. The last ``keep`` versions stay for readers that are still at work.
+    """
+    files, make = _filesystem(spark, out)
+    root = out.rstrip("/")
+    number = (max(_pointers(spark, root)) if _pointers(spark, root) else 0) + 1
+    version = f"{number:012d}-{uuid.uuid4().hex}"
+    try:
+        with ThreadPoolExecutor(max_workers=max(len(tables), 1)) as pool:
+            list(pool.map(lambda name: tables[name].write.parquet(f"{root}/versions/{version}/{name}"), tables))
+        written = {name: spark.read.parquet(f"{root}/versions/{version}/{name}") for name in tables}
+        if validate is not None and not validate(written):
+            raise PublishRefused("validation failed; the version before stays current")
+        _point(spark, root, number, version)
+    except BaseException:
+        if _current(spark, root) != version:
+            files.delete(make(f"{root}/versions/{version}"), True)
+        raise
+    for old in sorted(_pointers(spark, root))[:-keep]:
+        files.delete(make(f"{root}/versions/{_read_text(spark, f'{root}/current/{old:012d}')}"), True)
+        files.delete(make(f"{root}/current/{old:012d}"), False)
+    return version
+
+
+def read_published(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The tables of the current version."""
+    root = out.rstrip("/")
+    version = _current(spark, root)
+    if version is None:
+        raise FileNotFoundError(f"nothing has been published under {out}")
+    files, make = _filesystem(spark, root)
+    folders = files.listStatus(make(f"{root}/versions/{version}"))
+    names = sorted(status.getPath().getName() for status in folders if status.isDirectory())
+    return {name: spark.read.parquet(f"{root}/versions/{version}/{name}") for name in names}
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    files, make = _filesystem(spark, root)
+    folder = make(f"{root}/current")
+    if not files.exists(folder):
+        return []
+    return [int(status.getPath().getName()) for status in files.listStatus(folder) if status.getPath().getName().isdigit()]
+
+
+def _point(spark: SparkSession, root: str, number: int, version: str) -> None:
+    files, make = _filesystem(spark, root)
+    files.mkdirs(make(f"{root}/current"))
+    try:
+        stream = files.create(make(f"{root}/current/{number:012d}"), False)
+    except Py4JJavaError as error:
+        raise PublishRefused(f"another version {number} was published meanwhile") from error
+    try:
+        stream.write(bytearray(version.encode()))
+    finally:
+        stream.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    files, make = _filesystem(spark, path)
+    stream = files.open(make(path))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _current(spark: SparkSession, root: str) -> str | None:
+    """The version of the last pointer that was written to its end."""
+    files, make = _filesystem(spark, root)
+    for number in sorted(_pointers(spark, root), reverse=True):
+        version = _read_text(spark, f"{root}/current/{number:012d}")
+        if version.startswith(f"{number:012d}-") and files.exists(make(f"{root}/versions/{version}")):
+            return version
+    return None
+
+
 def write_report(report: DataFrame, out: str, force: bool = False) -> None:
     """A small report as one file of JSON lines, written aside and moved.
 

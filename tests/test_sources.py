@@ -1,4 +1,5 @@
 import json
+from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,35 @@ def test_broadcasts_look_at_bytes(spark, monkeypatch):
     assert session.is_small(df) and not session.is_small(df, 99)
     monkeypatch.setattr(session, "BROADCAST_BYTES", 50_000)
     assert not session.is_small(df) and session.is_small(df.select("id"))
+
+
+def test_large_files_are_not_opened_by_the_driver(spark, tmp_path, monkeypatch):
+    (tmp_path / "a b%20c.bin").write_bytes(b"x" * 9_000_000)
+    monkeypatch.setattr(files, "_streamed", lambda *_: pytest.fail("opened by the driver"))
+    monkeypatch.setattr(files, "WHOLE_BYTES", 1)
+    made = files.file_checksums(spark, str(tmp_path))
+    assert [tuple(r) for r in made.collect()] == [("a b%20c.bin", 9_000_000, sha256(b"x" * 9_000_000).hexdigest())]
+
+
+def test_versions_and_a_failure_between_the_steps(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError):
+        publish.read_published(spark, out)
+    with pytest.raises(publish.PublishRefused):
+        publish.publish_version(spark, {"t": spark.range(1)}, out, validate=lambda written: False)
+    for rows in (3, 4):
+        publish.publish_version(spark, {"t": spark.range(rows), "u": spark.range(1)}, out, validate=lambda w: w["t"].count() > 2)
+    assert {name: df.count() for name, df in publish.read_published(spark, out).items()} == {"t": 4, "u": 1}
+    with monkeypatch.context() as patch:
+        patch.setattr(publish, "_point", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            publish.publish_version(spark, {"t": spark.range(9)}, out)
+    assert publish.read_published(spark, out)["t"].count() == 4
+    reader = publish.read_published(spark, out)["t"]
+    with monkeypatch.context() as patch:  # another one was faster
+        patch.setattr(publish, "_pointers", lambda *_: [1])
+        with pytest.raises(publish.PublishRefused):
+            publish.publish_version(spark, {"t": spark.range(9)}, out)
+    publish.publish_version(spark, {"t": spark.range(6)}, out)
+    assert publish.read_published(spark, out)["t"].count() == 6 and reader.count() == 4
+    assert len(list((tmp_path / "out" / "versions").iterdir())) == 2
