@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,13 +170,24 @@ def gate(score: DataFrame, violations: DataFrame, comparison: DataFrame) -> Data
     )
 
 
-def summary(results: Mapping[str, DataFrame]) -> DataFrame:
-    """Gate results of several scenarios as rows, with ``all_passed``."""
-    parts = [df.select(F.lit(name).alias("scenario"), "quality_score", "passed") for name, df in results.items()]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.withColumn("all_passed", F.every("passed").over(Window.partitionBy()))  # a row per scenario
+def summary(results: Mapping[str, DataFrame | None], expected: Sequence[str] | None = None) -> DataFrame:
+    """Gate results of several scenarios as rows, with ``complete`` and ``all_passed``.
+
+    ``expected`` names the scenarios that a whole verification has (those of ``results``, if
+    none are given). One without a result, or with an empty one, is not complete; then nothing as a whole has passed.
+    """
+    names = list(dict.fromkeys([*(results if expected is None else expected), *results]))
+    made = {name: df for name, df in results.items() if df is not None}
+    if not made:
+        raise ValueError("no scenario has a result")
+    spark = next(iter(made.values())).sparkSession
+    columns = [name for name in next(iter(made.values())).columns if name != "scenario"]
+    gates = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("scenario"), *columns) for name, df in made.items()])
+    wanted = spark.createDataFrame([(no, name) for no, name in enumerate(names)], "scenario_no int, scenario string")
+    rows = F.broadcast(wanted).join(gates, "scenario", "left").withColumns({
+        "complete": F.col("passed").isNotNull(), "passed": F.coalesce("passed", F.lit(False)),
+    })
+    return rows.withColumn("all_passed", F.every("passed").over(Window.partitionBy())).drop("scenario_no")  # a row per scenario
 
 
 def build_report(

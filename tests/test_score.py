@@ -1,9 +1,11 @@
 """Metrics, gate, comparison and recommendations on hand-made rows."""
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
-from mendwell.operators import compare, constraints, recommend, repair, score
+from mendwell.operators import compare, constraints, profile, recommend, repair, score
 from mendwell.spec import Dataset, ForeignKey, TableSpec
 
 SPEC = TableSpec("t", ("id",), not_null=("a",), checks={"b is positive": "b > 0"})
@@ -165,3 +167,28 @@ def test_recommendations(spark):
     assert lists == [("detected", "A"), ("detected", "B"), ("missed", "C"), ("unknown", "nonsense"), ("unknown", "response-item-5")]
     none = recommend.score_recommendations(given.limit(0), expected).first()
     assert (none["detection_precision"], none["detection_recall"]) == (0.0, 0.0)
+
+
+def test_one_changed_row_makes_the_comparison_read_its_bucket(spark):
+    left = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"), F.concat(F.lit("t"), F.col("id")).alias("t"))
+    right = left.filter("k <> 50").withColumn("v", F.when(F.col("k") == 77, -1).otherwise(F.col("v")))
+    near, far = compare.changed_buckets(left, right, ["k"])
+    assert {r["k"] for r in near.collect()} >= {50, 77} and near.count() <= 4 and far.count() <= 3
+    assert sorted(map(tuple, compare.row_diff(left, right, ["k"]).collect())) == [(50, "removed"), (77, "changed")]
+    assert sorted(map(tuple, compare.cell_diff(left, right.drop("t"), ["k"]).collect())) == [
+        (50, "removed", None, None, None), (77, "changed", "v", "231", "-1")]
+    assert all(side.count() == 0 for side in compare.changed_buckets(left, left, ["k"]))
+    assert compare.row_diff(left, left.limit(0), ["k"]).count() == 20_000
+
+
+def test_distinct_counts_in_their_own_types(spark):
+    wide = 2**62
+    rows = [(i % 50 if i % 7 else None, wide - i % 300 * 10**15, f"x{i % 9}" * (1 + i % 2 * 60), float(i % 4), date(2020, 1, 1 + i % 20), i % 3 > 0, [i % 5])
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "a int, b bigint, c string, d double, e date, f boolean, g array<int>").repartition(4)
+    want = {name: len({str(r[n]) for r in rows if r[n] is not None}) for n, name in enumerate(df.columns)}
+    made = profile.distinct_counts(df, df.columns)
+    assert {r["column"]: r["distinct_count"] for r in made.collect()} == want
+    assert {r["distinct_count"] for r in profile.distinct_counts(df.limit(0), df.columns).collect()} == {0}
+    plan = profile.distinct_counts(df.select("a", "b", "e"), ["a", "b", "e"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "as string" not in plan and plan.count("bitmap_construct_agg") == 2
