@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies
 
 from mendwell.llm import secrets
 
@@ -52,6 +53,45 @@ def test_plan_has_no_python(odd_docs):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+WORD = "[sS][eE][cC][rR][eE][tT]"
+PATTERNS = {
+    **{rule.pattern: bool(rule.query) for rule in secrets.BASE + secrets.ADDED}, "abc": True, "ab": False, "ab?cde": True, "(abc|abd)+x": True,
+    "(abc|x)y": False, "(?:abc|defg)[0-9]*(?:hij)?": True, "a{3}": True, "a{2,}b": False, "(ab){2,3}": True, "[^a]bcd": True, "x*yyy.zzz$": True,
+    "\\x41\\x4Bia": True, "[a-]b[]c]dddd": True, "foo\\.bar\\d+": True, "\\bkey(?=abc)": True, f"({WORD})(a|b)?=": True, "(a|bc|def)*ghi": True,
+    "(one|two|three){1,2}[xyz]{2}": True, "a{0}bcd": True, "(?:)": False, "[a-z]{20}": False, "x{9}": True, "(?!abc)de": False,
+}
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_every_match_satisfies_the_derived_query(pattern):
+    query = secrets.trigram_query(pattern)
+    assert bool(query) == PATTERNS[pattern], query
+
+    @settings(max_examples=150, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+    @given(strategies.from_regex(re.compile(pattern, re.ASCII), fullmatch=False))
+    def holds(text):
+        match = re.search(pattern, text, re.ASCII)
+        low = match[0].lower() if match else ""
+        assert not match or all(any(all(t in low for t in secrets.trigrams(s)) for s in clause) for clause in query)
+
+    holds()
+
+
+def test_derived_queries():
+    assert secrets.BASE[0].query == (frozenset({"password", "passwd", "secret", "token", "apikey", "api_key"}),)
+    assert secrets.BASE[1].query == (frozenset({"akia"}),) and secrets.BASE[2].query == ()
+    assert secrets.ADDED[1].query == (frozenset({"-----begin "}), frozenset({"private key-----"}))
+    for unknown in ("(?i)abcd", "(?<=x)abcd", "abc(", "a\\1bcd", "[[:alpha:]]abc", "abcd)"):
+        assert secrets.trigram_query(unknown) == ()  # such a rule is searched for everywhere
+
+
+def test_a_rule_of_the_users_own(spark):
+    rule = secrets.Rule("own", "(?:card|iban)[0-9]{3}")
+    texts = ["xx CARD123", "card12", "card123 iban456", "", "iban 123"]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (rule,)).collect()
+    assert {r.key: [tuple(s) for s in r.own] for r in got} == {0: [], 1: [], 2: [(0, 7), (8, 15)], 3: [], 4: []}
+
+
 def test_only_texts_with_all_trigrams_of_a_string_are_candidates(spark):
     df = spark.createDataFrame([(1, "tok oke only"), (2, "a ToKeN"), (3, "secre")], "doc_id long, text string")
     got = secrets.candidates(secrets.postings(df, secrets.BASE), secrets.BASE).collect()
