@@ -182,16 +182,12 @@ def _updates(df: DataFrame, rule: Rule, drawn: Column, new: Mapping[str, Column]
     return updates
 
 
-def apply_cyclic(
-    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut, source: DataFrame
+def _cycled(
+    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut
 ) -> tuple[DataFrame, DataFrame]:
-    """A transform that takes turns among variants along the drawn rows.
-
-    Drawn rows come from ``source``, which lacks only what does not concern
-    the rule; they alone are journalled, and their new values go back by key.
-    """
+    """New values of a transform that takes turns among variants along the drawn rows, by key, and their journal rows."""
     token = key_token(spec.primary_key)
-    drawn = source.filter(_drawn(source, rule, spec, seed, cut)).select(
+    drawn = df.filter(_drawn(df, rule, spec, seed, cut)).select(
         token.alias("_token"), *dict.fromkeys([*spec.primary_key, *rule.columns])
     )
     sample = cut_lineage(_indexed(_as_text(drawn, rule.columns), cut))
@@ -199,27 +195,21 @@ def apply_cyclic(
     new = _new_values(rule, types, F.col("_index"))
     old = {column: F.col(column) for column in rule.columns}
     journal = _journal_rows(sample, F.col("_token"), _cell_records(rule, rule_no, spec, types, old, new, F.lit(True)))
-    back = sample.select("_token", F.lit(True).alias("_drawn"), *[new[c].alias(f"_new_{c}") for c in rule.columns])
-    marked = _as_text(df.withColumn("_token", token).join(small_side(back, cut.taken), "_token", "left"), rule.columns)
-    fresh = {column: F.col(f"_new_{column}") for column in rule.columns}
-    updates = _updates(df, rule, F.coalesce(F.col("_drawn"), F.lit(False)), fresh)
-    return marked.withColumns(updates).select(*dict.fromkeys([*df.columns, *updates])), journal
+    return sample.select("_token", *[new[column].alias(column) for column in rule.columns]), journal
 
 
-def apply_rotation(
-    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut, source: DataFrame
+def _rotated(
+    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut
 ) -> tuple[DataFrame, DataFrame]:
-    """Each drawn row takes the values of the drawn row ``shift`` places on.
+    """New values where each drawn row takes those of the drawn row ``shift`` places on, and their journal rows.
 
     Where a value would not change, the row turns to the next donor and stays
     with it for its remaining columns.
     """
     types = _types(df)
-    if cut.taken < 2:
-        return df, df.sparkSession.createDataFrame([], _RECORD)
     shift = int(rule.params.get("shift", 1)) % cut.taken or 1
     token = key_token(spec.primary_key)
-    drawn = source.filter(_drawn(source, rule, spec, seed, cut)).select(
+    drawn = df.filter(_drawn(df, rule, spec, seed, cut)).select(
         token.alias("_token"), *spec.primary_key, *[F.col(column).alias(f"_old_{column}") for column in rule.columns]
     )
     sample = cut_lineage(_indexed(drawn, cut))
@@ -240,10 +230,44 @@ def apply_rotation(
     old = {column: F.col(f"_old_{column}") for column in rule.columns}
     new = {column: F.col(f"_new_{column}") for column in rule.columns}
     journal = _journal_rows(changes, F.col("_token"), _cell_records(rule, rule_no, spec, types, old, new, F.lit(True)))
-    back = changes.select("_token", F.lit(True).alias("_drawn"), *new.values())
-    marked = df.withColumn("_token", token).join(small_side(back, cut.taken), "_token", "left")
-    updates = _updates(df, rule, F.coalesce(F.col("_drawn"), F.lit(False)), new)
-    return marked.withColumns(updates).select(*dict.fromkeys([*df.columns, *updates])), journal
+    return changes.select("_token", *[new[column].alias(column) for column in rule.columns]), journal
+
+
+def drawn_apart(
+    df: DataFrame, rules: Sequence[tuple[int, Rule]], spec: TableSpec, seed: int, cuts: Mapping[int, Cut]
+) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Rules that need the place of a row among the drawn ones, all of an independent run at once.
+
+    Whether a row is drawn shows in its own hash, so the table falls into two parts by a
+    filter: rows of none of the rules pass by as they are, and the drawn ones alone meet their new values,
+    those of all rules in one join. Returns both parts and the journal rows.
+    """
+    marks, values, journal, flags = [], [], [], {}
+    for no, rule in rules:
+        made, records = (_rotated if rule.transform == "rotate_values" else _cycled)(df, rule, no, spec, seed, cuts[no])
+        marks.append(_drawn(df, rule, spec, seed, cuts[no]))
+        flags[no] = f"_drawn_{no}"
+        values.append(made.select("_token", F.lit(True).alias(flags[no]), *[
+            F.col(column).alias(f"_new_{no}_{column}") for column in rule.columns]))
+        journal.append(records)
+    back = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), values)
+    if len(values) > 1:  # a row that several rules have drawn
+        back = back.groupBy("_token").agg(*[F.max(name).alias(name) for name in back.columns if name != "_token"])
+    split = df.withColumn("_apart", reduce(lambda one, other: one | other, marks))
+    for _, rule in rules:
+        if rule.transform in TEXT_MAKING:
+            split = _as_text(split, rule.columns)
+    met = split.filter("_apart").withColumn("_token", key_token(spec.primary_key)).join(
+        small_side(back, sum(cuts[no].taken for no, _ in rules)), "_token", "left")
+    changed, same = {}, {}
+    for no, rule in rules:
+        fresh = {column: F.col(f"_new_{no}_{column}") for column in rule.columns}
+        changed.update(_updates(df, rule, F.coalesce(F.col(flags[no]), F.lit(False)), fresh))
+        same.update({
+            _USED + column: F.col(_USED + column) if _USED + column in df.columns else F.lit(False) for column in rule.columns
+        })
+    columns = list(dict.fromkeys([*df.columns, *changed]))
+    return split.filter(~F.col("_apart")).withColumns(same).select(*columns), met.withColumns(changed).select(*columns), journal
 
 
 def apply_duplication(
@@ -327,15 +351,14 @@ def apply_rules(
 
     Rules that do not depend on each other draw together, in two passes over
     the table. Plain ones are written by one projection and journalled in one
-    more pass. Others find their rows in the table as the run found it, so their
-    joins do not pile up; between runs that join, the table is written.
+    more pass. Those that number their rows work on the drawn rows apart, all of a run in one
+    join; between runs that join, the table is written.
     """
     for _, rule in rules:
         if rule.transform == "duplicate_rows" and len(spec.primary_key) != 1:
             raise ValueError(f"{rule.rule_id}: duplicate_rows needs a single-column primary key")
     journal: list[DataFrame] = []
     drawn: dict[int, Cut] = {}
-    special = {"rotate_values": apply_rotation, "duplicate_rows": apply_duplication}
     joined = False
     for run in independent_runs(rules, spec):
         if joined:
@@ -348,12 +371,21 @@ def apply_rules(
         if plain:
             df, records = apply_plain(df, plain, spec, seed, cuts)
             journal.append(records)
+        numbered = [
+            (no, rule) for no, rule in run
+            if rule.transform in CYCLIC or (rule.transform == "rotate_values" and cuts[no].taken > 1)
+        ]
+        if numbered:
+            same, changed, records = drawn_apart(df, numbered, spec, seed, cuts)
+            df, joined = same.unionByName(changed), True
+            journal += records
         for no, rule in run:
-            if not _is_plain(rule):
-                apply = special.get(rule.transform, apply_cyclic)
-                df, records = apply(df, rule, no, spec, seed, cuts[no], source)
+            if rule.transform == "duplicate_rows":
+                df, records = apply_duplication(df, rule, no, spec, seed, cuts[no], source)
                 journal.append(records)
                 joined = True
+    if not journal:
+        journal.append(df.sparkSession.createDataFrame([], _RECORD))
     return df, journal, drawn
 
 

@@ -197,3 +197,30 @@ def test_results_beyond_64_bits_and_met_keys_are_refused(spark):
         inject.inject(Dataset({"t": data["t"].withColumn("b", F.col("b").cast("bigint"))}, {"t": SPECS["t"]}), _scenario(wide))
     with pytest.raises(ValueError, match="corrupted key"):
         inject.inject(data, _scenario(Rule("k", "t", ("id",), "add", count=30, params={"increment": 1})))
+
+
+def test_undrawn_rows_pass_by_and_all_rules_share_a_join(spark, monkeypatch):
+    monkeypatch.setattr(inject, "small_side", lambda df, *_: df)
+    data = _dataset(spark)["t"].withColumns({"d": F.lit("x"), "e": F.lit("Some Name")})
+    rules = [(0, Rule("one", "t", ("a",), "case_noise", count=9)), (1, Rule("two", "t", ("d",), "placeholder", count=8)),
+             (2, Rule("three", "t", ("b", "c"), "rotate_values", count=7)), (3, Rule("four", "t", ("e",), "case_noise", count=6))]
+    assert len(inject.independent_runs(rules, SPECS["t"])) == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins = []
+        for some in (rules[:1], rules):
+            cuts = dict(zip([no for no, _ in some], sampling.find_cuts(data, [inject._wish(data, rule, SPECS["t"], 3) for _, rule in some])))
+            same, changed, _ = inject.drawn_apart(data, some, SPECS["t"], 3, cuts)
+            plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan(same) and "Join" not in plan(same)
+            joins.append(plan(changed).count("SortMergeJoin"))
+            assert changed.count() < 31 and same.count() + changed.count() == 60
+        assert joins == [1, 1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    after, journal, _ = inject.apply_rules(data, rules, SPECS["t"], 3)
+    alone = [inject.apply_rule(data, rule, SPECS["t"], 3) for _, rule in rules]
+    for (no, rule), records in zip(rules, journal):
+        assert sorted(map(str, records.drop("rule_no").collect())) == sorted(map(str, alone[no][1].drop("rule_no").collect()))
+        for column in rule.columns:
+            assert sorted(map(str, after.select("id", column).collect())) == sorted(map(str, alone[no][0].select("id", column).collect()))
