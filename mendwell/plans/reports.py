@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mendwell.functions import checks, fixes
 from mendwell.functions.text import key_token, row_text
-from mendwell.operators import compare, constraints, context, controls, detect, inject, profile, recommend, repair, sampling, score
+from mendwell.operators import compare, constraints, context, controls, detect, entities, inject, profile, recommend, repair, sampling, score
 from mendwell.plans import scenarios, trade
 from mendwell.plans.cases import BY_NAME, SEED
 from mendwell.plans.sample_run import (
@@ -981,6 +981,42 @@ def similar_customer_names(spark: SparkSession, folder: str) -> DataFrame:
     return context.similar_names(typed, ["o_orderkey"], "c_name")
 
 
+# --- Entities ---------------------------------------------------------------
+
+# Another word for a market segment.
+_SEGMENTS = {"cars": "automobile", "homes": "furniture", "mach.": "machinery"}
+_SAME_SEGMENT = "CASE lower(c_mktsegment) " + " ".join(f"WHEN '{meant}' THEN '{word}'" for word, meant in _SEGMENTS.items()) + " ELSE lower(c_mktsegment) END"
+# Clones of some customers: the key they add, which customers, and what is written differently.
+_CLONES = (
+    (10_000_000, "c_custkey % 20 = 3", "upper(c_name)", "c_nationkey", "c_acctbal", _SAME_SEGMENT),
+    (20_000_000, "c_custkey % 40 = 3", "concat('  ', c_name, '  ')", "c_nationkey", "c_acctbal", "'NEW'"),
+    (30_000_000, "c_custkey % 60 = 3", "lower(c_name)", "c_nationkey", "c_acctbal + 1", "concat(c_mktsegment, ' ')"),
+    (40_000_000, "c_custkey % 50 = 7", "c_name", "c_nationkey + 1", "c_acctbal", "'NEW'"),
+)
+_CLONED = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer" + "".join(
+    f" UNION ALL SELECT c_custkey + {step}, {name}, {nation}, {balance}, {segment} FROM customer WHERE {where}"
+    for step, where, name, nation, balance, segment in _CLONES)
+
+
+@query(f"""
+WITH RECURSIVE cloned AS ({_CLONED}),
+n AS (SELECT c_custkey AS k, lower(trim(c_name)) AS f, c_nationkey AS g, c_acctbal AS h,
+        CASE lower(trim(c_mktsegment)) {" ".join(f"WHEN '{word}' THEN '{meant}'" for word, meant in _SEGMENTS.items())} ELSE lower(trim(c_mktsegment)) END AS i
+      FROM cloned),
+e AS (SELECT a.k AS u, b.k AS v FROM n a JOIN n b ON a.k <> b.k
+      AND 2 * (a.f = b.f)::INT + (a.g = b.g)::INT + (a.h = b.h)::INT + (a.i = b.i)::INT >= 4),
+r AS (SELECT u, u AS seen FROM e UNION SELECT e.u, r.seen FROM r JOIN e ON e.v = r.u)
+SELECT u AS c_custkey, min(seen) AS entity, count(DISTINCT seen) AS rows_alike FROM r GROUP BY u""")
+def resolved_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers and clones of them with other case, blanks, aliases and fields, as entities."""
+    customer = trade.source(spark, folder, "customer")
+    cloned = spark.sql(_CLONED.replace("FROM customer", "FROM {customer}"), customer=customer)
+    evidence = [entities.Evidence("c_name", 2), entities.Evidence("c_nationkey"), entities.Evidence("c_acctbal"),
+                entities.Evidence("c_mktsegment", 1, _SEGMENTS)]
+    found = entities.resolve(cloned, ["c_custkey"], evidence, 4)
+    return found.select("c_custkey", F.col("entity.c_custkey").alias("entity"), "rows_alike")
+
+
 # --- Whole scenarios --------------------------------------------------------
 
 
