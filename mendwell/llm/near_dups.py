@@ -1,24 +1,27 @@
-"""Near duplicates: an n-gram Jaccard join by MinHash banding, 16 bands of 6 minima.
+"""Near duplicates: an n-gram Jaccard join by a MinHash LSH forest.
 
 A text is the set of its runs of five words (lower case, split at white space; a shorter
 text is one run). Copies are joined first, so that what follows sees each text once. Every
-text has a signature in each of ``TREES`` trees. The prefix that two texts must share is as long in
-all of them and fixed before any text is read: the longest, up to the full signature, that finds a pair
-at the threshold with the wanted probability. It is held as one hash, so this is no forest whose
-prefixes are sorted and shortened for the texts at hand. Texts sharing a prefix in a tree are a bucket;
-a large bucket is cut into blocks, and pairs of blocks are worked on apart. A pair
-counts in the first tree that brings it together, where its sets are compared exactly.
+text has a key in each of ``TREES`` trees: ``LABEL`` minima of 16 bits, one after the other. The keys of a tree are a
+prefix trie, and texts under one node of it, sorted side by side by the shuffle, are a bucket. The matched prefix begins at
+the whole key and is shortened by one minimum at a time, in all trees: each time only pairs that meet for the
+first time are compared, exactly, by their sets. Their similarities tell how probably such a pair is met at this length, and so how
+many there are in all; shortening ends when the share found reaches the wanted recall, at the latest at the length
+that has this recall for pairs just at the threshold (``depth``). A large bucket is cut into blocks, and pairs
+of blocks are worked on apart. A pair counts in the first tree that brings it together.
 
 No pair leaves a task: only sums of links, and edges that hold together what is
 linked within a task. So a group of m copies makes m rows, whatever its links.
 
 Null texts count as empty; texts without words are linked to their copies alone. Null keys are last in
-a class; repeated rows are copies. An empty table gives an empty result.
+a class; repeated rows are copies; texts are read whole, however long. An empty table gives an empty result, and
+other columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,7 @@ from mendwell.session import cut_lineage
 
 WORDS = 5
 THRESHOLD = 0.8
-RECALL = 0.99
+RECALL = 0.995
 TREES, LABEL = 16, 8
 BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
 FEW = 24  # up to so many texts are compared pair by pair, more by a matrix product
@@ -41,7 +44,7 @@ _MEMORY = 500_000
 
 
 def depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, label: int = LABEL) -> int:
-    """Longest prefix with which the forest has the recall for pairs at the threshold."""
+    """Longest prefix with which the forest has the recall for pairs at the threshold: none shorter is ever asked for."""
     length = label
     while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
         length -= 1
@@ -83,21 +86,32 @@ def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
     return (whole[0] << np.uint64(32)) | whole[1] | np.uint64(1), (whole[2] << np.uint64(32)) | whole[3]
 
 
-def signature(text: str | None, length: int, trees: int = TREES) -> np.ndarray | None:
-    """One number for the prefix of each tree; None for a text without words."""
+def signature(text: str | None, label: int = LABEL, trees: int = TREES) -> bytes | None:
+    """The keys of all trees, one after the other; None for a text without words."""
     runs = shingles(text)
     if not len(runs):
         return None
-    times, plus = _functions(trees * length)
-    least = np.full(trees * length, np.iinfo(np.uint64).max, np.uint64)
+    times, plus = _functions(trees * label)
+    least = np.full(trees * label, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(runs), _CHUNK):
         values = np.multiply.outer(times, runs[start:start + _CHUNK])
         values += plus[:, None]
         np.minimum(least, values.min(axis=1), out=least)
-    total = np.zeros(trees, np.uint64)
-    for column in least.reshape(trees, length).T:
-        total = _mixed(total + column)
-    return total.astype(np.int64)
+    return (_mixed(least) >> np.uint64(40)).astype(">u2").tobytes()
+
+
+def prefixes(keys: list[bytes], level: int, label: int = LABEL) -> np.ndarray:
+    """A number for the first ``level`` minima of each text in each tree."""
+    minima = np.frombuffer(b"".join(keys), ">u2").reshape(len(keys), -1, label).astype(np.uint64)
+    total = np.zeros(minima.shape[:2], np.uint64)
+    for place in range(level):
+        total = _mixed(total + minima[:, :, place] + np.uint64(1))
+    return total
+
+
+def met(similarity: np.ndarray | float, level: int, trees: int = TREES) -> np.ndarray | float:
+    """How probably a pair shares its first ``level`` minima in a tree."""
+    return 1 - (1 - similarity**level) ** trees
 
 
 def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -116,37 +130,44 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         yield rest
 
 
-def _first_met(group: pd.DataFrame) -> np.ndarray:
-    """Which pairs of the group meet here: i < j, of the right blocks, and in no earlier tree."""
-    prefixes = np.stack(group["prefixes"].to_numpy())
+def _first_met(group: pd.DataFrame, level: int) -> np.ndarray:
+    """Which pairs of the group meet here: i < j, of the right blocks, in no earlier tree and with no longer prefix."""
+    keys = group["trees"].tolist()
+    now = prefixes(keys, level)
     tree, low, high = (int(group[c].iat[0]) for c in ("tree", "low", "high"))
     block = group["block"].to_numpy()
     count = len(group)
     pairs = np.triu(np.ones((count, count), bool), 1)
     if low != high:
         pairs &= block[:, None] != block[None, :]
-    pairs &= prefixes[:, tree][:, None] == prefixes[:, tree][None, :]
+    pairs &= now[:, tree][:, None] == now[:, tree][None, :]
     for earlier in range(tree):
-        pairs &= prefixes[:, earlier][:, None] != prefixes[:, earlier][None, :]
+        pairs &= now[:, earlier][:, None] != now[:, earlier][None, :]
+    if level < LABEL and pairs.any():
+        longer = prefixes(keys, level + 1)
+        for own in longer.T:
+            pairs &= own[:, None] != own[None, :]
     return pairs
 
 
 KEYS = ["bucket", "tree", "low", "high"]
 
 
-def _needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of a group that have a partner in it."""
-    columns, found = [*KEYS, "block", "rep"], []
-    for group in _runs(batches, KEYS):
-        pairs = _first_met(group)
-        used = pairs.any(axis=0) | pairs.any(axis=1)
-        if used.any():
-            found.append(group.loc[used, columns])
-        if len(found) >= 2000:
+def _needed(level: int):
+    def need(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Members of a group that have a partner in it."""
+        columns, found = [*KEYS, "block", "rep"], []
+        for group in _runs(batches, KEYS):
+            pairs = _first_met(group, level)
+            used = pairs.any(axis=0) | pairs.any(axis=1)
+            if used.any():
+                found.append(group.loc[used, columns])
+            if len(found) >= 2000:
+                yield pd.concat(found)
+                found = []
+        if found:
             yield pd.concat(found)
-            found = []
-    if found:
-        yield pd.concat(found)
+    return need
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -170,37 +191,39 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _similar(texts: pd.Series, pairs: np.ndarray, threshold: float) -> np.ndarray:
-    """The pairs whose sets have the similarity."""
+    """The similarities of the pairs that reach the threshold; 0 elsewhere."""
     used = np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1))
-    linked = np.zeros_like(pairs)
+    linked = np.zeros(pairs.shape)
     if not len(used):
         return linked
     sets = [np.unique(shingles(texts.iat[i])) for i in used]
     sizes = np.array([len(s) for s in sets])
     if len(used) > FEW:
         both = _common(sets).astype(np.int64)
-        good = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
-        linked[np.ix_(used, used)] = good
-        return linked & pairs
+        union = sizes[:, None] + sizes[None, :] - both
+        linked[np.ix_(used, used)] = np.where(both >= threshold * union - 1e-9, both / union, 0)
+        return np.where(pairs, linked, 0)
     place = {u: k for k, u in enumerate(used)}
     for i, j in zip(*np.nonzero(pairs)):
         one, other = place[i], place[j]
         both = len(np.intersect1d(sets[one], sets[other], assume_unique=True))
-        linked[i, j] = both >= threshold * (sizes[one] + sizes[other] - both) - 1e-9
+        union = sizes[one] + sizes[other] - both
+        linked[i, j] = both / union if both >= threshold * union - 1e-9 else 0
     return linked
 
 
-def _verified(threshold: float):
+def _verified(threshold: float, level: int):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sums of links of each member, and an edge to the first member that it hangs together with."""
+        """Sums of links of each member, and an edge to the first member that it hangs together with; once a
+        group, its pairs and how many there are in all for them, by the length of the prefix."""
         found = []
         for group in _runs(batches, KEYS):
             group = group.drop_duplicates("rep")
-            linked = _similar(group["text"], _first_met(group), threshold)
-            linked |= linked.T
-            some = linked.any(axis=1)
-            if not some.any():
+            alike = _similar(group["text"], _first_met(group, level), threshold)
+            known = alike[alike > 0]
+            if not len(known):
                 continue
+            linked = (alike > 0) | (alike > 0).T
             rep, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
             label = np.arange(len(group))
             while True:
@@ -208,7 +231,12 @@ def _verified(threshold: float):
                 if (least == label).all():
                     break
                 label = least
-            found.append(pd.DataFrame({"rep": rep, "root": rep[label], "links": linked @ copies})[some])
+            some = np.flatnonzero(linked.any(axis=1))
+            made = pd.DataFrame({"rep": rep[some], "root": rep[label][some], "links": (linked @ copies)[some], "pairs": 0})
+            made.loc[0, "pairs"] = len(known)
+            weights = [float((1 / met(known, length)).sum()) for length in range(1, level + 1)]
+            made["all"] = [weights] + [None] * (len(made) - 1)
+            found.append(made)
             if len(found) >= 2000:
                 yield pd.concat(found)
                 found = []
@@ -221,41 +249,54 @@ def _grouped(df: DataFrame) -> DataFrame:
     return df.repartition(*KEYS).sortWithinPartitions(*KEYS)
 
 
+def _met_first(reps: DataFrame, bodies: DataFrame, level: int, threshold: float) -> DataFrame:
+    """Links of the pairs that meet at this length of the prefix and at no longer one."""
+    width = 2 * LABEL
+    entries = reps.select("rep", "bytes", F.explode(F.array(*[
+        F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("trees", 1 + t * width, 2 * level)).alias("bucket"))
+        for t in range(TREES)])).alias("node")).select("rep", "bytes", "node.tree", "node.bucket")
+    buckets = cut_lineage(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("weight")).filter("n > 1"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("weight") / BLOCK_BYTES)).cast("int")
+    members = entries.drop("bytes").join(buckets, "bucket").withColumn("blocks", blocks).withColumn(
+        "block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", "tree", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep")
+    needed = cut_lineage(_grouped(members.join(reps.select("rep", "trees"), "rep")).mapInPandas(
+        _needed(level), "bucket long, tree int, low int, high int, block int, rep long"))
+    wanted = needed.select("rep").distinct().join(reps.select("rep", "key", "sha"), "rep")
+    texts = bodies.join(wanted, (F.col("_sha") == F.col("sha")) & F.col("_key").eqNullSafe(F.col("key")))
+    texts = texts.groupBy("rep").agg(F.first("text").alias("text"))  # rows with one id and text bring it once
+    full = needed.join(reps.select("rep", "copies", "trees"), "rep").join(texts, "rep")
+    return cut_lineage(_grouped(full).mapInPandas(
+        _verified(threshold, level), "rep long, root long, links long, pairs long, all array<double>"))
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD,
             recall: float = RECALL) -> DataFrame:
     """One row per row of ``docs``: ``row``, ``key``, ``sha``, ``rep`` (the row that stands for its copies), ``links`` (number of
     other rows with at least the similarity, copies among them), ``class_id`` (least key of the class) and ``leader_rep`` (its row)."""
-    length = depth(threshold, recall)
     body = F.coalesce(F.col(text), F.lit(""))
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("binary")
     def signed(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: signature(t, length))
+        return column.map(signature)
 
     rows = cut_lineage(docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.unhex(F.sha2(body, 256)).alias("sha"),
-        F.octet_length(body).alias("bytes"), signed(body).alias("prefixes")))
+        F.octet_length(body).alias("bytes"), signed(body).alias("trees")))
     copies = cut_lineage(rows.groupBy("sha").agg(
         F.min("row").alias("rep"), F.min("key").alias("least"), F.count(F.lit(1)).alias("copies")))
     reps = cut_lineage(rows.drop("sha").join(copies, F.col("row") == F.col("rep")).filter(
-        F.col("prefixes").isNotNull()).select("rep", "sha", "key", "bytes", "copies", "prefixes"))
-
-    entries = reps.select("rep", "bytes", F.posexplode("prefixes").alias("tree", "prefix")).select(
-        "rep", "bytes", F.col("tree").cast("int").alias("tree"), F.xxhash64("tree", "prefix").alias("bucket"))
-    buckets = cut_lineage(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("weight")).filter("n > 1"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("weight") / BLOCK_BYTES)).cast("int")
-    members = entries.drop("bytes").join(buckets, "bucket").withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", "tree", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep")
-    needed = cut_lineage(_grouped(members.join(reps.select("rep", "prefixes"), "rep")).mapInPandas(
-        _needed, "bucket long, tree int, low int, high int, block int, rep long"))
+        F.col("trees").isNotNull()).select("rep", "sha", "key", "bytes", "copies", "trees"))
     bodies = docs.select(F.col(key).alias("_key"), F.unhex(F.sha2(body, 256)).alias("_sha"), body.alias("text"))
-    wanted = needed.select("rep").distinct().join(reps.select("rep", "key", "sha"), "rep")
-    bodies = bodies.join(wanted, (F.col("_sha") == F.col("sha")) & F.col("_key").eqNullSafe(F.col("key")))
-    bodies = bodies.groupBy("rep").agg(F.first("text").alias("text"))  # rows with one id and text bring it once
-    full = needed.join(reps.select("rep", "copies", "prefixes"), "rep").join(bodies, "rep")
-    verified = cut_lineage(_grouped(full).mapInPandas(_verified(threshold), "rep long, root long, links long"))
+    met_at, reached = [], 0.0
+    for level in range(LABEL, depth(threshold, recall) - 1, -1):
+        met_at.append(_met_first(reps, bodies, level, threshold))
+        pairs, there = reduce(DataFrame.unionByName, met_at).agg(F.sum("pairs"), F.sum(F.element_at("all", level))).first()
+        reached = pairs / there if pairs else 0.0
+        if reached >= recall:
+            break
+    verified = reduce(DataFrame.unionByName, met_at)
 
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(verified, "rep", "root").withColumnRenamed("node", "rep")

@@ -75,6 +75,43 @@ def test_dropping_keeps_one_of_a_class(odd_docs, odd_rows, no_docs):
     assert near_dups.drop_near_duplicates(no_docs).count() == 0 and near_dups.report(no_docs).count() == 0
 
 
+def test_prefixes_are_shortened_until_the_recall(spark, monkeypatch):
+    """Alike pairs end it at the whole key; pairs near the threshold ask for shorter prefixes, down to the last one."""
+    levels, real = [], near_dups._met_first
+    monkeypatch.setattr(near_dups, "_met_first", lambda *args: levels.append(args[2]) or real(*args))
+    draw = np.random.RandomState(2)
+
+    def copies(changed, count=60):
+        rows = []
+        for i in range(count):
+            words = [f"t{i}w{j}" for j in range(200)]
+            other = list(words)
+            for at in draw.choice(200, changed, replace=False):
+                other[at] = "new"
+            rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        return rows
+
+    seen = {}
+    for changed in (1, 4):
+        rows, levels[:] = copies(changed), []
+        got = found(near_dups.report(spark.createDataFrame(rows, "doc_id long, text string")))
+        want = brute(rows)
+        linked = [sum(n for (_, _, links), n in some.items() if links) for some in (got, want)]
+        assert linked[1] >= 20 and linked[1] * 0.97 <= linked[0] <= linked[1]
+        seen[changed] = list(levels)
+    assert seen[1] == [8] and seen[4][:2] == [8, 7] and min(seen[4]) >= near_dups.depth()
+
+
+def test_keys_have_the_prefixes_of_their_minima():
+    keys = [near_dups.signature(t) for t in ("a b c d e f g", "a b c d e f g", "a b c d e f h")]
+    assert {len(k) for k in keys} == {2 * near_dups.LABEL * near_dups.TREES}
+    for level in (1, 5, 8):
+        made = near_dups.prefixes(keys, level)
+        own = [[k[16 * t:16 * t + 2 * level] for t in range(near_dups.TREES)] for k in keys]
+        assert (made[0] == made[1]).all()
+        assert [a == b for a, b in zip(own[0], own[2])] == (made[0] == made[2]).tolist()
+
+
 def test_depth_gives_the_recall():
     length = near_dups.depth()
     assert 1 - (1 - 0.8**length) ** near_dups.TREES >= near_dups.RECALL > 1 - (1 - 0.8 ** (length + 1)) ** near_dups.TREES
@@ -101,13 +138,13 @@ def test_components(spark, edges):
 def test_the_text_of_repeated_rows_comes_once(spark, monkeypatch):
     real = near_dups._verified
 
-    def watched(threshold):
+    def watched(*args):
         def verify(batches):
             def once():
                 for batch in batches:
                     assert not batch.duplicated([*near_dups.KEYS, "rep"]).any()
                     yield batch
-            yield from real(threshold)(once())
+            yield from real(*args)(once())
         return verify
 
     monkeypatch.setattr(near_dups, "_verified", watched)
