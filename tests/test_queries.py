@@ -1,7 +1,7 @@
 """Registered queries against their SQL at the smallest scale.
 
 `check.py` compares all of them at any scale; here it is the detectors, which
-contain their injections, and a few others.
+contain their injections, and some of each other kind.
 """
 
 import duckdb
@@ -13,6 +13,8 @@ from mendwell.plans.trade import SOURCE_TABLES
 
 NAMES = sorted(name for name in entry.queries() if name.startswith("detect_")) + [
     "table_fingerprints", "profile_report", "fault_journal", "clean_controls", "repeated_documents", "quality_before_after",
+    "verification_of_states", "similar_customer_names", "resolved_customers", "published_versions", "row_changes", "cell_changes", "distinct_counts",
+    "cleaning_report", "inject_line_price", "inject_case_noise", "inject_corrupted_key", "repair_outlier", "repair_corrupted_key", "surface_scenario",
 ]
 
 
