@@ -57,3 +57,15 @@ def test_every_stage(spark, tiny, tiny_docs, tmp_path):
     assert all(n <= c for (_, c), n in used.items())
     whole = corpus_pipeline.run(spark, tiny).select("doc_id", "piece", "start", "length").collect()
     assert Counter(map(tuple, whole)) == Counter((r.doc_id, r.piece, r.start, r.length) for r in pieces)
+
+
+def test_the_pipeline_on_odd_and_empty_tables(spark, tiny, odd_docs, no_docs, tmp_path):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, docs in (("odd", odd_docs), ("empty", no_docs)):
+        docs.select(*columns).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{tiny}/labels.parquet").write.parquet(str(tmp_path / name / "labels.parquet"))
+        made = corpus_pipeline.run(spark, str(tmp_path / name))
+        rows = made.collect()
+        assert made.columns == ["doc_id", "piece", "start", "length", "sequence", "offset", "capacity"]
+        assert all(r.offset is None or r.offset + r.length <= r.capacity for r in rows)
+        assert name == "odd" or rows == []
