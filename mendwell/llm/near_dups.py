@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mendwell.llm.components import components
-from mendwell.session import cut_lineage
+from mendwell.session import cut_lineage, small_side
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -263,7 +263,8 @@ def _met_first(reps: DataFrame, bodies: DataFrame, level: int, threshold: float)
         "bucket", "tree", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep")
     needed = cut_lineage(_grouped(members.join(reps.select("rep", "trees"), "rep")).mapInPandas(
         _needed(level), "bucket long, tree int, low int, high int, block int, rep long"))
-    wanted = needed.select("rep").distinct().join(reps.select("rep", "key", "sha"), "rep")
+    wanted = small_side(cut_lineage(needed.select("rep").distinct().join(reps.select("rep", "key", "sha"), "rep")))
+    # while few texts have a partner, they alone are moved
     texts = bodies.join(wanted, (F.col("_sha") == F.col("sha")) & F.col("_key").eqNullSafe(F.col("key")))
     texts = texts.groupBy("rep").agg(F.first("text").alias("text"))  # rows with one id and text bring it once
     full = needed.join(reps.select("rep", "copies", "trees"), "rep").join(texts, "rep")
