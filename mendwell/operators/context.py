@@ -123,9 +123,11 @@ def similar_names(
     split = F.coalesce(F.col("_blocks"), F.lit(1))
     common = common.join(blocks, "_key", "left").withColumn("_block", F.pmod(F.xxhash64("_meant"), split).cast("int"))
     rare = rare.join(blocks, "_key", "left").withColumn("_block", F.explode(F.sequence(F.lit(0), split - 1)))
+    # Estimates do not see that a name becomes some 170 rows, so both sides are told to shuffle.
     near = (
         rare.drop("_blocks")
-        .join(common.drop("_blocks"), ["_key", "_block"])
+        .hint("merge")
+        .join(common.drop("_blocks").hint("merge"), ["_key", "_block"])
         .filter((F.col("_common") > F.col("_n")) & ((F.col("_n") <= max_rare) | (F.col("_n") * min_ratio <= F.col("_common"))))
         .filter(F.levenshtein("_name", "_meant", distance) > 0)  # -1 beyond the distance
         .groupBy("_name")

@@ -221,3 +221,11 @@ def test_similar_names_against_all_pairs(spark, monkeypatch, distance):
     assert {(r["name"], r["canonical_name"]) for r in got} == want and len(want) > 10
     assert len(got) == sum(counts[a] for a, _ in want)
     assert context.similar_names(df.limit(0), ["id"], "name").collect() == []
+
+
+def test_the_index_of_deletions_is_never_broadcast(spark):
+    """A name becomes some 170 rows, which the size of the table of names does not show."""
+    df = spark.createDataFrame([(i, f"Customer {i % 7:04d}") for i in range(40)], "id int, name string")
+    plan = context.similar_names(df, ["id"], "name")._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in line and "_key" in line for line in plan.splitlines())
+    assert not any("BroadcastHashJoin" in line and "_key" in line and "_block" in line for line in plan.splitlines())
