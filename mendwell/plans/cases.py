@@ -48,7 +48,7 @@ class Case:
         return trade.SPECS["lineitem" if self.table == "priced" else self.table]
 
     def inject(self, spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-        df = trade.table(spark, folder, self.table)
+        df = trade.kept(spark, folder, self.table)
         return apply_rule(df, self.rule, self.spec, SEED)
 
     def sql_ctes(self) -> dict[str, str]:

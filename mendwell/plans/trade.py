@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendwell.operators.groups import lookup
+from mendwell.session import cut_lineage, is_small
 from mendwell.spec import Dataset, ForeignKey, TableSpec
 
 SOURCE_TABLES = (
@@ -86,9 +87,7 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines with a surrogate key, made before any fault."""
-    df = source(spark, folder, "lineitem")
+def _with_row_id(df: DataFrame) -> DataFrame:
     row_id = F.concat_ws(
         "|", *[F.col(name).cast("string") for name in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")],
         F.substring(F.col("l_shipdate").cast("string"), 1, 10),
@@ -96,11 +95,17 @@ def lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(row_id.alias("row_id"), *df.columns)
 
 
+def lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines with a surrogate key, made before any fault."""
+    return _with_row_id(source(spark, folder, "lineitem"))
+
+
 def priced_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines with the list price of their part as unit price."""
-    return lookup(
-        lineitem(spark, folder), source(spark, folder, "part"), {"l_partkey": "p_partkey"}, {"l_unitprice": "p_retailprice"}
-    )
+    # The long surrogate key is made after the lookup, which may have to shuffle.
+    return _with_row_id(lookup(
+        source(spark, folder, "lineitem"), source(spark, folder, "part"), {"l_partkey": "p_partkey"}, {"l_unitprice": "p_retailprice"}
+    ))
 
 
 def customer(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,8 +164,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return _BUILDERS[name](spark, folder) if name in _BUILDERS else source(spark, folder, name)
 
 
+# Tables that take columns from a parent, and which.
+_LOOKED_UP = {"orders": ("customer", ("c_custkey", "c_name", "c_nationkey")), "priced": ("part", ("p_partkey", "p_retailprice"))}
+
+
+def kept(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for several readers: where the lookup of its parent shuffles, it is done once and written."""
+    df = table(spark, folder, name)
+    if name not in _LOOKED_UP:
+        return df
+    parent, columns = _LOOKED_UP[name]
+    return df if is_small(source(spark, folder, parent).select(*columns)) else cut_lineage(df)
+
+
 def dataset(spark: SparkSession, folder: str, names: Iterable[str] = tuple(SPECS), priced: bool = False) -> Dataset:
-    tables = {name: table(spark, folder, name) for name in names}
-    if priced and "lineitem" in tables:
-        tables["lineitem"] = priced_lineitem(spark, folder)
+    tables = {name: kept(spark, folder, "priced" if priced and name == "lineitem" else name) for name in names}
     return Dataset(tables, {name: SPECS[name] for name in tables})
