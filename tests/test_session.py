@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mendwell import session
+from mendwell.plans import trade
 
 
 @pytest.mark.parametrize("words", [1 << 23, 512], ids=["room", "crowded"])
@@ -30,3 +31,13 @@ def test_rows_without_a_key_there_stay(spark):
     assert near.count() < 500 + 50_000 / 10
     assert near.count() + far.count() == 50_000
     assert far.join(keys, ["a", "b"], "left_semi").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["priced", "orders"])
+def test_a_lookup_that_shuffles_is_done_once(spark, tiny, monkeypatch, name):
+    wanted = trade.table(spark, tiny, name)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 10)
+    got = trade.kept(spark, tiny, name)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.schema.names == wanted.schema.names
+    assert got.exceptAll(wanted).isEmpty() and got.count() == wanted.count()
