@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     plans still prune its columns and push their filters into its scan.
     """
     path = shared_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -88,27 +89,31 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int | None = None)
     return F.broadcast(df) if small else df
 
 
-# A set of keys as bits: so many a key, in words of 64, of which at most so many (64 MB), and words a row.
-KEY_BITS, KEY_WORDS, ROW_WORDS = 16, 1 << 23, 512
+# A set of keys as bits: so many a key, in words of 64, of which at most so many (64 MB), and words a row. A key sets so many bits of its word.
+KEY_BITS, KEY_WORDS, ROW_WORDS, KEY_MARKS = 16, 1 << 23, 512, 4
 
 
 def split_by(df: DataFrame, on: Sequence[str], keys: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose key may be among ``keys``, and all others, whose key is not.
 
-    Each of the about ``rows`` keys sets a bit, and the bits alone are broadcast. Some one in 17 rows without a
-    key there finds a bit set by another, more where the set is as large as it may get.
+    Each of the about ``rows`` keys sets four bits of a word, and the bits alone are broadcast. Some one in a hundred rows
+    without a key there finds its bits set by others, more where the set is as large as it may get.
     """
     most = min(rows * KEY_BITS // 64 + 1, KEY_WORDS)
     words = -(-most // ROW_WORDS) * ROW_WORDS
     hashed = F.xxhash64(*on)
     word = F.pmod(hashed, F.lit(words).cast("bigint"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(hashed, 58).cast("int"))
+    one = F.lit(1).cast("bigint")
+    bit = reduce(Column.bitwiseOR, [
+        F.call_function("shiftleft", one, F.shiftrightunsigned(hashed, 58 - 6 * no).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+        for no in range(KEY_MARKS)
+    ])
     none = df.sparkSession.range(words).select(F.col("id").alias("_word"), F.lit(0).cast("bigint").alias("_bits"))
     made = none.unionByName(keys.select(word.alias("_word"), bit.alias("_bits"))).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
     place = F.floor(F.col("_word") / ROW_WORDS).cast("int")
     sets = cut_lineage(made.groupBy(place.alias("_place")).agg(
         F.array_sort(F.collect_list(F.struct("_word", "_bits")))["_bits"].alias("_set")))
-    found = F.col("_set")[(word % ROW_WORDS).cast("int")].bitwiseAND(bit) != 0
+    found = F.col("_set")[(word % ROW_WORDS).cast("int")].bitwiseAND(bit) == bit
     marked = df.join(F.broadcast(sets), F.floor(word / ROW_WORDS).cast("int") == F.col("_place"), "left").withColumn(
         "_near", F.coalesce(found, F.lit(False)))
     return marked.filter("_near").select(*df.columns), marked.filter("NOT _near").select(*df.columns)
