@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mendwell.operators.detect import orphan_values
+from mendwell.session import cut_lineage, is_small
 from mendwell.spec import Dataset
 
 _VIOLATIONS = "table string, constraint string, violations bigint"
@@ -19,6 +22,19 @@ def _union(parts: list[DataFrame], dataset: Dataset) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _maybe_alike(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows among which all are that share their key with another row.
+
+    Of a key that is text or has several columns only a 64-bit hash is shuffled. Rows whose hash is there once
+    have a key of their own; what is left is few, and the keys themselves decide. Where much is left, all rows are returned.
+    """
+    if len(keys) == 1 and not isinstance(df.schema[keys[0]].dataType, T.StringType):
+        return df
+    hashed = df.select(*keys, F.xxhash64(*keys).alias("_hash"))
+    shared = cut_lineage(hashed.groupBy("_hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("_hash"))
+    return hashed.join(F.broadcast(shared), "_hash", "left_semi") if is_small(shared) else df
+
+
 def constraint_violations(dataset: Dataset) -> DataFrame:
     """Violations per table and constraint; a satisfied constraint shows 0.
 
@@ -44,7 +60,7 @@ def constraint_violations(dataset: Dataset) -> DataFrame:
                 for label in flags
             ]))))
         if spec.primary_key:
-            groups = df.groupBy(*spec.primary_key).agg(F.count("*").alias("_n"))
+            groups = _maybe_alike(df, spec.primary_key).groupBy(*spec.primary_key).agg(F.count("*").alias("_n"))
             parts.append(groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("violations")).select(
                 F.lit(name).alias("table"), F.lit("key is unique").alias("constraint"), "violations"
             ))
