@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mendwell.functions.text import canonical_value, key_token
 from mendwell.operators.sampling import below, draw_hash, find_cut, with_index
-from mendwell.session import cut_lineage, meet
+from mendwell.session import cut_lineage, meet, small_side
 from mendwell.spec import ControlScope, Dataset, Scenario
 
 CONTROL_SEED_STEP = 9173  # fixed value: distance of the controls' seed from the scenario's
@@ -43,9 +43,12 @@ def _cells_in_scope(baseline: Dataset, scope: Sequence[ControlScope]) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def _free(cells: DataFrame, used: DataFrame) -> DataFrame:
+def _free(cells: DataFrame, used: DataFrame, few: bool = False) -> DataFrame:
+    """Cells that are not in use. Of a ``few`` all are shuffled where the used ones are many, so that they are sought out once."""
     taken = F.coalesce(F.col("_locked") | F.array_contains(F.col("_used"), F.col("column")), F.lit(False))
-    return meet(cells, used, ["table", "primary_key"]).filter(~taken).drop("_used", "_locked")
+    on = ["table", "primary_key"]
+    met = cells.join(small_side(used), on, "left") if few else meet(cells, used, on)
+    return met.filter(~taken).drop("_used", "_locked")
 
 
 def control_candidates(baseline: Dataset, scope: Sequence[ControlScope], journal: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def draw_controls(baseline: Dataset, scenario: Scenario, journal: DataFrame, fau
     span = (wanted + 12 * math.sqrt(wanted) + 64) / free
     while True:
         span = min(span, 1.0)
-        near = cut_lineage(_free(cells.filter(F.col("h") < below(span)), used))
+        near = cut_lineage(_free(cells.filter(F.col("h") < below(span)), used, few=span < 1.0))
         if span == 1.0 or near.count() >= wanted:
             break
         span *= 8

@@ -46,3 +46,15 @@ def test_unique_keys_are_told_by_their_hashes(spark, monkeypatch):
     assert surplus() == 3
     monkeypatch.setattr(session, "BROADCAST_ROWS", 1)  # much is left: the keys themselves are counted
     assert constraints._maybe_alike(df, SPEC.primary_key) is df and surplus() == 3
+
+
+def test_controls_are_sought_out_once(spark, monkeypatch):
+    data = Dataset({"t": _table(spark)}, {"t": SPEC})
+    scenario = Scenario("s", "s", 5, 50.0, (Rule("r", "t", ("b",), "negative", count=60),), (ControlScope("t", ("a", "b")),))
+    made = inject.inject(data, scenario)
+    wanted = _rows(controls.draw_controls(data, scenario, made.journal, made.faults))
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 10)
+    scans, split_by = [], session.split_by
+    monkeypatch.setattr(session, "split_by", lambda *some: scans.append(1) or split_by(*some))
+    assert _rows(controls.draw_controls(data, scenario, made.journal, made.faults)) == wanted and len(wanted) > 50
+    assert not scans
