@@ -167,7 +167,8 @@ def apply_plain(
         fresh = {column: F.col(f"_new_{no}_{column}") for column in rule.columns}
         records += _cell_records(rule, no, spec, types, old, fresh, drawn)
         updates.update(_updates(df, rule, drawn, fresh))
-    journal = _journal_rows(marked, key_token(spec.primary_key), records)
+    any_drawn = reduce(lambda one, other: one | other, [F.col(f"_drawn_{no}") for no, _ in rules])
+    journal = _journal_rows(marked.filter(any_drawn), key_token(spec.primary_key), records)
     return marked.withColumns(updates).select(*dict.fromkeys([*df.columns, *updates])), journal
 
 
@@ -182,14 +183,9 @@ def _updates(df: DataFrame, rule: Rule, drawn: Column, new: Mapping[str, Column]
     return updates
 
 
-def _cycled(
-    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut
-) -> tuple[DataFrame, DataFrame]:
+def _cycled(drawn: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, cut: Cut) -> tuple[DataFrame, DataFrame]:
     """New values of a transform that takes turns among variants along the drawn rows, by key, and their journal rows."""
-    token = key_token(spec.primary_key)
-    drawn = df.filter(_drawn(df, rule, spec, seed, cut)).select(
-        token.alias("_token"), *dict.fromkeys([*spec.primary_key, *rule.columns])
-    )
+    drawn = drawn.select("_token", *dict.fromkeys([*spec.primary_key, *rule.columns]))
     sample = cut_lineage(_indexed(_as_text(drawn, rule.columns), cut))
     types = _types(sample)
     new = _new_values(rule, types, F.col("_index"))
@@ -198,20 +194,15 @@ def _cycled(
     return sample.select("_token", *[new[column].alias(column) for column in rule.columns]), journal
 
 
-def _rotated(
-    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut
-) -> tuple[DataFrame, DataFrame]:
+def _rotated(drawn: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, cut: Cut) -> tuple[DataFrame, DataFrame]:
     """New values where each drawn row takes those of the drawn row ``shift`` places on, and their journal rows.
 
     Where a value would not change, the row turns to the next donor and stays
     with it for its remaining columns.
     """
-    types = _types(df)
+    types = _types(drawn)
     shift = int(rule.params.get("shift", 1)) % cut.taken or 1
-    token = key_token(spec.primary_key)
-    drawn = df.filter(_drawn(df, rule, spec, seed, cut)).select(
-        token.alias("_token"), *spec.primary_key, *[F.col(column).alias(f"_old_{column}") for column in rule.columns]
-    )
+    drawn = drawn.select("_token", *spec.primary_key, *[F.col(column).alias(f"_old_{column}") for column in rule.columns])
     sample = cut_lineage(_indexed(drawn, cut))
 
     def donors(step: int, name: str) -> DataFrame:
@@ -240,12 +231,16 @@ def drawn_apart(
 
     Whether a row is drawn shows in its own hash, so the table falls into two parts by a
     filter: rows of none of the rules pass by as they are, and the drawn ones alone meet their new values,
-    those of all rules in one join. Returns both parts and the journal rows.
+    those of all rules in one join. The drawn ones are written once for all that reads them. Returns both parts and the journal rows.
     """
-    marks, values, journal, flags = [], [], [], {}
+    values, journal, flags = [], [], {}
+    marks = {f"_mark_{no}": _drawn(df, rule, spec, seed, cuts[no]) for no, rule in rules}
+    any_mark = reduce(lambda one, other: one | other, marks.values())
+    apart = cut_lineage(df.withColumns({**marks, "_token": key_token(spec.primary_key)}).filter(
+        reduce(lambda one, other: one | other, [F.col(name) for name in marks])))
     for no, rule in rules:
-        made, records = (_rotated if rule.transform == "rotate_values" else _cycled)(df, rule, no, spec, seed, cuts[no])
-        marks.append(_drawn(df, rule, spec, seed, cuts[no]))
+        made, records = (_rotated if rule.transform == "rotate_values" else _cycled)(
+            apart.filter(f"_mark_{no}"), rule, no, spec, cuts[no])
         flags[no] = f"_drawn_{no}"
         values.append(made.select("_token", F.lit(True).alias(flags[no]), *[
             F.col(column).alias(f"_new_{no}_{column}") for column in rule.columns]))
@@ -253,12 +248,11 @@ def drawn_apart(
     back = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), values)
     if len(values) > 1:  # a row that several rules have drawn
         back = back.groupBy("_token").agg(*[F.max(name).alias(name) for name in back.columns if name != "_token"])
-    split = df.withColumn("_apart", reduce(lambda one, other: one | other, marks))
+    rest = df.filter(~any_mark)
     for _, rule in rules:
         if rule.transform in TEXT_MAKING:
-            split = _as_text(split, rule.columns)
-    met = split.filter("_apart").withColumn("_token", key_token(spec.primary_key)).join(
-        small_side(back, sum(cuts[no].taken for no, _ in rules)), "_token", "left")
+            rest, apart = _as_text(rest, rule.columns), _as_text(apart, rule.columns)
+    met = apart.join(small_side(back, sum(cuts[no].taken for no, _ in rules)), "_token", "left")
     changed, same = {}, {}
     for no, rule in rules:
         fresh = {column: F.col(f"_new_{no}_{column}") for column in rule.columns}
@@ -267,7 +261,7 @@ def drawn_apart(
             _USED + column: F.col(_USED + column) if _USED + column in df.columns else F.lit(False) for column in rule.columns
         })
     columns = list(dict.fromkeys([*df.columns, *changed]))
-    return split.filter(~F.col("_apart")).withColumns(same).select(*columns), met.withColumns(changed).select(*columns), journal
+    return rest.withColumns(same).select(*columns), met.withColumns(changed).select(*columns), journal
 
 
 def apply_duplication(

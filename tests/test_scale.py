@@ -58,3 +58,16 @@ def test_controls_are_sought_out_once(spark, monkeypatch):
     monkeypatch.setattr(session, "split_by", lambda *some: scans.append(1) or split_by(*some))
     assert _rows(controls.draw_controls(data, scenario, made.journal, made.faults)) == wanted and len(wanted) > 50
     assert not scans
+
+
+def test_drawn_rows_are_sought_out_once(spark, monkeypatch):
+    data = _table(spark)
+    rules = [(no, Rule(f"r{no}", "t", (column,), "rotate_values", count=20)) for no, column in enumerate(("a", "b"))]
+    cuts = dict(enumerate(sampling.find_cuts(data, [inject._wish(data, rule, SPEC, 3) for _, rule in rules])))
+    calls, drawn = [], inject._drawn
+    monkeypatch.setattr(inject, "_drawn", lambda *some: calls.append(1) or drawn(*some))
+    same, changed, journal = inject.drawn_apart(data, rules, SPEC, 3, cuts)
+    assert len(calls) == len(rules)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (changed, *journal)]
+    assert not any("Range" in plan for plan in plans)  # the table itself is read for the rest alone
+    assert same.count() + changed.count() == 600 and 20 < changed.count() <= 40
