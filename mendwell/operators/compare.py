@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendwell.functions.text import canonical_columns, row_text
 from mendwell.session import cut_lineage, small_side
 from mendwell.spec import Dataset
 
-# Hex digits of a row hash that fit a signed 64-bit integer, and how many such parts are summed.
+# Hex digits of a row hash that fit a signed 64-bit integer, and how many such parts are summed, each in pieces of so many bits.
 _DIGEST_DIGITS, _PARTS = 15, 4
+_PIECE_BITS, _PIECES = 20, 3
 
 
 def row_hashes(df: DataFrame) -> DataFrame:
@@ -25,17 +26,26 @@ def fingerprint(df: DataFrame) -> DataFrame:
     can change.
 
     Row hashes are summed in parts of 60 bits, so it is one aggregate without a
-    sort. The sums are exact for 10^19 rows.
+    sort. Pieces of 20 bits are summed as 64-bit integers, exact for 8 * 10^12 rows, and put together at the end.
     """
     parts = [
-        F.conv(F.substring("row_hash", 1 + _DIGEST_DIGITS * no, _DIGEST_DIGITS), 16, 10).cast("decimal(28,0)").alias(f"h{no}")
+        F.conv(F.substring("row_hash", 1 + _DIGEST_DIGITS * no, _DIGEST_DIGITS), 16, 10).cast("bigint").alias(f"h{no}")
         for no in range(_PARTS)
     ]
-    nothing = F.lit(0).cast("decimal(38,0)")
-    sums = row_hashes(df).select(*parts).agg(
-        F.count("*").alias("rows"), *[F.coalesce(F.sum(f"h{no}"), nothing).alias(f"h{no}") for no in range(_PARTS)]
-    )
-    return sums.select("rows", F.concat_ws(":", *[F.col(name).cast("string") for name in sums.columns]).alias("fingerprint"))
+    mask = (1 << _PIECE_BITS) - 1
+    pieces = [
+        F.coalesce(F.sum(F.shiftright(f"h{no}", _PIECE_BITS * piece).bitwiseAND(F.lit(mask).cast("bigint"))), F.lit(0)).alias(f"h{no}_{piece}")
+        for no in range(_PARTS) for piece in range(_PIECES)
+    ]
+    sums = row_hashes(df).select(*parts).agg(F.count("*").alias("rows"), *pieces)
+
+    def whole(no: int) -> Column:
+        total = F.lit(0).cast("decimal(38,0)")
+        for piece in reversed(range(_PIECES)):
+            total = (total * F.lit(1 << _PIECE_BITS).cast("decimal(8,0)")).cast("decimal(38,0)") + F.col(f"h{no}_{piece}").cast("decimal(19,0)")
+        return total.cast("decimal(38,0)").cast("string")
+
+    return sums.select("rows", F.concat_ws(":", F.col("rows").cast("string"), *[whole(no) for no in range(_PARTS)]).alias("fingerprint"))
 
 
 def fingerprints(dataset: Mapping[str, DataFrame]) -> DataFrame:

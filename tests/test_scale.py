@@ -71,3 +71,14 @@ def test_drawn_rows_are_sought_out_once(spark, monkeypatch):
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (changed, *journal)]
     assert not any("Range" in plan for plan in plans)  # the table itself is read for the rest alone
     assert same.count() + changed.count() == 600 and 20 < changed.count() <= 40
+
+
+def test_fingerprints_are_sums_of_integers(spark):
+    df = _table(spark).withColumn("b", F.when(F.col("a") % 3 > 0, F.col("b")))
+    texts = [json.dumps([None if v is None else str(v) for v in row], separators=(",", ":")) for row in df.collect()]
+    hashes = [hashlib.sha256(text.encode()).hexdigest() for text in texts]
+    wanted = ":".join(str(v) for v in (600, *(sum(int(h[15 * no:15 * no + 15], 16) for h in hashes) for no in range(4))))
+    found = compare.fingerprint(df)
+    assert found.first()["fingerprint"] == wanted
+    assert "decimal(28,0)" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert compare.fingerprint(df.limit(0)).first()["fingerprint"] == "0:0:0:0:0"
