@@ -5,7 +5,7 @@ text is one run). Copies are joined first, so that what follows sees each text o
 text has a key in each of ``TREES`` trees: ``LABEL`` minima of 16 bits, one after the other. The keys of a tree are a
 prefix trie, and texts under one node of it, sorted side by side by the shuffle, are a bucket. The matched prefix begins at
 the whole key and is shortened by one minimum at a time, in all trees: each time only pairs that meet for the
-first time are compared, exactly, by their sets. Their similarities tell how probably such a pair is met at this length, and so how
+first time are compared, exactly, by their sets; texts that the last length leaves alone in every tree are set aside before. Their similarities tell how probably such a pair is met at this length, and so how
 many there are in all; shortening ends when the share found reaches the wanted recall, at the latest at the length
 that has this recall for pairs just at the threshold (``depth``). A large bucket is cut into blocks, and pairs
 of blocks are worked on apart. A pair counts in the first tree that brings it together.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mendwell.llm.components import components
-from mendwell.session import cut_lineage, small_side
+from mendwell.session import cut_lineage, meet
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -249,12 +249,30 @@ def _grouped(df: DataFrame) -> DataFrame:
     return df.repartition(*KEYS).sortWithinPartitions(*KEYS)
 
 
-def _met_first(reps: DataFrame, bodies: DataFrame, level: int, threshold: float) -> DataFrame:
-    """Links of the pairs that meet at this length of the prefix and at no longer one."""
+def _nodes(reps: DataFrame, level: int) -> DataFrame:
+    """The bucket of each text in each tree, at this length of the prefix."""
     width = 2 * LABEL
-    entries = reps.select("rep", "bytes", F.explode(F.array(*[
+    return reps.withColumn("node", F.explode(F.array(*[
         F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("trees", 1 + t * width, 2 * level)).alias("bucket"))
-        for t in range(TREES)])).alias("node")).select("rep", "bytes", "node.tree", "node.bucket")
+        for t in range(TREES)]))).select("*", "node.tree", "node.bucket").drop("node")
+
+
+def _in_company(reps: DataFrame, level: int) -> DataFrame:
+    """The texts that are not alone in all their buckets of this length, and in ``live``, a bit a tree, where they are not.
+
+    Who is alone with a prefix is alone with a longer one, so the longer ones ask nobody else.
+    """
+    entries = _nodes(reps.select("rep", "trees"), level).drop("trees")
+    buckets = cut_lineage(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
+    live = cut_lineage(meet(entries, buckets, ["bucket"], "left_semi").groupBy("rep").agg(
+        F.bit_or(F.expr("shiftleft(1, tree)")).alias("live")))
+    return cut_lineage(meet(reps, live, ["rep"]).filter("live IS NOT NULL"))
+
+
+def _met_first(reps: DataFrame, bodies: DataFrame, level: int, threshold: float) -> DataFrame:
+    """Links of the pairs that meet at this length of the prefix and at no longer one; ``reps`` are in company."""
+    entries = _nodes(reps.select("rep", "bytes", "trees", "live"), level).filter(
+        "getbit(live, tree) = 1").select("rep", "bytes", "tree", "bucket")
     buckets = cut_lineage(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("weight")).filter("n > 1"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("weight") / BLOCK_BYTES)).cast("int")
     members = entries.drop("bytes").join(buckets, "bucket").withColumn("blocks", blocks).withColumn(
@@ -263,9 +281,10 @@ def _met_first(reps: DataFrame, bodies: DataFrame, level: int, threshold: float)
         "bucket", "tree", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep")
     needed = cut_lineage(_grouped(members.join(reps.select("rep", "trees"), "rep")).mapInPandas(
         _needed(level), "bucket long, tree int, low int, high int, block int, rep long"))
-    wanted = small_side(cut_lineage(needed.select("rep").distinct().join(reps.select("rep", "key", "sha"), "rep")))
-    # while few texts have a partner, they alone are moved
-    texts = bodies.join(wanted, (F.col("_sha") == F.col("sha")) & F.col("_key").eqNullSafe(F.col("key")))
+    wanted = cut_lineage(needed.select("rep").distinct().join(reps.select("rep", "key", "sha"), "rep").select(
+        F.col("sha").alias("_sha"), F.xxhash64("key").alias("_mark"), "key", "rep"))
+    # only texts that may have a partner are moved; keys may be null
+    texts = meet(bodies, wanted, ["_sha", "_mark"]).filter(F.col("rep").isNotNull() & F.col("_key").eqNullSafe(F.col("key")))
     texts = texts.groupBy("rep").agg(F.first("text").alias("text"))  # rows with one id and text bring it once
     full = needed.join(reps.select("rep", "copies", "trees"), "rep").join(texts, "rep")
     return cut_lineage(_grouped(full).mapInPandas(
@@ -289,9 +308,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         F.min("row").alias("rep"), F.min("key").alias("least"), F.count(F.lit(1)).alias("copies")))
     reps = cut_lineage(rows.drop("sha").join(copies, F.col("row") == F.col("rep")).filter(
         F.col("trees").isNotNull()).select("rep", "sha", "key", "bytes", "copies", "trees"))
-    bodies = docs.select(F.col(key).alias("_key"), F.unhex(F.sha2(body, 256)).alias("_sha"), body.alias("text"))
-    met_at, reached = [], 0.0
-    for level in range(LABEL, depth(threshold, recall) - 1, -1):
+    bodies = docs.select(F.col(key).alias("_key"), F.xxhash64(key).alias("_mark"), F.unhex(F.sha2(body, 256)).alias("_sha"), body.alias("text"))
+    last, met_at, reached = depth(threshold, recall), [], 0.0
+    reps = _in_company(reps, last)
+    for level in range(LABEL, last - 1, -1):
         met_at.append(_met_first(reps, bodies, level, threshold))
         pairs, there = reduce(DataFrame.unionByName, met_at).agg(F.sum("pairs"), F.sum(F.element_at("all", level))).first()
         reached = pairs / there if pairs else 0.0

@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from mendwell import session
 from mendwell.llm import near_dups
 from mendwell.llm.components import components
 
@@ -151,3 +152,46 @@ def test_the_text_of_repeated_rows_comes_once(spark, monkeypatch):
     texts = [" ".join(f"{name}{i}" for i in range(60)) for name in "ab"]
     rows = [(7, texts[0])] * 40 + [(None, texts[1])] * 40 + [(8, texts[0] + " end"), (9, texts[1] + " end"), (5, texts[0])]
     assert found(near_dups.report(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def pairs_and_lone(pairs=6, lone=300):
+    """Near copies, some with null ids or in repeated rows, and many texts without a partner."""
+    rows = []
+    for i in range(pairs):
+        words = [f"p{i}w{j}" for j in range(60)]
+        rows += [(None if i == 0 else 2 * i, " ".join(words)), (2 * i + 1, " ".join(words + ["end"]))]
+    return rows + rows[-2:] + [(1000 + i, " ".join(f"l{i}w{j}" for j in range(30))) for i in range(lone)]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_lone_texts_stay_where_they_are(spark, monkeypatch, few):
+    """No length of the prefix asks texts that are alone at the last one, and their text is not moved, however many have a partner."""
+    asked, moved, real, split = [], [], near_dups._met_first, session.split_by
+    monkeypatch.setattr(near_dups, "_met_first", lambda reps, *args: asked.append(reps.count()) or real(reps, *args))
+
+    def watched(df, *args):
+        near, far = split(df, *args)
+        if "text" in df.columns:
+            moved.append(near.count())
+        return near, far
+
+    monkeypatch.setattr(session, "split_by", watched)
+    if not few:
+        monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    rows = pairs_and_lone()
+    assert found(near_dups.report(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert asked and max(asked) == 12
+    assert len(moved) == (0 if few else len(asked)) and all(n < 30 for n in moved)
+
+
+def test_company_at_the_last_length_holds_that_of_longer_ones(spark):
+    texts = [" ".join(f"t{i // 4}w{j}" if j % 50 >= i % 4 else f"o{i}w{j}" for j in range(100)) for i in range(40)]
+    reps = spark.createDataFrame([(i, bytearray(near_dups.signature(t))) for i, t in enumerate(texts)], "rep long, trees binary")
+    live = {r.rep: r.live for r in near_dups._in_company(reps, 5).collect()}
+    for level in (5, 6, 8):
+        made = near_dups.prefixes([near_dups.signature(t) for t in texts], level)
+        for tree in range(near_dups.TREES):
+            values, times = np.unique(made[:, tree], return_counts=True)
+            met = {i for i in range(len(texts)) if times[np.searchsorted(values, made[i, tree])] > 1}
+            there = {rep for rep, bits in live.items() if bits >> tree & 1}
+            assert met <= there and (level > 5 or met == there)
