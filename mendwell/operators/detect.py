@@ -106,7 +106,7 @@ def orphans(
     if is_small(there):
         return known_rows.join(F.broadcast(there), _on_parent(fk, parent_keys), "left_anti")
     counts = child.select(*fk).na.drop("any").groupBy(*fk).agg(F.count("*").alias("n"))
-    known = counts.join(there.withColumn("_there", F.lit(True)), _on_parent(fk, parent_keys), "left").withColumn("_lost", F.lit(True))
+    known = counts.join(there.withColumn("_there", F.lit(True)).hint("merge"), _on_parent(fk, parent_keys), "left").withColumn("_lost", F.lit(True))
     lost = found_in(known, F.col("_there").isNull(), ["_lost"])
     return with_group_stats(known_rows, lost, list(fk), ["_lost"]).filter("_lost").drop("_lost")
 
@@ -126,7 +126,7 @@ def orphan_values(child: DataFrame, fk: Sequence[str], parent: DataFrame, parent
     many rows share is one row in the join.
     """
     counts = child.select(*fk).na.drop("any").groupBy(*fk).agg(F.count("*").alias("n"))
-    return counts.join(_parent_keys(parent, parent_keys), _on_parent(fk, parent_keys), "left_anti")
+    return counts.join(small_side(_parent_keys(parent, parent_keys)), _on_parent(fk, parent_keys), "left_anti")
 
 
 def before_parent(

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from mendwell.functions.text import canonical_value, key_token
 from mendwell.operators.groups import lookup
-from mendwell.session import cut_lineage, meet
+from mendwell.session import cut_lineage, meet, small_side
 from mendwell.spec import Dataset, TableSpec
 
 
@@ -214,16 +214,16 @@ def undo_journal(dataset: Dataset, journal: DataFrame) -> Dataset:
         if shape.inserts:
             df = delete_inserted(df, spec, journal, shape.inserts)
         here = earliest.filter(F.col("table") == table)
-        here = _relocated(here) if shape.moved else here
+        here = _relocated(here, shape.moved) if shape.moved else here
         out[table] = restore_labels(df, spec, here, sorted(touched.get(table, [])), shape.updates)
     return dataset.with_tables(out)
 
 
-def _relocated(records: DataFrame) -> DataFrame:
-    """A corrupted key moves all labels of its row to the corrupted locator."""
+def _relocated(records: DataFrame, rows: int) -> DataFrame:
+    """A corrupted key moves all labels of its row to the corrupted locator; at most ``rows`` have one."""
     moved = records.groupBy("primary_key").agg(F.max("corrupted_primary_key").alias("_moved")).na.drop("any")
     return (
-        records.join(moved, "primary_key", "left")
+        records.join(small_side(moved, rows), "primary_key", "left")
         .withColumn("corrupted_primary_key", F.coalesce("corrupted_primary_key", "_moved"))
         .drop("_moved")
     )
@@ -352,8 +352,8 @@ def run_steps(dataset: Dataset, journal: DataFrame, steps: Sequence[Step], stric
         spec, mine = dataset.specs[table], by_table[table]
         rules = [step.rule_id for _, step in mine]
         here = journal.filter((F.col("table") == table) & F.col("rule_id").isin(*rules))
-        if any(owners[rule]["moved"] for rule in rules):
-            here = _relocated(here)
+        if moved := sum(owners[rule]["moved"] for rule in rules):
+            here = _relocated(here, moved)
         df = _slotted(dataset[table], spec, here, sum(owners[rule]["n"] for rule in rules))
         made = _Pass(df, spec)
         for number, step in mine:
@@ -400,7 +400,7 @@ def repair_all(dataset: Dataset, journal: DataFrame, steps: Sequence[Step]) -> D
         if any(step.kind == "delete" for step in mine):
             df = delete_inserted(df, spec, here, shape.inserts)
         types = _types(df)
-        df = with_labels(df, spec, _relocated(here) if shape.moved else here, shape.updates)
+        df = with_labels(df, spec, _relocated(here, shape.moved) if shape.moved else here, shape.updates)
         new: dict[str, Column] = {}
         for step in mine:
             if step.kind == "delete":

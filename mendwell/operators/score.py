@@ -30,8 +30,9 @@ def _current_rows(
 
 
 def _by_table(records: DataFrame) -> dict[str, tuple[list[str], int]]:
-    """Columns and number of records per table; a few names, bounded by the schema."""
-    found = records.groupBy("table").agg(F.collect_set("column").alias("columns"), F.count("*").alias("n")).collect()
+    """Columns per table, a few names, bounded by the schema, and how many keys its records name."""
+    keys = F.count("primary_key") + F.count("corrupted_primary_key")
+    found = records.groupBy("table").agg(F.collect_set("column").alias("columns"), keys.alias("n")).collect()
     return {row["table"]: (sorted(row["columns"]), row["n"]) for row in sorted(found)}
 
 
@@ -40,7 +41,7 @@ def current_cells(dataset: Dataset, records: DataFrame) -> DataFrame:
 
     A row is looked up by its key and, failing that, by its corrupted key. A
     table is read once, side by side with the others; what the records point
-    at, at most two rows a record, is kept for the lookups.
+    at, at most a row a key, is kept for the lookups.
     """
     if "corrupted_primary_key" not in records.columns:
         records = records.withColumn("corrupted_primary_key", F.lit(None).cast("string"))
@@ -49,7 +50,7 @@ def current_cells(dataset: Dataset, records: DataFrame) -> DataFrame:
     for table, (columns, count) in tables.items():
         here = records.filter(F.col("table") == table)
         wanted = here.select(F.explode(F.array("primary_key", "corrupted_primary_key")).alias("key")).na.drop()
-        found[table] = _current_rows(dataset[table], dataset.specs[table], wanted, columns, 2 * count)
+        found[table] = _current_rows(dataset[table], dataset.specs[table], wanted, columns, count)
     found = cut_all(found)
     for table, (columns, count) in tables.items():
         here, rows = records.filter(F.col("table") == table), found[table]
@@ -60,9 +61,9 @@ def current_cells(dataset: Dataset, records: DataFrame) -> DataFrame:
             "_by_moved", F.lit(None).cast("map<string,string>")
         )
         # Keys are unique, so no more rows come back than keys went out.
-        straight = straight.join(small_side(by_key, 2 * count), "primary_key", "left")
-        detour = moved.join(small_side(by_key, 2 * count), "primary_key", "left").join(
-            small_side(by_moved, 2 * count), "corrupted_primary_key", "left"
+        straight = straight.join(small_side(by_key, count), "primary_key", "left")
+        detour = moved.join(small_side(by_key, count), "primary_key", "left").join(
+            small_side(by_moved, count), "corrupted_primary_key", "left"
         )
         parts.append(straight.unionByName(detour))
     if not parts:

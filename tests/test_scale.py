@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from mendwell import session
-from mendwell.operators import compare, constraints, controls, inject, sampling
+from mendwell.operators import compare, constraints, controls, detect, groups, inject, repair, sampling, score
 from mendwell.spec import ControlScope, Dataset, Rule, Scenario, TableSpec
 
 SPEC = TableSpec("t", ("id", "part"))
@@ -82,3 +82,27 @@ def test_fingerprints_are_sums_of_integers(spark):
     assert found.first()["fingerprint"] == wanted
     assert "decimal(28,0)" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert compare.fingerprint(df.limit(0)).first()["fingerprint"] == "0:0:0:0:0"
+
+
+def test_sides_beyond_the_limit_are_not_broadcast_by_their_size_on_disk(spark, monkeypatch):
+    few, many = spark.range(100), spark.range(300)
+    keyed = _table(spark).withColumn("key", F.lit("k"))
+    records = keyed.select(F.col("id").alias("primary_key"), F.when(F.col("a") < 50, F.col("id")).alias("corrupted_primary_key"))
+    data = Dataset({"t": keyed}, {"t": SPEC})
+    wanted = keyed.select(F.lit("t").alias("table"), F.to_json(F.struct("id", "part")).alias("primary_key"), F.lit("a").alias("column"))
+    wanted = wanted.withColumn("clean_value", F.lit("1"))
+
+    def joins(limit):
+        monkeypatch.setattr(session, "BROADCAST_ROWS", limit)
+        found = (
+            few.join(session.small_side(many), "id"),
+            session.meet(few, many, ["id"]),
+            detect.orphan_values(few, ["id"], many, ["id"]),
+            groups.lookup(few, many, {"id": "id"}, {"other": "id"}),
+            repair._relocated(records, 50),
+            score.current_cells(data, wanted),
+        )
+        return [df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") for df in found]
+
+    assert joins(1_000) == [0] * 6  # by their size on disk all of them are small
+    assert all(joins(10))
