@@ -43,6 +43,31 @@ def _cells_in_scope(baseline: Dataset, scope: Sequence[ControlScope]) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+def _cells_below(baseline: Dataset, scenario: Scenario, span: float) -> DataFrame:
+    """Cells in scope whose hash ``h`` lies in the first ``span`` of all hashes. A row becomes cells, and a value becomes text, only where one does."""
+    parts = []
+    for item in scenario.control_scope:
+        df = baseline[item.table]
+        types = {field.name: field.dataType for field in df.schema.fields}
+        hashes = {
+            f"_hash_{no}": draw_hash(
+                scenario.seed + CONTROL_SEED_STEP, "controls", F.concat_ws("|", F.lit(item.table), "_token", F.lit(name)))
+            for no, name in enumerate(item.columns)
+        }
+        hashed = df.withColumn("_token", key_token(baseline.specs[item.table].primary_key)).withColumns(hashes)
+        near = {name: F.col(hashed_as) < below(span) for name, hashed_as in zip(item.columns, hashes)}
+        cells = [
+            F.when(near[name], F.struct(
+                F.lit(name).alias("column"), canonical_value(F.col(name), types[name]).alias("clean_value"), F.col(hashed_as).alias("h")))
+            for name, hashed_as in zip(item.columns, hashes)
+        ]
+        any_near = reduce(lambda one, other: one | other, near.values())
+        parts.append(hashed.select(
+            F.lit(item.table).alias("table"), F.col("_token").alias("primary_key"),
+            F.inline(F.when(any_near, F.array_compact(F.array(*cells))))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _free(cells: DataFrame, used: DataFrame, few: bool = False) -> DataFrame:
     """Cells that are not in use. Of a ``few`` all are shuffled where the used ones are many, so that they are sought out once."""
     taken = F.coalesce(F.col("_locked") | F.array_contains(F.col("_used"), F.col("column")), F.lit(False))
@@ -78,13 +103,10 @@ def draw_controls(baseline: Dataset, scenario: Scenario, journal: DataFrame, fau
     total = sum(baseline[item.table].count() * len(item.columns) for item in scenario.control_scope)
     widest = max((len(item.columns) for item in scenario.control_scope), default=0)
     free = max(total - (known["cells"] or 0) - (known["rows"] or 0) * widest, 1)
-    token = F.concat_ws("|", "table", "primary_key", "column")
-    hashed = draw_hash(scenario.seed + CONTROL_SEED_STEP, "controls", token)
-    cells = _cells_in_scope(baseline, scenario.control_scope).withColumn("h", hashed)
     span = (wanted + 12 * math.sqrt(wanted) + 64) / free
     while True:
         span = min(span, 1.0)
-        near = cut_lineage(_free(cells.filter(F.col("h") < below(span)), used, few=span < 1.0))
+        near = cut_lineage(_free(_cells_below(baseline, scenario, span), used, few=span < 1.0))
         if span == 1.0 or near.count() >= wanted:
             break
         span *= 8

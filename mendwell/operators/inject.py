@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from mendwell.functions.faults import CYCLIC, TEXT_MAKING, faulty
 from mendwell.functions.text import canonical_value, key_token, row_json
-from mendwell.operators.sampling import Cut, Draw, draw_hash, find_cuts, with_index
+from mendwell.operators.sampling import Cut, Draw, draw_hash, draw_rows, kept_where, with_index
 from mendwell.session import cut_lineage, meet, small_side
 from mendwell.spec import Dataset, Rule, Scenario, TableSpec
 
@@ -149,11 +149,24 @@ def _new_values(rule: Rule, types: Mapping[str, T.DataType], index: Column) -> d
 
 
 def apply_plain(
-    df: DataFrame, rules: Sequence[tuple[int, Rule]], spec: TableSpec, seed: int, cuts: Mapping[int, Cut]
-) -> tuple[DataFrame, DataFrame]:
-    """Rules that look at nothing but their own row and do not touch each
-    other's columns: together one projection, and one pass for the journal."""
-    marked = df.withColumns({f"_drawn_{no}": _drawn(df, rule, spec, seed, cuts[no]) for no, rule in rules})
+    df: DataFrame, rules: Sequence[tuple[int, Rule]], spec: TableSpec, seed: int, cuts: Mapping[int, Cut], apart: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rules that look at nothing but their own row and do not touch each other's columns: together one projection.
+
+    ``apart`` has the drawn rows alone, marked by rule: the journal comes from them. Returns the table, the drawn rows after the rules, and the journal rows.
+    """
+    marks = {f"_drawn_{no}": _drawn(df, rule, spec, seed, cuts[no]) for no, rule in rules}
+    after, _ = _plainly(df.withColumns(marks), rules, spec, df.columns)
+    drawn, records = _plainly(apart.withColumns({f"_drawn_{no}": F.col(f"_mark_{no}") for no, _ in rules}), rules, spec, apart.columns)
+    any_drawn = reduce(lambda one, other: one | other, [F.col(f"_mark_{no}") for no, _ in rules])
+    return after, drawn, _journal_rows(records[0].filter(any_drawn), key_token(spec.primary_key), records[1])
+
+
+def _plainly(
+    marked: DataFrame, rules: Sequence[tuple[int, Rule]], spec: TableSpec, columns: Sequence[str]
+) -> tuple[DataFrame, tuple[DataFrame, list[Column]]]:
+    """Rows marked by rule after plain rules; and the rows with old and new values, of which the records are made."""
+    before = marked
     for _, rule in rules:
         if rule.transform in TEXT_MAKING:
             marked = _as_text(marked, rule.columns)
@@ -166,10 +179,8 @@ def apply_plain(
         old = {column: F.col(column) for column in rule.columns}
         fresh = {column: F.col(f"_new_{no}_{column}") for column in rule.columns}
         records += _cell_records(rule, no, spec, types, old, fresh, drawn)
-        updates.update(_updates(df, rule, drawn, fresh))
-    any_drawn = reduce(lambda one, other: one | other, [F.col(f"_drawn_{no}") for no, _ in rules])
-    journal = _journal_rows(marked.filter(any_drawn), key_token(spec.primary_key), records)
-    return marked.withColumns(updates).select(*dict.fromkeys([*df.columns, *updates])), journal
+        updates.update(_updates(before, rule, drawn, fresh))
+    return marked.withColumns(updates).select(*dict.fromkeys([*columns, *updates])), (marked, records)
 
 
 def _updates(df: DataFrame, rule: Rule, drawn: Column, new: Mapping[str, Column]) -> dict[str, Column]:
@@ -211,7 +222,7 @@ def _rotated(drawn: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, cut: C
             place.alias("_index"), *[F.col(f"_old_{column}").alias(f"{name}{column}") for column in rule.columns]
         )
 
-    paired = sample.join(donors(0, "_one_"), "_index").join(donors(1, "_two_"), "_index")
+    paired = sample.join(small_side(donors(0, "_one_"), cut.taken), "_index").join(small_side(donors(1, "_two_"), cut.taken), "_index")
     turned: Column = F.lit(False)
     values: dict[str, Column] = {}
     for column in rule.columns:
@@ -225,19 +236,24 @@ def _rotated(drawn: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, cut: C
 
 
 def drawn_apart(
-    df: DataFrame, rules: Sequence[tuple[int, Rule]], spec: TableSpec, seed: int, cuts: Mapping[int, Cut]
+    df: DataFrame, rules: Sequence[tuple[int, Rule]], spec: TableSpec, seed: int, cuts: Mapping[int, Cut], apart: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Rules that need the place of a row among the drawn ones, all of an independent run at once.
 
     Whether a row is drawn shows in its own hash, so the table falls into two parts by a
     filter: rows of none of the rules pass by as they are, and the drawn ones alone meet their new values,
-    those of all rules in one join. The drawn ones are written once for all that reads them. Returns both parts and the journal rows.
+    those of all rules in one join. The drawn ones, marked by rule, are written once for all that reads them, unless the caller
+    has them (``apart``). Returns both parts, the drawn rows with all marks of ``apart``, and the journal rows.
     """
     values, journal, flags = [], [], {}
     marks = {f"_mark_{no}": _drawn(df, rule, spec, seed, cuts[no]) for no, rule in rules}
-    any_mark = reduce(lambda one, other: one | other, marks.values())
-    apart = cut_lineage(df.withColumns({**marks, "_token": key_token(spec.primary_key)}).filter(
-        reduce(lambda one, other: one | other, [F.col(name) for name in marks])))
+    any_mark = reduce(lambda one, other: one | other, [F.col(name) for name in marks])
+    if apart is None:
+        apart = cut_lineage(kept_where(df.withColumns(marks), any_mark))
+        others = []
+    else:
+        apart, others = apart.filter(any_mark), [name for name in apart.columns if name.startswith("_mark_")]
+    apart = apart.withColumn("_token", key_token(spec.primary_key))
     for no, rule in rules:
         made, records = (_rotated if rule.transform == "rotate_values" else _cycled)(
             apart.filter(f"_mark_{no}"), rule, no, spec, cuts[no])
@@ -248,7 +264,7 @@ def drawn_apart(
     back = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), values)
     if len(values) > 1:  # a row that several rules have drawn
         back = back.groupBy("_token").agg(*[F.max(name).alias(name) for name in back.columns if name != "_token"])
-    rest = df.filter(~any_mark)
+    rest = kept_where(df.withColumns(marks), ~any_mark)
     for _, rule in rules:
         if rule.transform in TEXT_MAKING:
             rest, apart = _as_text(rest, rule.columns), _as_text(apart, rule.columns)
@@ -261,15 +277,15 @@ def drawn_apart(
             _USED + column: F.col(_USED + column) if _USED + column in df.columns else F.lit(False) for column in rule.columns
         })
     columns = list(dict.fromkeys([*df.columns, *changed]))
-    return rest.withColumns(same).select(*columns), met.withColumns(changed).select(*columns), journal
+    return rest.withColumns(same).select(*columns), met.withColumns(changed).select(*columns, *others), journal
 
 
 def apply_duplication(
-    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, seed: int, cut: Cut, source: DataFrame
+    df: DataFrame, rule: Rule, rule_no: int, spec: TableSpec, cut: Cut, source: DataFrame, drawn: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Clone drawn rows, as they are now, under new keys."""
+    """Clone ``drawn`` rows, as they are now, under new keys. ``source`` has the keys of ``df``, and is easier to get."""
     key = spec.primary_key[0]
-    drawn = df.filter(_drawn(df, rule, spec, seed, cut)).withColumn("_token", key_token([key]))
+    drawn = drawn.withColumn("_token", key_token([key]))
     sample = _indexed(drawn, cut)
     number = F.col("_index") + 1
     dtype = _types(df)[key]
@@ -278,10 +294,10 @@ def apply_duplication(
     else:
         base = rule.params.get("new_pk_base")
         if base is None:
-            base = df.agg(F.max(key)).first()[0] or 0
+            base = source.agg(F.max(key)).first()[0] or 0
         new_key = (number + int(base)).cast(dtype)
     clones = cut_lineage(sample.withColumn(key, new_key).drop("_index", "_token"))
-    taken = df.select(key).join(small_side(clones.select(key), cut.taken), key, "left_semi").first()
+    taken = source.select(key).join(small_side(clones.select(key), cut.taken), key, "left_semi").first()
     if taken is not None:
         raise ValueError(f"{rule.rule_id}: the new key {taken[0]!r} is taken")
     plain = visible(clones)
@@ -303,6 +319,11 @@ def apply_duplication(
     return df.unionByName(clones), records
 
 
+def _with_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The named columns; flags of used cells that are not there are false."""
+    return df.withColumns({name: F.lit(False) for name in columns if name not in df.columns}).select(*columns)
+
+
 def _is_plain(rule: Rule) -> bool:
     return rule.transform not in CYCLIC and rule.transform not in {"rotate_values", "duplicate_rows"}
 
@@ -344,8 +365,8 @@ def apply_rules(
     """The table after numbered rules, their journal rows, and what they drew.
 
     Rules that do not depend on each other draw together, in two passes over
-    the table. Plain ones are written by one projection and journalled in one
-    more pass. Those that number their rows work on the drawn rows apart, all of a run in one
+    the table, of which the second writes the drawn rows apart. Plain ones are written by one projection; all are journalled from the drawn
+    rows. Those that number their rows work on these alone, all of a run in one
     join; between runs that join, the table is written.
     """
     for _, rule in rules:
@@ -359,23 +380,29 @@ def apply_rules(
             df, joined = cut_lineage(df), False
         source = df
         wishes = [_wish(df, rule, spec, seed) for _, rule in run]
-        cuts = dict(zip([no for no, _ in run], find_cuts(df, wishes), strict=True))
+        found, apart = draw_rows(df, wishes, [f"_mark_{no}" for no, _ in run])
+        cuts = dict(zip([no for no, _ in run], found, strict=True))
         drawn.update(cuts)
         plain = [(no, rule) for no, rule in run if _is_plain(rule)]
         if plain:
-            df, records = apply_plain(df, plain, spec, seed, cuts)
+            df, apart, records = apply_plain(df, plain, spec, seed, cuts, apart)
             journal.append(records)
         numbered = [
             (no, rule) for no, rule in run
             if rule.transform in CYCLIC or (rule.transform == "rotate_values" and cuts[no].taken > 1)
         ]
         if numbered:
-            same, changed, records = drawn_apart(df, numbered, spec, seed, cuts)
-            df, joined = same.unionByName(changed), True
+            same, changed, records = drawn_apart(df, numbered, spec, seed, cuts, apart)
+            df, joined = same.unionByName(changed.select(*same.columns)), True
+            passed = apart.filter(~reduce(lambda one, other: one | other, [F.col(f"_mark_{no}") for no, _ in numbered]))
+            for _, rule in numbered:
+                passed = _as_text(passed, rule.columns) if rule.transform in TEXT_MAKING else passed
+            apart = _with_flags(passed, changed.columns).unionByName(changed)
             journal += records
         for no, rule in run:
             if rule.transform == "duplicate_rows":
-                df, records = apply_duplication(df, rule, no, spec, seed, cuts[no], source)
+                chosen = _with_flags(apart.filter(f"_mark_{no}"), df.columns)
+                df, records = apply_duplication(df, rule, no, spec, cuts[no], source, chosen)
                 journal.append(records)
                 joined = True
     if not journal:

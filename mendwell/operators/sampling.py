@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +69,15 @@ def find_cuts(df: DataFrame, draws: Sequence[Draw], span: float = 1.0) -> list[C
     12 * sqrt(k), a few hundred thousand for a billion. Should a band miss, a
     wider one is tried.
     """
+    cuts, widen = _asked(df, draws), 1
+    while not all(cut.last for cut in cuts.values()):
+        _rank_band(df, draws, cuts, span, widen)
+        widen *= 8
+    return [cuts[no] for no in range(len(draws))]
+
+
+def _asked(df: DataFrame, draws: Sequence[Draw]) -> dict[int, Cut]:
+    """Eligible and wanted rows of each draw; where its cut lies is open, unless it takes none or all."""
     counts = df.agg(*[F.count_if(draw.eligible).alias(f"n{no}") for no, draw in enumerate(draws)]).first()
     cuts: dict[int, Cut] = {}
     for no, draw in enumerate(draws):
@@ -75,33 +85,69 @@ def find_cuts(df: DataFrame, draws: Sequence[Draw], span: float = 1.0) -> list[C
         if counts[no] < wanted:
             raise NotEnoughRows(f"{draw.name}: {wanted} rows wanted, only {counts[no]} eligible")
         cuts[no] = Cut("g" if wanted in (0, counts[no]) else "", wanted, counts[no])
-    widen = 1
-    while open_draws := [no for no, cut in cuts.items() if not cut.last]:
-        ends = []
-        for no in open_draws:
-            cut = cuts[no]
-            reach = widen * (6 * math.sqrt(cut.taken) + 16)
-            low, high = (_hex(span * (cut.taken + way * reach) / cut.eligible) for way in (-1, 1))
-            hashed = draws[no].hashed
-            near = F.struct(F.lit(no).alias("no"), F.when(hashed >= low, hashed).alias("h"))
-            ends.append(F.when(draws[no].eligible & (hashed <= high), near))
-        order = Window.partitionBy("no").orderBy(F.asc_nulls_first("h"))
-        wanted = F.element_at(F.array(*[F.lit(cuts[no].taken) for no in range(len(draws))]), F.col("no") + 1)
-        hits = (
-            df.select(F.inline(F.array_compact(F.array(*ends))))
-            .groupBy("no", "h")
-            .agg(F.count("*").alias("n"))
-            .withColumn("upto", F.sum("n").over(order))
-            .filter((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted) & F.col("h").isNotNull())
-            .collect()  # at most one row per draw
-        )
-        for hit in hits:
-            cut = cuts[hit["no"]]
-            if hit["upto"] != cut.taken:
-                raise ValueError(f"{draws[hit['no']].name}: keys are not unique, so an exact sample does not exist")
-            cuts[hit["no"]] = Cut(hit["h"], cut.taken, cut.eligible)
+    return cuts
+
+
+def _band(cut: Cut, span: float, widen: int) -> tuple[str, str]:
+    """Hashes between which the last drawn one must lie, but for one case in very many."""
+    reach = widen * (6 * math.sqrt(cut.taken) + 16)
+    low, high = (_hex(span * (cut.taken + way * reach) / cut.eligible) for way in (-1, 1))
+    return low, high
+
+
+def _rank_band(df: DataFrame, draws: Sequence[Draw], cuts: dict[int, Cut], span: float, widen: int) -> None:
+    """Set the cuts that are open and lie in their band."""
+    ends = []
+    for no in [no for no, cut in cuts.items() if not cut.last]:
+        low, high = _band(cuts[no], span, widen)
+        hashed = draws[no].hashed
+        near = F.struct(F.lit(no).alias("no"), F.when(hashed >= low, hashed).alias("h"))
+        ends.append(F.when(draws[no].eligible & (hashed <= high), near))
+    order = Window.partitionBy("no").orderBy(F.asc_nulls_first("h"))
+    wanted = F.element_at(F.array(*[F.lit(cuts[no].taken) for no in range(len(draws))]), F.col("no") + 1)
+    hits = (
+        df.select(F.inline(F.array_compact(F.array(*ends))))
+        .groupBy("no", "h")
+        .agg(F.count("*").alias("n"))
+        .withColumn("upto", F.sum("n").over(order))
+        .filter((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted) & F.col("h").isNotNull())
+        .collect()  # at most one row per draw
+    )
+    for hit in hits:
+        cut = cuts[hit["no"]]
+        if hit["upto"] != cut.taken:
+            raise ValueError(f"{draws[hit['no']].name}: keys are not unique, so an exact sample does not exist")
+        cuts[hit["no"]] = Cut(hit["h"], cut.taken, cut.eligible)
+
+
+def kept_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows for which a condition on computed columns holds; unlike in a filter, which the optimizer
+    moves below their projection, each of these columns is computed once a row."""
+    return df.select(F.inline(F.when(condition, F.array(F.struct(*[F.col(f"`{name}`") for name in df.columns])))))
+
+
+def draw_rows(df: DataFrame, draws: Sequence[Draw], marks: Sequence[str]) -> tuple[list[Cut], DataFrame]:
+    """``find_cuts``, and the rows that it drew, written on the way: they alone are ranked, and later steps need not seek them again.
+
+    Column ``marks[no]`` says whether draw ``no`` has taken the row.
+    """
+    cuts, widen = _asked(df, draws), 1
+    hashes = [f"_hash_{no}" for no in range(len(draws))]
+    while True:
+        ends = [
+            F.lit(None).cast("string") if not cuts[no].taken
+            else F.when(draw.eligible & (draw.hashed <= ("g" if cuts[no].last else _band(cuts[no], 1.0, widen)[1])), draw.hashed)
+            for no, draw in enumerate(draws)
+        ]
+        near = cut_lineage(kept_where(df.withColumns(dict(zip(hashes, ends))), reduce(Column.__or__, [F.col(name).isNotNull() for name in hashes])))
+        if not all(cut.last for cut in cuts.values()):
+            found = [Draw(draw.name, F.col(name).isNotNull(), F.col(name)) for draw, name in zip(draws, hashes)]
+            _rank_band(near, found, cuts, 1.0, widen)
+        if all(cut.last for cut in cuts.values()):
+            break
         widen *= 8
-    return [cuts[no] for no in range(len(draws))]
+    taken = near.withColumns({mark: cuts[no].contains(F.col(hashes[no])) for no, mark in enumerate(marks)}).drop(*hashes)
+    return [cuts[no] for no in range(len(draws))], taken.filter(reduce(Column.__or__, [F.col(mark) for mark in marks]))
 
 
 def find_cut(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mendwell import session
 from mendwell.operators import compare, constraints, controls, detect, groups, inject, repair, sampling, score
+from mendwell.plans import reports, trade
 from mendwell.spec import ControlScope, Dataset, Rule, Scenario, TableSpec
 
 SPEC = TableSpec("t", ("id", "part"))
@@ -106,3 +107,53 @@ def test_sides_beyond_the_limit_are_not_broadcast_by_their_size_on_disk(spark, m
 
     assert joins(1_000) == [0] * 6  # by their size on disk all of them are small
     assert all(joins(10))
+
+
+def test_faults_are_journalled_from_the_drawn_rows(spark):
+    data = _table(spark).withColumn("c", F.col("a") + 1)
+    rules = [(0, Rule("plain", "t", ("a",), "negative", count=30, where="a > 0")), (1, Rule("turned", "t", ("b",), "rotate_values", count=20)),
+             (2, Rule("again", "t", ("a",), "multiply", one_in=9, params={"factor": 3})), (3, Rule("none", "t", ("c",), "null", count=0))]
+    after, journal, cuts = inject.apply_rules(data, rules, SPEC, 3)
+    assert [cuts[no].taken for no in (0, 1, 3)] == [30, 20, 0]
+    assert not any("Range" in records._jdf.queryExecution().optimizedPlan().toString() for records in journal)
+    found = journal[0].unionByName(journal[1]).unionByName(journal[2])
+    changed = {(r["primary_key"], r["column"], r["clean_value"], r["corrupted_value"]) for r in found.collect()}
+    old, new = ({(r["id"], r["part"]): r for r in df.select(*data.columns).collect()} for df in (data, after))
+    assert changed == {
+        (json.dumps({"id": key[0], "part": key[1]}, separators=(",", ":")), name, str(old[key][name]), str(new[key][name]))
+        for key in old for name in ("a", "b") if old[key][name] != new[key][name]}
+
+
+def test_drawn_rows_come_with_their_cuts(spark, monkeypatch):
+    data = _table(spark).withColumn("h", sampling.draw_hash(1, "x", F.col("id")))
+    draws = [sampling.Draw("some", F.col("b") > 10, F.col("h"), one_in=4), sampling.Draw("none", F.lit(True), F.col("h"), count=0),
+             sampling.Draw("all", F.col("b") == 3, F.md5("h"), one_in=1)]
+    cuts, drawn = sampling.draw_rows(data, draws, ["m0", "m1", "m2"])
+    assert cuts == sampling.find_cuts(data, draws)
+    for draw, cut, mark in zip(draws, cuts, ("m0", "m1", "m2")):
+        assert _rows(drawn.filter(mark).select("id")) == _rows(data.filter(draw.eligible & cut.contains(draw.hashed)).select("id"))
+    assert drawn.filter("NOT (m0 OR m1 OR m2)").isEmpty()
+    monkeypatch.setattr(sampling, "_band", lambda cut, span, widen, real=sampling._band: real(cut, span, widen) if widen > 8 else ("0", "1"))
+    again, same = sampling.draw_rows(data, draws, ["m0", "m1", "m2"])  # the first bands miss
+    assert again == cuts and _rows(same) == _rows(drawn)
+
+
+def test_only_cells_near_the_cut_leave_their_row(spark):
+    data = Dataset({"t": _table(spark).withColumn("b", F.when(F.col("a") % 3 > 0, F.col("b")))}, {"t": SPEC})
+    scenario = Scenario("s", "s", 5, 50.0, (), (ControlScope("t", ("a", "b")),))
+    cells = controls._cells_in_scope(data, scenario.control_scope).withColumn(
+        "h", sampling.draw_hash(5 + controls.CONTROL_SEED_STEP, "controls", F.concat_ws("|", "table", "primary_key", "column")))
+    for span in (0.1, 1.0):
+        found = controls._cells_below(data, scenario, span)
+        assert found.columns == cells.columns and _rows(found) == _rows(cells.filter(F.col("h") < sampling.below(span)))
+    assert found.count() == 1200
+
+
+def test_scenarios_share_their_clean_tables(spark, tiny, monkeypatch):
+    written, kept = [], trade.kept
+    monkeypatch.setattr(trade, "kept", lambda spark, folder, name: written.append(name) or kept(spark, folder, name))
+    found = reports._clean(spark, tiny, ("surface", "relational", "context"))
+    assert written.count("orders") == written.count("lineitem") == written.count("priced") == 1
+    assert found["surface"]["orders"] is found["context"]["orders"]
+    assert "l_unitprice" in found["context"]["lineitem"].columns and "l_unitprice" not in found["relational"]["lineitem"].columns
+    assert reports._clean(spark, tiny, ["context"])["context"]["lineitem"].columns == found["context"]["lineitem"].columns
